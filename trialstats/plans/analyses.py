@@ -110,20 +110,36 @@ def first_last(
 
 
 def pre_post(
-    recog: DataFrame, conds: Sequence[str], value: str = "correct", order_by: str | None = None
+    recog: DataFrame,
+    conds: Sequence[str],
+    value: str = "correct",
+    order_by: str | None = None,
+    seen_twice: bool = False,
 ) -> DataFrame:
-    """Earlier and later result of every subject, condition and item, conditions chosen before the pivot."""
-    rows = recog.filter(F.col("cond").isin(*conds))
-    return pivot_wider(rows, ["subj", "cond", "item"], "time", value, TIMES, order_by=order_by)
+    """Earlier and later result of every subject, condition and item, conditions chosen before the pivot.
+
+    ``seen_twice`` keeps the items with a row at both times (a study that tests every item twice needs no
+    such filter); a missing result in such a row stays missing.
+    """
+    keys = ["subj", "cond", "item"]
+    rows = recog.filter(F.col("cond").isin(*conds)).withColumn("_cell", F.struct(F.col(value).alias("value")))
+    wide = pivot_wider(rows, keys, "time", "_cell", TIMES, order_by=order_by)
+    if seen_twice:
+        wide = wide.filter(F.col("pre").isNotNull() & F.col("post").isNotNull())
+    return wide.select(*keys, *[F.col(f"{t}.value").alias(t) for t in TIMES])
 
 
 def hits_and_drops(
-    recog: DataFrame, conds: Sequence[str] = PAIRED, value: str = "correct", order_by: str | None = None
+    recog: DataFrame,
+    conds: Sequence[str] = PAIRED,
+    value: str = "correct",
+    order_by: str | None = None,
+    seen_twice: bool = False,
 ) -> DataFrame:
     """Per subject and condition: hit rate over passed items, how many passed, how many were dropped."""
     pre = F.col("pre")
     return (
-        pre_post(recog, conds, value, order_by)
+        pre_post(recog, conds, value, order_by, seen_twice)
         .groupBy("cond", "subj")
         .agg(
             strict_avg("post", pre == 1).alias("hit_rate"),
@@ -134,10 +150,14 @@ def hits_and_drops(
 
 
 def hit_rate(
-    recog: DataFrame, conds: Sequence[str] = PAIRED, value: str = "correct", order_by: str | None = None
+    recog: DataFrame,
+    conds: Sequence[str] = PAIRED,
+    value: str = "correct",
+    order_by: str | None = None,
+    seen_twice: bool = False,
 ) -> DataFrame:
     """Later hit rate per condition and subject over the items passed earlier."""
-    rates = hits_and_drops(recog, conds, value, order_by)
+    rates = hits_and_drops(recog, conds, value, order_by, seen_twice)
     return rates.filter(F.col("passed_n") > 0).select("cond", "subj", "hit_rate")
 
 

@@ -96,7 +96,7 @@ def round_range(spark, sf):
 
 @query
 def keep_unused(spark, sf):
-    hits = A.hit_rate(trials(spark, sf), order_by=ORDER)
+    hits = _hits(spark, sf)
     wide = reshape.pivot_wider(hits, ["subj"], "cond", "hit_rate", A.PAIRED)
     return clean.compute_consuming(wide, ["b", "nt"], item_recog=F.col("b") - F.col("nt"))
 
@@ -289,7 +289,7 @@ def export_wide(spark, sf):
 
 @query
 def rate_by_condition(spark, sf):
-    return A.hit_rate(trials(spark, sf), order_by=ORDER)
+    return _hits(spark, sf)
 
 
 @query
@@ -353,7 +353,7 @@ def block_curve(spark, sf):
 
 @query
 def mean_se_condition(spark, sf):
-    hits = A.condition_means(A.hit_rate(trials(spark, sf), order_by=ORDER), "hit_rate")
+    hits = A.condition_means(_hits(spark, sf), "hit_rate")
     pairs = _change(spark, sf).filter(F.col("cond").isin(*A.PAIRED))
     change = A.condition_means(pairs, "diff", ["dim"])
     return linking.bind_rows([hits.withColumn("dim", F.lit("hit_rate")), change])
@@ -420,7 +420,11 @@ def _scores(spark, sf):
 
 
 def _links(spark, sf):
-    return A.symptom_links(_scores(spark, sf), A.hit_rate(trials(spark, sf), order_by=ORDER), _rates(spark, sf))
+    return A.symptom_links(_scores(spark, sf), _hits(spark, sf), _rates(spark, sf))
+
+
+def _hits(spark, sf, conds=A.PAIRED):
+    return A.hit_rate(trials(spark, sf), conds, order_by=ORDER, seen_twice=True)
 
 
 def _substitutes(spark, sf):
@@ -450,7 +454,7 @@ def first_last_paired(spark, sf):
 
 @query
 def recall_paired(spark, sf):
-    rates = A.hit_rate(trials(spark, sf), A.RATED, order_by=ORDER)
+    rates = _hits(spark, sf, A.RATED)
     return A.paired_by_condition(rates, "hit_rate", alternative="less")
 
 
@@ -475,7 +479,7 @@ def paired_t(spark, sf):
 
 @query
 def paired_t_long(spark, sf):
-    rates = A.hit_rate(trials(spark, sf), order_by=ORDER)
+    rates = _hits(spark, sf)
     return paired.paired_t_long(rates, ["subj"], "cond", "hit_rate", A.PAIRED, alternative="less")
 
 
@@ -641,7 +645,7 @@ def simple_slopes_sd(spark, sf):
 
 @query
 def loocv_press(spark, sf):
-    return ols.leave_one_out(table(spark, sf, "lineitem"), "l_extendedprice", _two_terms(), ["l_returnflag"])
+    return ols.leave_one_out(table(spark, sf, "lineitem"), F.col("l_extendedprice") / 1000, _two_terms(), ["l_returnflag"])
 
 
 @query
