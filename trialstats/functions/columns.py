@@ -23,6 +23,14 @@ def ratio(top: ColumnLike, bottom: ColumnLike) -> Column:
     return F.try_divide(as_col(top), as_col(bottom))
 
 
+def correlation(x: ColumnLike, y: ColumnLike) -> Column:
+    """Pearson correlation over complete pairs; missing, not an error, where either side is constant."""
+    x, y = as_col(x), as_col(y)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return ratio(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
 def strict_agg(
     fn: Callable[[Column], Column],
     value: ColumnLike,

@@ -64,7 +64,9 @@ def solve_least_squares(n: pd.Series, means: pd.Series, cross: pd.Series) -> pd.
     inverse = np.linalg.inv(standard) / (safe[:, :, None] * safe[:, None, :])
     slope = np.einsum("gij,gj->gi", inverse, sxy)
     intercept = mean[:, k] - np.einsum("gi,gi->g", slope, mean[:, :k])
-    rss = np.maximum(syy - np.einsum("gi,gi->g", slope, sxy), 0.0)
+    # the full quadratic form: rounding in the slopes then enters squared
+    rss = syy - 2 * np.einsum("gi,gi->g", slope, sxy) + np.einsum("gi,gij,gj->g", slope, sxx, slope)
+    rss = np.maximum(rss, 0.0)
     cov = np.empty((len(usable), width, width))
     pull = np.einsum("gij,gj->gi", inverse, mean[:, :k])
     cov[:, 1:, 1:] = inverse

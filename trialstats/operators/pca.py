@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.functions.columns import ratio
+from trialstats.functions.columns import correlation, ratio
 from trialstats.functions.linalg import decompose_correlations
 from trialstats.operators.linking import HOT_ROWS, group_hot_keys, lookup_join
 
@@ -24,7 +24,7 @@ def _complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fit_pca(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """One row per group: n, means, sds, corr (flattened), variances, loadings (one array per component)."""
     columns = list(columns)
-    upper = {(i, j): F.corr(columns[i], columns[j]) for i in range(len(columns)) for j in range(i + 1, len(columns))}
+    upper = {(i, j): correlation(columns[i], columns[j]) for i in range(len(columns)) for j in range(i + 1, len(columns))}
 
     def cell(i: int, j: int) -> Column:
         if i == j:

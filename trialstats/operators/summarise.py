@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.functions.columns import ratio, strict_avg, strict_sd, strict_se, strict_sum
+from trialstats.functions.columns import correlation, ratio, strict_avg, strict_sd, strict_se, strict_sum
 from trialstats.functions.distributions import t_p_value
 
 # Fixed value: makes the median absolute deviation estimate a normal standard deviation.
@@ -130,7 +130,7 @@ def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         return [
             F.count(F.when(both, F.lit(1))).alias("n"),
-            F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias("r"),
+            correlation(a, b).alias("r"),
         ]
 
     out = _pair_table(df, columns, keys, stats)

@@ -508,7 +508,8 @@ ORACLES["pca_importance"] = f"""WITH {LINE_COMPONENTS}
 SELECT g AS l_returnflag, k AS component, {r6('sqrt(ev)')} AS sdev, {r6('ev / 3')} AS proportion,
   {r6('sum(ev) OVER (PARTITION BY g ORDER BY k) / 3')} AS cumulative FROM eigen"""
 
-SCORE_COMPONENTS = three_components("scores", "bdi", "rrs", "stais", "1")
+COMPLETE_SCORES = "(SELECT * FROM scores WHERE bdi IS NOT NULL AND rrs IS NOT NULL AND stais IS NOT NULL)"
+SCORE_COMPONENTS = three_components(COMPLETE_SCORES, "bdi", "rrs", "stais", "1")
 TO_COMPONENTS = with_ctes(SQL_ITEMS, SCORES, SCORE_COMPONENTS)
 ORACLES["pca_loadings"] = f"""{TO_COMPONENTS}
 SELECT k AS component, {r6('sqrt(ev)')} AS sdev, variable, {r6('loading')} AS loading, {r6('loading * sqrt(ev)')} AS arrow
@@ -552,10 +553,10 @@ def two_predictors(name: str, source: str, key: str, y: str, a: str, b: str) ->
     1e0 / n + (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / det AS v0 FROM {name}_b)"""
 
 
-def coefficient_rows(name: str, keys: str, df: str, terms: list[tuple[str, str, str]], extra: str = "") -> str:
+def coefficient_rows(name: str, keys: str, df: str, terms: list[tuple[str, str, str]]) -> str:
     """Long table of (term, estimate, unscaled variance) with statistics."""
     rows = " UNION ALL ".join(
-        f"SELECT {keys}, '{t}' AS term, {est} AS estimate, sqrt(rss / ({df}) * ({var})) AS std_error, {df} AS df{extra} FROM {name}"
+        f"SELECT {keys}, '{t}' AS term, {est} AS estimate, sqrt(rss / ({df}) * ({var})) AS std_error, {df} AS df FROM {name} WHERE {df} > 0"
         for t, est, var in terms
     )
     return f"""coefs AS ({rows}), tests AS (SELECT *, estimate / std_error AS t FROM coefs)"""
