@@ -59,7 +59,8 @@ def fit_sentence(adj_r2: ColumnLike, df1: ColumnLike, df2: ColumnLike, f: Column
 
 
 def coefficient_sentence(b: ColumnLike, low: ColumnLike, high: ColumnLike, beta: ColumnLike, p: ColumnLike):
-    return _sentence(COEFFICIENT_FORMAT, b, low, high, beta, format_p(p))
+    """Missing for the intercept, which has no standardised slope."""
+    return F.when(as_col(beta).isNotNull(), _sentence(COEFFICIENT_FORMAT, b, low, high, beta, format_p(p)))
 
 
 def comparison_sentence(df1: ColumnLike, df2: ColumnLike, f: ColumnLike, p: ColumnLike):

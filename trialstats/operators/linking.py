@@ -13,22 +13,22 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialstats.operators.clean import NO_KEY_SPLITS
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
-NO_KEY_SPLITS = 10_000
 
 
 def unique_lookup(df: DataFrame, keys: Sequence[str], values: Sequence[str], order_by: str | None = None) -> DataFrame:
-    """One row per key. A second row for a key is an error unless ``order_by`` picks the first."""
-    picked = F.min_by(F.struct(*values), F.col(order_by)) if order_by else _only_row(values)
-    return df.groupBy(*keys).agg(picked.alias("_row")).select(*keys, *[F.col(f"_row.{v}") for v in values])
-
+    """One row per key. A second row for a key is an error unless ``order_by`` picks the first.
 
-def _only_row(values: Sequence[str]) -> Column:
-    rows = F.count(F.lit(1))
-    return F.when(rows > 1, F.raise_error(F.lit("lookup key is not unique"))).otherwise(
-        F.first(F.struct(*values))
-    )
+    Columns are picked one by one, not as a struct: numbers then aggregate by hash, without a sort. All of
+    them follow the same order, so they come from the same row.
+    """
+    if order_by:
+        return df.groupBy(*keys).agg(*[F.min_by(v, order_by).alias(v) for v in values])
+    single = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("lookup key is not unique")))
+    return df.groupBy(*keys).agg(*[single.otherwise(F.first(v)).alias(v) for v in values])
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:

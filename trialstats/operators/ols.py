@@ -17,7 +17,14 @@ from pyspark.sql import functions as F
 from trialstats.functions.columns import ColumnLike, as_col, ratio
 from trialstats.functions.distributions import f_p_value, t_p_value, t_quantile
 from trialstats.functions.linalg import solve_least_squares
-from trialstats.functions.text import coefficient_sentence, fit_sentence, format_p_cell, interval, slope_sentence
+from trialstats.functions.text import (
+    coefficient_sentence,
+    comparison_sentence,
+    fit_sentence,
+    format_p_cell,
+    interval,
+    slope_sentence,
+)
 from trialstats.operators.adjust import holm_values
 from trialstats.operators.linking import HOT_ROWS, group_hot_keys, lookup_join
 
@@ -220,7 +227,8 @@ def compare(fits: DataFrame, smaller: str, larger: str, keys: Sequence[str] = ()
         dof2.alias("df_resid"),
         ratio((rss1 - rss2) * dof2, rss2 * extra).alias("f_value"),
     )
-    return out.withColumn("p_value", f_p_value("f_value", "df_diff", "df_resid"))
+    out = out.withColumn("p_value", f_p_value("f_value", "df_diff", "df_resid"))
+    return out.withColumn("report", comparison_sentence("df_diff", "df_resid", "f_value", "p_value"))
 
 
 def simple_slopes(

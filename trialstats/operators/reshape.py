@@ -12,8 +12,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.functions.columns import as_col
-
 Level = str | int | tuple
 
 
@@ -140,9 +138,3 @@ def complete_counts(
     seen = df.filter(F.col(level).isin(list(levels))).select(level).distinct()
     # at most one row per listed level
     return cells.join(F.broadcast(seen), level, "left_semi").select(*ids, level, count)
-
-
-def first_row(df: DataFrame, keys: Sequence[str], order_by: str, values: Sequence[str]) -> DataFrame:
-    """The first row of every key by ``order_by``, as an aggregate that combines on the map side."""
-    picked = F.min_by(F.struct(*values), as_col(order_by))
-    return df.groupBy(*keys).agg(picked.alias("_first")).select(*keys, *[F.col(f"_first.{v}") for v in values])

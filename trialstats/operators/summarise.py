@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialstats.functions.columns import correlation, ratio, strict_avg, strict_sd, strict_se, strict_sum
@@ -51,6 +51,12 @@ def count_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def levels_by_appearance(df: DataFrame, label: str, order_by: str) -> DataFrame:
+    """Labels with their rank of first appearance in a named order (one row per label)."""
+    first = df.groupBy(label).agg(F.min(order_by).alias("first"))
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("first")))
+
+
 def any_by(df: DataFrame, keys: Sequence[str], condition: Column, name: str) -> DataFrame:
     """Whether any row of a group satisfies a condition."""
     return df.groupBy(*keys).agg(F.bool_or(condition).alias(name))
@@ -144,11 +150,14 @@ def pair_regressions(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
     """Fitted line of every column pair (y on x): slope, intercept and r squared."""
 
     def stats(a: str, b: str) -> list[Column]:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+        slope = ratio(F.covar_samp(x, y), F.var_samp(x))
         return [
-            F.regr_count(F.col(b), F.col(a)).alias("n"),
-            F.regr_slope(F.col(b), F.col(a)).alias("slope"),
-            F.regr_intercept(F.col(b), F.col(a)).alias("intercept"),
-            F.regr_r2(F.col(b), F.col(a)).alias("r2"),
+            F.count(F.when(both, F.lit(1))).alias("n"),
+            slope.alias("slope"),
+            (F.avg(y) - slope * F.avg(x)).alias("intercept"),
+            F.pow(correlation(a, b), 2).alias("r2"),
         ]
 
     return _pair_table(df, columns, keys, stats)

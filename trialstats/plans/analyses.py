@@ -122,11 +122,15 @@ def pre_post(
     such filter); a missing result in such a row stays missing.
     """
     keys = ["subj", "cond", "item"]
-    rows = recog.filter(F.col("cond").isin(*conds)).withColumn("_cell", F.struct(F.col(value).alias("value")))
-    wide = pivot_wider(rows, keys, "time", "_cell", TIMES, order_by=order_by)
+    cells = []
+    for t in TIMES:
+        at = F.col("time") == t
+        cell = first_value(F.col(value), at, F.col(order_by)) if order_by else single_value(F.col(value), at, t)
+        cells += [cell.alias(t), F.count(F.when(at, F.lit(1))).alias(f"_{t}_rows")]
+    wide = recog.filter(F.col("cond").isin(*conds)).groupBy(*keys).agg(*cells)
     if seen_twice:
-        wide = wide.filter(F.col("pre").isNotNull() & F.col("post").isNotNull())
-    return wide.select(*keys, *[F.col(f"{t}.value").alias(t) for t in TIMES])
+        wide = wide.filter((F.col("_pre_rows") > 0) & (F.col("_post_rows") > 0))
+    return wide.select(*keys, *TIMES)
 
 
 def hits_and_drops(
@@ -161,6 +165,18 @@ def hit_rate(
     return rates.filter(F.col("passed_n") > 0).select("cond", "subj", "hit_rate")
 
 
+def hit_rate_wide(
+    recog: DataFrame,
+    conds: Sequence[str] = PAIRED,
+    value: str = "correct",
+    order_by: str | None = None,
+    seen_twice: bool = False,
+) -> DataFrame:
+    """``hit_rate`` with one column per condition: rate and pivot are one aggregate by subject."""
+    passed = pre_post(recog, conds, value, order_by, seen_twice).filter(F.col("pre") == 1)
+    return pivot_aggregate(passed, ["subj"], "cond", conds, strict_avg, "post")
+
+
 def dropped_items(recog: DataFrame, conds: Sequence[str] = PAIRED, order_by: str | None = None) -> DataFrame:
     """Mean and sd, per condition, of failed items per subject; subjects without any do not enter."""
     counts = hits_and_drops(recog, conds, order_by=order_by).filter(F.col("dropped_n") > 0)
@@ -177,16 +193,19 @@ def substitute_hits(
     """
     is_sub = F.col("cond") == sub
     gives = (F.col("time") == "pre") & (F.col("cond").isin(*givers) if givers else ~is_sub)
-    giver = F.struct(F.col("cond").alias("cond"), F.col("correct").alias("passed"))
-    picked = first_value(giver, gives, F.col(order_by)) if order_by else single_value(giver, gives, "giver")
+    # a listed condition travels as its position, so that the aggregate holds numbers only
+    cond = level_rank("cond", givers) if givers else F.col("cond")
+    pick = lambda c: first_value(c, gives, F.col(order_by)) if order_by else single_value(c, gives, "giver")
     per_item = recog.groupBy("subj", "item").agg(
-        picked.alias("_giver"),
+        pick(cond).alias("_cond"),
+        pick(F.col("correct")).alias("_passed"),
         F.count(F.when(is_sub, F.lit(1))).alias("_rows"),
         F.count(F.when(is_sub, F.col("correct"))).alias("_known"),
         F.sum(F.when(is_sub, F.col("correct"))).alias("_hits"),
     )
-    kept = per_item.filter((F.col("_rows") > 0) & (F.col("_giver.passed") == 1))
-    grouped = kept.groupBy(F.col("_giver.cond").alias("cond"), "subj").agg(
+    kept = per_item.filter((F.col("_rows") > 0) & (F.col("_passed") == 1))
+    giver = F.element_at(F.array(*[F.lit(g) for g in givers]), F.col("_cond")) if givers else F.col("_cond")
+    grouped = kept.groupBy(giver.alias("cond"), "subj").agg(
         F.sum("_rows").alias("_rows"), F.sum("_known").alias("_known"), F.sum("_hits").alias("_hits")
     )
     rate = F.when(F.col("_rows") == F.col("_known"), ratio("_hits", "_rows"))
@@ -301,11 +320,13 @@ def rating_table(pairs: DataFrame, conds: Sequence[str] = RATED) -> DataFrame:
 
 
 def symptom_links(scores: DataFrame, hits: DataFrame, rates: DataFrame, recall: DataFrame | None = None) -> DataFrame:
-    """Scores of each subject with item recognition (b - nt), mean rate and, if given, cued recognition (b - nt)."""
+    """Scores of each subject with item recognition (b - nt), mean rate and, if given, cued recognition (b - nt).
+
+    ``hits`` and ``recall`` have one column per condition.
+    """
 
     def loss(table: DataFrame, name: str) -> DataFrame:
-        cells = pivot_wider(table.filter(F.col("cond").isin(*PAIRED)), ["subj"], "cond", "hit_rate", PAIRED)
-        return cells.select("subj", (F.col("b") - F.col("nt")).alias(name))
+        return table.select("subj", (F.col("b") - F.col("nt")).alias(name))
 
     mean_rate = rates.filter(F.col("cond") == "nt").groupBy("subj").agg(strict_avg("rate").alias("intrusion"))
     others = [loss(hits, "item_recog"), mean_rate]

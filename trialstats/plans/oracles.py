@@ -207,6 +207,14 @@ ORACLES["level_order"] = f"""{TRIAL} SELECT cond, count(*) AS n,
   CASE cond WHEN 't' THEN 'Think' WHEN 'nt' THEN 'No-Think' WHEN 'b' THEN 'Baseline' WHEN 'filler' THEN 'Filler' END AS label
 FROM trials GROUP BY cond"""
 
+ORACLES["level_first_appearance"] = f"""{TRIAL} SELECT cond, min(event_id) AS first,
+  CAST(row_number() OVER (ORDER BY min(event_id)) AS INTEGER) AS rank FROM trials GROUP BY cond"""
+
+ORACLES["outcome_counts"] = f"""{TRIAL} SELECT subj, outcome, count(*) AS n FROM trials GROUP BY subj, outcome"""
+
+ORACLES["skipped_items"] = f"""{TRIAL} SELECT cond, skipped, count(*) AS n FROM (
+  SELECT cond, bool_or(val IS NULL) AS skipped FROM trials GROUP BY subj, cond, item) GROUP BY cond, skipped"""
+
 ORACLES["collapse_label"] = f"""{TRIAL} SELECT event_id, CASE WHEN contains(cond, 'new') THEN 'new' ELSE cond END AS cond
 FROM trials"""
 
@@ -585,6 +593,25 @@ ORACLES["ols_ci"] = f"""{TWO_COEFFICIENTS} SELECT l_returnflag, term, {r6('estim
   {r6(f'estimate - std_error * {T975}')} AS ci_t_low, {r6(f'estimate + std_error * {T975}')} AS ci_t_high,
   {r6('estimate - 1.96e0 * std_error')} AS ci_z_low, {r6('estimate + 1.96e0 * std_error')} AS ci_z_high FROM tests"""
 
+
+
+def p_text(p: str) -> str:
+    three = f"substr(printf('%.3f', round_even({p}, 3)), 2)"
+    return f"CASE WHEN {p} < 0.001 THEN '_p_ < .001' WHEN round_even({p}, 3) >= 1 THEN '_p_ > .999' ELSE '_p_ = ' || {three} END"
+
+
+ORACLES["ols_sentences"] = f"""{TWO_COEFFICIENTS}, sds AS (SELECT l_returnflag AS g, stddev_samp(l_extendedprice) AS sdy,
+  stddev_samp(l_quantity) AS sda, stddev_samp(l_discount) AS sdb FROM lineitem GROUP BY l_returnflag),
+full_ AS (SELECT *, {t_two_sided('t', 'df')} AS p,
+  CASE term WHEN 'quantity' THEN estimate * sda / sdy WHEN 'discount' THEN estimate * sdb / sdy END AS beta FROM tests JOIN sds ON g = l_returnflag)
+SELECT l_returnflag, term, CASE WHEN beta IS NOT NULL THEN printf('_B_ = %.2f, 95%% CI [%.2f, %.2f], $\\beta$ = %.2f, %s',
+  estimate, estimate - std_error * {T975}, estimate + std_error * {T975}, beta, {p_text('p')}) END AS report FROM full_"""
+
+ORACLES["ols_fit_sentences"] = f"""WITH {TWO}, f_ AS (
+  SELECT l_returnflag, 1 - (rss / (n - 3)) / (syy / (n - 1)) AS r, 2 AS k, n - 3 AS d2, ((syy - rss) / 2) / (rss / (n - 3)) AS f FROM two),
+full_ AS (SELECT *, {f_upper('f', 'k', 'd2')} AS p FROM f_)
+SELECT l_returnflag, printf('$R^2_{{adj}}$ = %.2f, _F_(%d, %d) = %.2f, %s', r, k, d2, f, {p_text('p')}) AS report FROM full_"""
+
 ORACLES["ols_fit_stats"] = f"""WITH {TWO}, f_ AS (
   SELECT l_returnflag, n, syy, rss, 2 AS k, n - 3 AS d2, ((syy - rss) / 2) / (rss / (n - 3)) AS f FROM two)
 SELECT l_returnflag, n, {r6('1 - rss / syy')} AS r_squared, {r6('1 - (rss / (n - 3)) / (syy / (n - 1))')} AS adj_r_squared,
@@ -618,13 +645,20 @@ SELECT l_returnflag, count(*) AS n, {r6('avg(e * e)')} AS loo_mse FROM left_out
 
 # Regression with a two-level factor: step 2 is two separate fits, step 1 pools within the levels --
 
-BY_STATUS = two_predictors("fit", "lineitem", "l_returnflag, l_linestatus", "l_extendedprice", "l_quantity", "l_discount")
-STEP2 = f"""{BY_STATUS}, step2 AS (
-  SELECT f.l_returnflag, f.n + o.n AS n, f.rss + o.rss AS rss,
+
+
+def step2_from(by: str, level: str, first: str, second: str) -> str:
+    """CTE ``step2`` from the CTE ``fit`` of separate fits per level of the factor."""
+    return f"""step2 AS (
+  SELECT f.{by}, f.n + o.n AS n, f.rss + o.rss AS rss,
     (f.b0 + o.b0) / 2 AS c0, o.b0 - f.b0 AS c1, (f.ba + o.ba) / 2 AS c2, (f.bb + o.bb) / 2 AS c3, o.ba - f.ba AS c4, o.bb - f.bb AS c5,
     f.v0 + o.v0 AS u0, f.va + o.va AS ua, f.vb + o.vb AS ub,
     f.ba AS slope_f, o.ba AS slope_o, f.va AS var_f, o.va AS var_o, f.n AS n_f, o.n AS n_o
-  FROM fit f JOIN fit o ON f.l_returnflag = o.l_returnflag AND f.l_linestatus = 'F' AND o.l_linestatus = 'O')"""
+  FROM fit f JOIN fit o ON f.{by} = o.{by} AND f.{level} = '{first}' AND o.{level} = '{second}')"""
+
+
+BY_STATUS = two_predictors("fit", "lineitem", "l_returnflag, l_linestatus", "l_extendedprice", "l_quantity", "l_discount")
+STEP2 = f"{BY_STATUS}, {step2_from('l_returnflag', 'l_linestatus', 'F', 'O')}"
 STEP2_TERMS = [
     ("(Intercept)", "c0", "u0 / 4"),
     ("group1", "c1", "u0"),
@@ -642,22 +676,27 @@ SELECT l_returnflag, term, {r6('''CASE term WHEN '(Intercept)' THEN NULL WHEN 'q
   CASE WHEN term = '(Intercept)' THEN NULL WHEN term IN ('quantity', 'discount') THEN 'standardised' ELSE 'raw' END AS std_kind
 FROM tests JOIN sds ON g = l_returnflag"""
 
-STEP1 = """pooled AS (
-  SELECT l_returnflag, sum(n) AS n, sum(saa) AS saa, sum(sbb) AS sbb, sum(sab) AS sab, sum(say) AS say, sum(sby) AS sby, sum(syy) AS syy
-  FROM fit GROUP BY l_returnflag),
+def step1_from(by: str, level: str, first: str, second: str) -> str:
+    """CTE ``step1`` from the CTE ``fit``: slopes pooled within the levels of the factor."""
+    return f"""pooled AS (
+  SELECT {by}, sum(n) AS n, sum(saa) AS saa, sum(sbb) AS sbb, sum(sab) AS sab, sum(say) AS say, sum(sby) AS sby, sum(syy) AS syy
+  FROM fit GROUP BY {by}),
 slopes AS (
   SELECT *, saa * sbb - sab * sab AS det, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba,
     (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb FROM pooled),
 step1 AS (
-  SELECT p.l_returnflag, CAST(p.n AS BIGINT) AS n, p.syy - p.ba * p.say - p.bb * p.sby AS rss, p.ba, p.bb, p.sbb / p.det AS va, p.saa / p.det AS vb,
+  SELECT p.{by}, CAST(p.n AS BIGINT) AS n, p.syy - p.ba * p.say - p.bb * p.sby AS rss, p.ba, p.bb, p.sbb / p.det AS va, p.saa / p.det AS vb,
     (f.my - p.ba * f.ma - p.bb * f.mb + o.my - p.ba * o.ma - p.bb * o.mb) / 2 AS c0,
     (o.my - p.ba * o.ma - p.bb * o.mb) - (f.my - p.ba * f.ma - p.bb * f.mb) AS c1,
     (1e0 / f.n + 1e0 / o.n) / 4 + (pow((f.ma + o.ma) / 2, 2) * p.sbb - 2 * (f.ma + o.ma) / 2 * (f.mb + o.mb) / 2 * p.sab
       + pow((f.mb + o.mb) / 2, 2) * p.saa) / p.det AS u0,
     (1e0 / f.n + 1e0 / o.n) + (pow(o.ma - f.ma, 2) * p.sbb - 2 * (o.ma - f.ma) * (o.mb - f.mb) * p.sab
       + pow(o.mb - f.mb, 2) * p.saa) / p.det AS u1
-  FROM slopes p JOIN fit f ON f.l_returnflag = p.l_returnflag AND f.l_linestatus = 'F'
-  JOIN fit o ON o.l_returnflag = p.l_returnflag AND o.l_linestatus = 'O')"""
+  FROM slopes p JOIN fit f ON f.{by} = p.{by} AND f.{level} = '{first}'
+  JOIN fit o ON o.{by} = p.{by} AND o.{level} = '{second}')"""
+
+
+STEP1 = step1_from('l_returnflag', 'l_linestatus', 'F', 'O')
 STEP1_TERMS = [("(Intercept)", "c0", "u0"), ("group1", "c1", "u1"), ("quantity", "ba", "va"), ("discount", "bb", "vb")]
 ORACLES["ols_step1"] = (
     f"WITH {BY_STATUS}, {STEP1}, {coefficient_rows('step1', 'l_returnflag', 'n - 4', STEP1_TERMS)} SELECT {COEFFICIENT_COLUMNS} FROM tests"
@@ -682,6 +721,9 @@ COMPARED = """compared AS (
 ORACLES["ols_model_compare"] = f"""WITH {STEP2}, {STEP1}, {COMPARED}
 SELECT l_returnflag, CAST(2 AS BIGINT) AS df_diff, d2 AS df_resid, {r6('f')} AS f_value, {r6(f_upper('f', 'k', 'd2'))} AS p_value FROM compared"""
 
+ORACLES["ols_compare_sentences"] = f"""WITH {STEP2}, {STEP1}, {COMPARED}, full_ AS (SELECT *, {f_upper('f', 'k', 'd2')} AS p FROM compared)
+SELECT l_returnflag, printf('_F_(%d, %d) = %.2f, %s', k, d2, f, {p_text('p')}) AS report FROM full_"""
+
 SLOPE_ROWS = """coefs AS (
   SELECT l_returnflag, 'F' AS level, slope_f AS slope, sqrt(rss / (n - 6) * var_f) AS std_error, n - 6 AS df FROM step2
   UNION ALL SELECT l_returnflag, 'O', slope_o, sqrt(rss / (n - 6) * var_o), n - 6 FROM step2),
@@ -690,6 +732,10 @@ ORACLES["simple_slopes"] = f"""WITH {STEP2}, {SLOPE_ROWS}, {HOLM_TERMS.format(by
 SELECT l_returnflag, level, {r6('slope')} AS slope, {r6('std_error')} AS std_error, df, {r6('t')} AS t, {r6('p')} AS p_value,
   {r6('slope - 1.96e0 * std_error')} AS ci_z_low, {r6('slope + 1.96e0 * std_error')} AS ci_z_high, {r6('p_adj')} AS p_adj FROM adjusted"""
 
+ORACLES["simple_slope_sentences"] = f"""WITH {STEP2}, {SLOPE_ROWS}, with_p AS (SELECT *, {t_two_sided('t', 'df')} AS p FROM tests)
+SELECT l_returnflag, level, printf('B = %.2f, 95%% CI [%.2f, %.2f], %s', slope, slope - 1.96e0 * std_error,
+  slope + 1.96e0 * std_error, {p_text('p')}) AS report FROM with_p"""
+
 ORACLES["simple_slopes_sd"] = f"""WITH {STEP2}, points AS (
   SELECT *, CASE side WHEN 'low' THEN m - s ELSE m + s END AS pt FROM (
     SELECT *, (n_o - n_f) / (2e0 * n) AS m, sqrt(n_f * (n_o / CAST(n AS DOUBLE)) / (n - 1)) AS s FROM step2) CROSS JOIN (VALUES ('low'), ('high')) v(side))
@@ -725,3 +771,14 @@ ORACLES["pca_regression"] = f"""{TO_DIFFERENCES}, {SUBJECTS}, {SUBJECT_COMPONENT
 {two_predictors('two', 'long', 'expt, vars', 'value', 'pc1', 'pc2')},
 {coefficient_rows('two', 'expt, vars', 'n - 3', [('(Intercept)', 'b0', 'v0'), ('pc1', 'ba', 'va'), ('pc2', 'bb', 'vb')])}
 SELECT expt, vars, term, {r6('estimate')} AS estimate, {r6('std_error')} AS std_error FROM tests"""
+
+SCORED_TOGETHER = SCORED.replace("v.g = s.expt", "v.g = 1")
+MODERATED = f"""{TO_DIFFERENCES}, {SUBJECTS}, {three_components('subjects', 'bdi', 'rrs', 'stais', '1')}, {SCORED_TOGETHER},
+{two_predictors('fit', 'long', 'vars, expt', 'value', 'pc1', 'pc2')}, {step2_from('vars', 'expt', 'ds', 'ts')}"""
+MODERATED_TERMS = [(t.replace("quantity", "pc1").replace("discount", "pc2"), est, var) for t, est, var in STEP2_TERMS]
+ORACLES["moderated_coefficients"] = f"""{MODERATED}, {coefficient_rows('step2', 'vars', 'n - 6', MODERATED_TERMS)},
+{HOLM_TERMS.format(by='vars')}
+SELECT vars, term, {r6('estimate')} AS estimate, {r6('std_error')} AS std_error, {r6('p')} AS p_value, {r6('p_adj')} AS p_adj FROM adjusted"""
+
+ORACLES["moderated_compare"] = f"""{MODERATED}, {step1_from('vars', 'expt', 'ds', 'ts')}, {COMPARED.replace('l_returnflag', 'vars')}
+SELECT vars, CAST(2 AS BIGINT) AS df_diff, d2 AS df_resid, {r6('f')} AS f_value, {r6(f_upper('f', 'k', 'd2'))} AS p_value FROM compared"""

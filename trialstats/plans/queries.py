@@ -96,9 +96,7 @@ def round_range(spark, sf):
 
 @query
 def keep_unused(spark, sf):
-    hits = _hits(spark, sf)
-    wide = reshape.pivot_wider(hits, ["subj"], "cond", "hit_rate", A.PAIRED)
-    return clean.compute_consuming(wide, ["b", "nt"], item_recog=F.col("b") - F.col("nt"))
+    return clean.compute_consuming(_hits_wide(spark, sf), ["b", "nt"], item_recog=F.col("b") - F.col("nt"))
 
 
 @query
@@ -149,6 +147,23 @@ def level_order(spark, sf):
     )
 
 
+@query
+def level_first_appearance(spark, sf):
+    return summarise.levels_by_appearance(trials(spark, sf), "cond", ORDER)
+
+
+@query
+def outcome_counts(spark, sf):
+    return summarise.count_by(trials(spark, sf), ["subj", "outcome"])
+
+
+@query
+def skipped_items(spark, sf):
+    log = trials(spark, sf)
+    items_ = summarise.any_by(log, ["subj", "cond", "item"], F.col("val").isNull(), "skipped")
+    return summarise.count_by(items_, ["cond", "skipped"])
+
+
 @query
 def collapse_label_(spark, sf):
     return trials(spark, sf).select("event_id", collapse_label("cond", "new", "new").alias("cond"))
@@ -420,13 +435,17 @@ def _scores(spark, sf):
 
 
 def _links(spark, sf):
-    return A.symptom_links(_scores(spark, sf), _hits(spark, sf), _rates(spark, sf))
+    return A.symptom_links(_scores(spark, sf), _hits_wide(spark, sf), _rates(spark, sf))
 
 
 def _hits(spark, sf, conds=A.PAIRED):
     return A.hit_rate(trials(spark, sf), conds, order_by=ORDER, seen_twice=True)
 
 
+def _hits_wide(spark, sf, conds=A.PAIRED):
+    return A.hit_rate_wide(trials(spark, sf), conds, order_by=ORDER, seen_twice=True)
+
+
 def _substitutes(spark, sf):
     return A.substitute_hits(trials(spark, sf), sub="filler", givers=["t", "nt"], order_by=ORDER)
 
@@ -454,8 +473,7 @@ def first_last_paired(spark, sf):
 
 @query
 def recall_paired(spark, sf):
-    rates = _hits(spark, sf, A.RATED)
-    return A.paired_by_condition(rates, "hit_rate", alternative="less")
+    return A.paired_levels(_hits_wide(spark, sf, A.RATED), alternative="less")
 
 
 @query
@@ -626,7 +644,25 @@ def ols_report(spark, sf):
 @query
 def ols_sentences(spark, sf):
     fits = _line_fits(spark, sf)
-    return ols.coefficient_report(ols.coefficients(fits, "two", ["l_returnflag"]))
+    table_ = ols.coefficient_report(ols.coefficients(fits, "two", ["l_returnflag"]))
+    return table_.select("l_returnflag", "term", "report")
+
+
+@query
+def ols_fit_sentences(spark, sf):
+    return ols.fit_stats(_line_fits(spark, sf), "two", ["l_returnflag"]).select("l_returnflag", "report")
+
+
+@query
+def ols_compare_sentences(spark, sf):
+    return ols.compare(_step_fits(spark, sf), "step1", "step2", ["l_returnflag"]).select("l_returnflag", "report")
+
+
+@query
+def simple_slope_sentences(spark, sf):
+    fits, terms = _step_fits(spark, sf), _step_terms()["step2"]
+    out = ols.simple_slopes(fits, "step2", terms, "quantity", "group1", ["l_returnflag"], {"F": -0.5, "O": 0.5})
+    return out.select("l_returnflag", "level", "report")
 
 
 @query
@@ -669,6 +705,22 @@ def pca_regression(spark, sf):
     return ols.coefficients(fits, "m", ["expt", "vars"]).select("expt", "vars", "term", "estimate", "std_error")
 
 
+def _moderated_three(spark, sf):
+    return A.moderated_regression(_subjects(spark, sf), COMPONENT_SCORES)
+
+
+@query
+def moderated_coefficients(spark, sf):
+    table_ = ols.with_holm(ols.coefficients(_moderated_three(spark, sf), "step2", ["vars"]), ["vars"])
+    return table_.select("vars", "term", "estimate", "std_error", "p_value", "p_adj")
+
+
+@query
+def moderated_compare(spark, sf):
+    out = ols.compare(_moderated_three(spark, sf), "step1", "step2", ["vars"])
+    return out.select("vars", "df_diff", "df_resid", "f_value", "p_value")
+
+
 @query
 def moderated_regression(spark, sf):
     fits = A.moderated_regression(_subjects(spark, sf), sorted(INSTRUMENTS))

@@ -30,6 +30,11 @@ def file_name() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
+def folder_from_file() -> Column:
+    """Name of the folder a row's file is in, for logs kept in one folder per participant."""
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+
+
 def subject_from_file() -> Column:
     """Subject id from the file name, for logs that do not carry one."""
     return F.regexp_extract(file_name(), r"^(\d+)_", 1).cast("int")

@@ -14,8 +14,19 @@ INSTRUMENTS = {"view": "bdi", "click": "rrs", "purchase": "stais", "signup": "st
 PRE_ENDS = "2024-01-16"
 
 
+# Fixed schemas: reading starts without a job that looks for them.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _map(column, mapping, otherwise):
@@ -30,9 +41,14 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_trials(table(spark, sf_dir, "events"))
 
 
+def _props_k():
+    # one flat number: a pattern reads it at a third of the cost of a JSON parse
+    return F.regexp_extract("props", r'"k"\s*:\s*(\d+)', 1).try_cast("int")
+
+
 def as_trials(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = _props_k()
     day_block = F.floor((F.dayofmonth("ts") - 1) / 3).cast("int")
     new = F.when(e % 2 == 1, F.lit("post_new")).otherwise(F.lit("pre_new"))
     return events.select(
@@ -65,7 +81,7 @@ def phase(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a questionnaire item log: instrument, item, key and value."""
     e = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = _props_k()
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("subj"),
         F.when(F.col("user_id") % 2 == 0, F.lit("ds")).otherwise(F.lit("ts")).alias("expt"),
