@@ -66,13 +66,10 @@ def holm_adjust(
     peaks = ranked.groupBy(*family, "_range").agg(F.max("_step").alias("_peak"))
     peaks = peaks.select(*family, "_range", F.max("_peak").over(before).alias("_earlier_peak"))
     adjusted = ranked.join(peaks, [*family, "_range"]).select(
-        *family,
-        p,
-        "_rows",
-        F.least(F.lit(1.0), F.greatest("_running", "_earlier_peak")).alias(name),
+        *family, p, F.least(F.lit(1.0), F.greatest("_running", "_earlier_peak")).alias(name)
     )
-    hot = group_hot_keys(adjusted, [*family, p], "_rows", hot_rows)
-    return lookup_join(df, adjusted.drop("_rows"), [*family, p], hot=hot, hot_rows=hot_rows)
+    hot = group_hot_keys(distinct, [*family, p], "_rows", hot_rows)
+    return lookup_join(df, adjusted, [*family, p], hot=hot, hot_rows=hot_rows)
 
 
 def lag_difference(df: DataFrame, value: str, order_by: str, keys: Sequence[str] = (), name: str = "diff") -> DataFrame:

@@ -114,58 +114,64 @@ def _residual_df(model: str) -> Column:
 
 
 def coefficients(
-    fits: DataFrame, model: str, keys: Sequence[str] = (), level: float = 0.95
+    fits: DataFrame, model: str | Sequence[str], keys: Sequence[str] = (), level: float = 0.95
 ) -> DataFrame:
-    """Long coefficient table of one model: estimate, se, t, p, Holm p, t and normal intervals, beta.
+    """Long coefficient table: estimate, se, t, p, t and normal intervals, beta.
 
     ``beta`` is the slope in standard deviations for numeric terms and the raw slope for factors and
-    interactions (``std_kind`` says which); the intercept has none.
+    interactions (``std_kind`` says which); the intercept has none. A list of models gives one table with a
+    ``model`` column, from the same rows of ``fits``.
     """
-    width = _size(model) + 1
-    ready = fits.filter(F.col(f"{model}.coef").isNotNull()).select(
-        *keys,
-        "sd_y",
-        _residual_df(model).alias("df"),
-        ratio(f"{model}.rss", _residual_df(model)).alias("_s2"),
-        F.col(f"{model}.sds").alias("_sds"),
-        F.col(f"{model}.kinds").alias("_kinds"),
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(0), _size(model)),
-                lambda i: F.struct(
-                    F.when(i == 0, F.lit(INTERCEPT)).otherwise(F.get(F.col(f"{model}.terms"), i - 1)).alias("term"),
-                    F.get(F.col(f"{model}.coef"), i).alias("estimate"),
-                    F.get(F.col(f"{model}.unscaled_cov"), i * width + i).alias("unscaled"),
-                ),
-            )
-        ).alias("term_index", "_row"),
+    several = not isinstance(model, str)
+    models = list(model) if several else [model]
+    rows = fits.select(
+        *keys, "sd_y", F.inline(F.flatten(F.array(*[_coefficient_rows(m) for m in models])))
     )
-    i = F.col("term_index")
-    kind = F.when(i == 0, None).otherwise(F.get("_kinds", i - 1))
     estimate, se = F.col("estimate"), F.col("std_error")
-    rows = ready.select(
+    numeric = F.col("kind") == "numeric"
+    out = rows.select(
         *keys,
+        *(["model"] if several else []),
         "term_index",
-        "_row.term",
-        "_row.estimate",
-        F.sqrt(F.col("_s2") * F.col("_row.unscaled")).alias("std_error"),
+        "term",
+        "estimate",
+        F.sqrt(F.col("s2") * F.col("unscaled")).alias("std_error"),
         "df",
-        F.when(kind == "numeric", ratio(F.col("_row.estimate") * F.get("_sds", i - 1), "sd_y"))
-        .when(kind.isNotNull(), F.col("_row.estimate"))
-        .alias("beta"),
-        F.when(kind == "numeric", "standardised").when(kind.isNotNull(), "raw").alias("std_kind"),
-    )
-    rows = rows.withColumn("statistic", ratio(estimate, se))
-    rows = rows.withColumn("p_value", t_p_value("statistic", "df"))
-    half = t_quantile((1 + level) / 2, "df") * se
-    return (
-        rows.withColumn("_half", half)
-        .withColumn("ci_t_low", estimate - F.col("_half"))
-        .withColumn("ci_t_high", estimate + F.col("_half"))
-        .withColumn("ci_z_low", estimate - NORMAL_95 * se)
-        .withColumn("ci_z_high", estimate + NORMAL_95 * se)
-        .drop("_half")
+        F.when(numeric, ratio(estimate * F.col("sd"), "sd_y")).when(~numeric, estimate).alias("beta"),
+        F.when(numeric, "standardised").when(~numeric, "raw").alias("std_kind"),
     )
+    out = out.withColumn("statistic", ratio(estimate, se))
+    out = out.withColumns({"p_value": t_p_value("statistic", "df"), "_half": t_quantile((1 + level) / 2, "df") * se})
+    return out.withColumns(
+        {
+            "ci_t_low": estimate - F.col("_half"),
+            "ci_t_high": estimate + F.col("_half"),
+            "ci_z_low": estimate - NORMAL_95 * se,
+            "ci_z_high": estimate + NORMAL_95 * se,
+        }
+    ).drop("_half")
+
+
+def _coefficient_rows(model: str) -> Column:
+    """Array of one struct per coefficient of a model; empty where there is no fit."""
+    width = _size(model) + 1
+    part = lambda name: F.col(f"{model}.{name}")
+
+    def row(i: Column) -> Column:
+        return F.struct(
+            F.lit(model).alias("model"),
+            i.alias("term_index"),
+            F.when(i == 0, F.lit(INTERCEPT)).otherwise(F.get(part("terms"), i - 1)).alias("term"),
+            F.get(part("coef"), i).alias("estimate"),
+            F.get(part("unscaled_cov"), i * width + i).alias("unscaled"),
+            F.get(part("sds"), i - 1).alias("sd"),
+            F.get(part("kinds"), i - 1).alias("kind"),
+            _residual_df(model).alias("df"),
+            ratio(part("rss"), _residual_df(model)).alias("s2"),
+        )
+
+    rows = F.transform(F.sequence(F.lit(0), _size(model)), row)
+    return F.filter(rows, lambda _: part("coef").isNotNull())
 
 
 def with_holm(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -180,11 +186,12 @@ def with_holm(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return grouped.select(*keys, F.inline(paired)).select(*keys, *[F.col(f"row.{c}") for c in order], "p_adj")
 
 
-def report_table(fits: DataFrame, model: str, keys: Sequence[str] = (), digits: int = 2) -> DataFrame:
+def report_table(fits: DataFrame, model: str | Sequence[str], keys: Sequence[str] = (), digits: int = 2) -> DataFrame:
     """Regression table for reading: rounded estimate and beta, interval text, p and Holm p as text."""
-    table = with_holm(coefficients(fits, model, keys), keys)
+    by = [*keys] if isinstance(model, str) else [*keys, "model"]
+    table = with_holm(coefficients(fits, model, keys), by)
     return table.select(
-        *keys,
+        *by,
         "term",
         F.bround("estimate", digits).alias("estimate"),
         interval("ci_z_low", "ci_z_high").alias("ci"),
@@ -194,22 +201,56 @@ def report_table(fits: DataFrame, model: str, keys: Sequence[str] = (), digits:
     )
 
 
+def side_by_side(table: DataFrame, smaller: str, larger: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Two models' rows of one coefficient table next to each other, suffixed ``_x`` and ``_y``.
+
+    Every term of the larger model is kept, as a right join of the two tables would; both come from one
+    table, so the join is an aggregate by term.
+    """
+    values = [c for c in table.columns if c not in (*keys, "model", "term")]
+    cells = [
+        F.max(F.when(F.col("model") == model, F.col(c))).alias(f"{c}{suffix}")
+        for model, suffix in ((smaller, "_x"), (larger, "_y"))
+        for c in values
+    ]
+    in_larger = F.bool_or(F.col("model") == larger).alias("_kept")
+    return table.groupBy(*keys, "term").agg(*cells, in_larger).filter("_kept").drop("_kept")
+
+
 def coefficient_report(table: DataFrame) -> DataFrame:
     """Add the one-line text of each coefficient, with its t interval."""
     return table.withColumn("report", coefficient_sentence("estimate", "ci_t_low", "ci_t_high", "beta", "p_value"))
 
 
+def _adjusted_r_squared(model: str) -> Column:
+    rss, dof = F.col(f"{model}.rss"), _residual_df(model)
+    return 1 - ratio(rss * (F.col("n") - 1), dof * F.col("tss"))
+
+
+def _overall_f(model: str) -> Column:
+    rss = F.col(f"{model}.rss")
+    return ratio((F.col("tss") - rss) * _residual_df(model), rss * _size(model))
+
+
+def _gain_f(smaller: str, larger: str) -> Column:
+    rss1, rss2 = F.col(f"{smaller}.rss"), F.col(f"{larger}.rss")
+    return ratio((rss1 - rss2) * _residual_df(larger), rss2 * _extra_terms(smaller, larger))
+
+
+def _extra_terms(smaller: str, larger: str) -> Column:
+    return (_size(larger) - _size(smaller)).cast("long")
+
+
 def fit_stats(fits: DataFrame, model: str, keys: Sequence[str] = ()) -> DataFrame:
     """R squared, adjusted R squared, F, its degrees of freedom and p, per group, with the report text."""
-    rss, k, dof = F.col(f"{model}.rss"), _size(model), _residual_df(model)
     out = fits.select(
         *keys,
         "n",
-        (1 - ratio(rss, "tss")).alias("r_squared"),
-        (1 - ratio(rss * (F.col("n") - 1), dof * F.col("tss"))).alias("adj_r_squared"),
-        ratio((F.col("tss") - rss) * dof, rss * k).alias("f_value"),
-        k.cast("long").alias("df_model"),
-        dof.alias("df_resid"),
+        (1 - ratio(f"{model}.rss", "tss")).alias("r_squared"),
+        _adjusted_r_squared(model).alias("adj_r_squared"),
+        _overall_f(model).alias("f_value"),
+        _size(model).cast("long").alias("df_model"),
+        _residual_df(model).alias("df_resid"),
     )
     out = out.withColumn("p_value", f_p_value("f_value", "df_model", "df_resid"))
     return out.withColumn("report", fit_sentence("adj_r_squared", "df_model", "df_resid", "f_value", "p_value"))
@@ -217,20 +258,43 @@ def fit_stats(fits: DataFrame, model: str, keys: Sequence[str] = ()) -> DataFram
 
 def compare(fits: DataFrame, smaller: str, larger: str, keys: Sequence[str] = ()) -> DataFrame:
     """F test of a model against one nested in it; both sit in the same row, so there is no join."""
-    rss1, rss2, dof2 = F.col(f"{smaller}.rss"), F.col(f"{larger}.rss"), _residual_df(larger)
-    extra = (_size(larger) - _size(smaller)).cast("long")
     out = fits.select(
         *keys,
-        rss1.alias("rss_smaller"),
-        rss2.alias("rss_larger"),
-        extra.alias("df_diff"),
-        dof2.alias("df_resid"),
-        ratio((rss1 - rss2) * dof2, rss2 * extra).alias("f_value"),
+        F.col(f"{smaller}.rss").alias("rss_smaller"),
+        F.col(f"{larger}.rss").alias("rss_larger"),
+        _extra_terms(smaller, larger).alias("df_diff"),
+        _residual_df(larger).alias("df_resid"),
+        _gain_f(smaller, larger).alias("f_value"),
     )
     out = out.withColumn("p_value", f_p_value("f_value", "df_diff", "df_resid"))
     return out.withColumn("report", comparison_sentence("df_diff", "df_resid", "f_value", "p_value"))
 
 
+def step_stats(fits: DataFrame, steps: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Per group and step: adjusted R squared, its p, gain over the previous step, and the last gain's p.
+
+    All of a group's steps come from its one row, in step order.
+    """
+    last = f_p_value(_gain_f(*steps[-2:]), _extra_terms(*steps[-2:]), _residual_df(steps[-1]))
+    flat = fits.select(
+        *keys,
+        last.alias("_p_diff"),
+        *[_adjusted_r_squared(m).alias(f"_r{i}") for i, m in enumerate(steps)],
+        *[f_p_value(_overall_f(m), _size(m), _residual_df(m)).alias(f"_p{i}") for i, m in enumerate(steps)],
+    )
+    rows = [
+        F.struct(
+            F.lit(i + 1).alias("step"),
+            F.col(f"_r{i}").alias("r_adj"),
+            F.col(f"_p{i}").alias("p_adj"),
+            (F.col(f"_r{i}") - F.col(f"_r{i - 1}") if i else F.lit(None).cast("double")).alias("r_diff"),
+            F.col("_p_diff").alias("p_diff"),
+        )
+        for i in range(len(steps))
+    ]
+    return flat.select(*keys, F.inline(F.array(*rows)))
+
+
 def simple_slopes(
     fits: DataFrame,
     model: str,

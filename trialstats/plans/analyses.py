@@ -28,8 +28,7 @@ from trialstats.functions.columns import (
 from trialstats.functions.distributions import t_p_value
 from trialstats.functions.text import format_p_cell
 from trialstats.operators import ols, pca
-from trialstats.operators.adjust import lag_difference
-from trialstats.operators.linking import bind_rows, join_all, join_suffixed, pair_by_key, unique_lookup
+from trialstats.operators.linking import bind_rows, join_all, pair_by_key, unique_lookup
 from trialstats.operators.paired import paired_t
 from trialstats.operators.reshape import (
     complete_counts,
@@ -412,24 +411,7 @@ def moderated_fits(scored: DataFrame, levels: tuple[str, str] = ("ds", "ts")) ->
 
 def step_tables(fits: DataFrame, keys: Sequence[str] = ("vars",)) -> DataFrame:
     """Coefficient tables of both steps side by side; every term of the second step is kept."""
-    tables = {s: ols.report_table(fits, s, keys) for s in ("step1", "step2")}
-    return join_suffixed(tables["step1"], tables["step2"], [*keys, "term"], "right")
-
-
-def model_steps(fits: DataFrame, keys: Sequence[str] = ("vars",)) -> DataFrame:
-    """Per measure and step: adjusted R squared, its p, gain over the previous step, and the gain's p."""
-    keys = list(keys)
-    steps = bind_rows(
-        [
-            ols.fit_stats(fits, name, keys).select(
-                *keys, F.lit(i).alias("step"), F.col("adj_r_squared").alias("r_adj"), F.col("p_value").alias("p_adj")
-            )
-            for i, name in enumerate(("step1", "step2"), start=1)
-        ]
-    )
-    steps = lag_difference(steps, "r_adj", "step", keys, "r_diff")
-    gain = ols.compare(fits, "step1", "step2", keys).select(*keys, F.col("p_value").alias("p_diff"))
-    return steps.join(gain, keys, "left")
+    return ols.side_by_side(ols.report_table(fits, ["step1", "step2"], keys), "step1", "step2", keys)
 
 
 def model_compare_table(fits: DataFrame, keys: Sequence[str] = ("vars",), as_text: bool = True) -> DataFrame:
@@ -439,7 +421,7 @@ def model_compare_table(fits: DataFrame, keys: Sequence[str] = ("vars",), as_tex
     """
     keys = list(keys)
     long = pivot_longer_split(
-        model_steps(fits, keys), [*keys, "step"], ["r_adj", "p_adj", "r_diff", "p_diff"], ["type", "type2"]
+        ols.step_stats(fits, ["step1", "step2"], keys), [*keys, "step"], ["r_adj", "p_adj", "r_diff", "p_diff"], ["type", "type2"]
     )
     wide = pivot_wider(
         long, [*keys, "type2"], ["type", "step"], "value", [(t, s) for t in ("r", "p") for s in (1, 2)]

@@ -715,6 +715,10 @@ SELECT b.l_returnflag, b.term, {r6('a.estimate')} AS estimate_x, {r6('a.std_erro
   {r6('b.estimate')} AS estimate_y, {r6('b.std_error')} AS std_error_y
 FROM a RIGHT JOIN b ON a.l_returnflag = b.l_returnflag AND a.term = b.term"""
 
+ORACLES["join_tables_right"] = """SELECT e.l_suppkey, f.n AS n_x, e.n AS n_y
+FROM (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey) f
+RIGHT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) e ON f.l_suppkey = e.l_suppkey"""
+
 COMPARED = """compared AS (
   SELECT s2.l_returnflag, s1.rss AS rss1, s2.rss AS rss2, 2 AS k, s2.n - 6 AS d2, ((s1.rss - s2.rss) / 2) / (s2.rss / (s2.n - 6)) AS f
   FROM step1 s1 JOIN step2 s2 ON s1.l_returnflag = s2.l_returnflag)"""

@@ -269,12 +269,17 @@ def join_chain_subject(spark, sf):
 
 @query
 def join_right_suffix(spark, sf):
-    fits = _step_fits(spark, sf)
-    tables = [
-        ols.coefficients(fits, s, ["l_returnflag"]).select("l_returnflag", "term", "estimate", "std_error")
-        for s in ("step1", "step2")
-    ]
-    return linking.join_suffixed(*tables, ["l_returnflag", "term"], "right")
+    steps = ols.coefficients(_step_fits(spark, sf), ["step1", "step2"], ["l_returnflag"])
+    steps = steps.select("l_returnflag", "model", "term", "estimate", "std_error")
+    return ols.side_by_side(steps, "step1", "step2", ["l_returnflag"])
+
+
+@query
+def join_tables_right(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    first = lines.filter(F.col("l_linenumber") == 1).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    every = lines.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return linking.join_suffixed(first, every, ["l_suppkey"], "right")
 
 
 @query
@@ -598,9 +603,8 @@ def ols_two_predictors(spark, sf):
 
 @query
 def ols_nested_models(spark, sf):
-    fits = _line_fits(spark, sf)
-    tables = {m: ols.coefficients(fits, m, ["l_returnflag"]).select("l_returnflag", "term", "estimate") for m in ("one", "two")}
-    return linking.bind_tagged(tables, "model")
+    both = ols.coefficients(_line_fits(spark, sf), ["one", "two"], ["l_returnflag"])
+    return both.select("l_returnflag", "model", "term", "estimate")
 
 
 @query
