@@ -35,6 +35,10 @@ def _complete(rows: pd.Series, size: int) -> np.ndarray:
     )
 
 
+def _frame(columns: dict[str, list]) -> pd.DataFrame:
+    return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
+
+
 @F.pandas_udf(FIT_TYPE)
 def solve_least_squares(n: pd.Series, means: pd.Series, cross: pd.Series) -> pd.DataFrame:
     """Least squares from centred moments of (x1..xk, y).
@@ -43,15 +47,15 @@ def solve_least_squares(n: pd.Series, means: pd.Series, cross: pd.Series) -> pd.
     and slopes, the unscaled covariance of all k + 1 coefficients, and the residual sum of squares.
     Groups with too few rows or collinear predictors give NULL.
     """
-    out = pd.DataFrame({name: [None] * len(n) for name in FIT_TYPE.names}, dtype=object)
+    out = {name: [None] * len(n) for name in FIT_TYPE.names}
     sizes = [len(m) for m in means if m is not None]
     if not sizes:
-        return out
+        return _frame(out)
     width = sizes[0]
     k = width - 1
     usable = np.flatnonzero(_complete(means, width) & _complete(cross, width * width) & (n.to_numpy() > width))
     if not len(usable):
-        return out
+        return _frame(out)
     count = n.to_numpy(dtype=float)[usable]
     mean = np.stack([np.asarray(means.iloc[i], dtype=float) for i in usable])
     moment = np.stack([np.asarray(cross.iloc[i], dtype=float) for i in usable]).reshape(-1, width, width)
@@ -72,12 +76,12 @@ def solve_least_squares(n: pd.Series, means: pd.Series, cross: pd.Series) -> pd.
     cov[:, 1:, 1:] = inverse
     cov[:, 0, 1:] = cov[:, 1:, 0] = -pull
     cov[:, 0, 0] = 1 / count + np.einsum("gi,gi->g", pull, mean[:, :k])
-    for g, row in enumerate(usable):
-        if solvable[g]:
-            out.iat[row, 0] = [float(intercept[g]), *map(float, slope[g])]
-            out.iat[row, 1] = cov[g].ravel().tolist()
-            out.iat[row, 2] = float(rss[g])
-    return out
+    coef = np.column_stack([intercept, slope]).tolist()
+    flat, left = cov.reshape(len(usable), -1).tolist(), rss.tolist()
+    for g in np.flatnonzero(solvable):
+        row = usable[g]
+        out["coef"][row], out["unscaled_cov"][row], out["rss"][row] = coef[g], flat[g], left[g]
+    return _frame(out)
 
 
 @F.pandas_udf(PCA_TYPE)
@@ -86,20 +90,19 @@ def decompose_correlations(corr: pd.Series) -> pd.DataFrame:
 
     Each eigenvector's entry of largest magnitude is positive.
     """
-    out = pd.DataFrame({name: [None] * len(corr) for name in PCA_TYPE.names}, dtype=object)
+    out = {name: [None] * len(corr) for name in PCA_TYPE.names}
     sizes = [len(c) for c in corr if c is not None]
     if not sizes:
-        return out
+        return _frame(out)
     p = int(round(sizes[0] ** 0.5))
     usable = np.flatnonzero(_complete(corr, p * p))
     if not len(usable):
-        return out
+        return _frame(out)
     matrix = np.stack([np.asarray(corr.iloc[i], dtype=float) for i in usable]).reshape(-1, p, p)
     values, vectors = np.linalg.eigh(matrix)
     values, vectors = np.maximum(values[:, ::-1], 0.0), vectors[:, :, ::-1].transpose(0, 2, 1)
     top = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=2)[:, :, None], axis=2)
     vectors = vectors * np.where(top < 0, -1.0, 1.0)
-    for g, row in enumerate(usable):
-        out.iat[row, 0] = values[g].tolist()
-        out.iat[row, 1] = vectors[g].tolist()
-    return out
+    for row, spectrum, basis in zip(usable, values.tolist(), vectors.tolist(), strict=True):
+        out["variances"][row], out["loadings"][row] = spectrum, basis
+    return _frame(out)

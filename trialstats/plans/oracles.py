@@ -448,6 +448,18 @@ ORACLES["conditioned_rate"] = f"""{TO_RATES} SELECT subj, block, cond, {r6('rate
 ORACLES["change_score"] = f"""{TO_CHANGE} SELECT subj, cond, dim, {r6('pre')} AS pre, {r6('post')} AS post, {r6('diff')} AS diff
 FROM change"""
 
+PAIRS_CORRECT = PAIRS.replace("FROM cells WHERE cond IN", "FROM cells_correct WHERE cond IN").replace(
+    "max(CASE WHEN time = 'pre' THEN correct END) AS passed",
+    "(SELECT c.correct FROM cells c WHERE c.subj = cells_correct.subj AND c.cond = cells_correct.cond "
+    "AND c.item = cells_correct.item AND c.time = 'pre') AS passed",
+)
+CORRECT_CELLS = """cells_correct AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY subj, cond, item, time ORDER BY event_id) AS rn FROM trials WHERE correct = 1
+  ) WHERE rn = 1)"""
+ORACLES["change_score_correct"] = f"""{with_ctes(SQL_TRIALS, FIRST_PER_CELL, CORRECT_CELLS, PAIRS_CORRECT, CHANGE)}
+SELECT subj, cond, dim, {r6('pre')} AS pre, {r6('post')} AS post, {r6('diff')} AS diff FROM change"""
+
 ORACLES["substitute_hit_rate"] = f"""{TO_SUBSTITUTES} SELECT cond, subj, {r6('hit_rate')} AS hit_rate FROM substitutes"""
 
 ORACLES["first_last_paired"] = paired(TO_FIRST_LAST, "first_last", "block1", "block10", alternative="greater")
@@ -703,9 +715,9 @@ ORACLES["ols_step1"] = (
 )
 
 
-def _term_rows(name: str, df: str, terms: list[tuple[str, str, str]]) -> str:
+def _term_rows(name: str, df: str, terms: list[tuple[str, str, str]], extra: str = "") -> str:
     return " UNION ALL ".join(
-        f"SELECT l_returnflag, '{t}' AS term, {est} AS estimate, sqrt(rss / ({df}) * ({var})) AS std_error FROM {name}"
+        f"SELECT l_returnflag, '{t}' AS term, {est} AS estimate, sqrt(rss / ({df}) * ({var})) AS std_error{extra} FROM {name}"
         for t, est, var in terms
     )
 
@@ -715,6 +727,22 @@ SELECT b.l_returnflag, b.term, {r6('a.estimate')} AS estimate_x, {r6('a.std_erro
   {r6('b.estimate')} AS estimate_y, {r6('b.std_error')} AS std_error_y
 FROM a RIGHT JOIN b ON a.l_returnflag = b.l_returnflag AND a.term = b.term"""
 
+BOTH_STEPS = (
+    f"coefs AS (SELECT 'step1' AS model, n - 4 AS df, * FROM ({_term_rows('step1', 'n - 4', STEP1_TERMS, ', n')}) "
+    f"UNION ALL SELECT 'step2', n - 6, * FROM ({_term_rows('step2', 'n - 6', STEP2_TERMS, ', n')})), "
+    "tests AS (SELECT *, estimate / std_error AS t FROM coefs)"
+)
+REPORT_CELLS = f"""cells AS (SELECT l_returnflag, model, term, round_even(estimate, 2) + 0e0 AS estimate,
+    printf('[%.2f,%.2f]', estimate - 1.96e0 * std_error, estimate + 1.96e0 * std_error) AS ci,
+    round_even(CASE term WHEN '(Intercept)' THEN NULL WHEN 'quantity' THEN estimate * sda / sdy
+      WHEN 'discount' THEN estimate * sdb / sdy ELSE estimate END, 2) + 0e0 AS beta,
+    {p_cell('p')} AS p_value, {p_cell('p_adj')} AS p_adj FROM adjusted JOIN sds ON g = l_returnflag)"""
+ORACLES["step_tables"] = f"""WITH {STEP2}, {STEP1}, {BOTH_STEPS}, {HOLM_TERMS.format(by='l_returnflag, model')}, sds AS ({TWO_SDS}), {REPORT_CELLS}
+SELECT b.l_returnflag, b.term, a.estimate AS estimate_x, a.ci AS ci_x, a.beta AS beta_x, a.p_value AS p_value_x, a.p_adj AS p_adj_x,
+  b.estimate AS estimate_y, b.ci AS ci_y, b.beta AS beta_y, b.p_value AS p_value_y, b.p_adj AS p_adj_y
+FROM (SELECT * FROM cells WHERE model = 'step1') a RIGHT JOIN (SELECT * FROM cells WHERE model = 'step2') b
+  ON a.l_returnflag = b.l_returnflag AND a.term = b.term"""
+
 ORACLES["join_tables_right"] = """SELECT e.l_suppkey, f.n AS n_x, e.n AS n_y
 FROM (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey) f
 RIGHT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) e ON f.l_suppkey = e.l_suppkey"""

@@ -465,6 +465,12 @@ def change_score(spark, sf):
     return _change(spark, sf)
 
 
+@query
+def change_score_correct(spark, sf):
+    log, pretest = trials(spark, sf), phase(spark, sf, "pre")
+    return A.rating_change(A.rating_pairs(log, pretest, only_correct=True, order_by=ORDER))
+
+
 @query
 def substitute_hit_rate(spark, sf):
     return _substitutes(spark, sf)
