@@ -68,26 +68,33 @@ def test_lookup_keys_must_be_unique(spark):
     assert tuple(linking.key_uniqueness(df, ["k"]).first()) == (1, 2, 1, 2)
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 50, 7])
+@pytest.mark.parametrize("hot_rows", [1_000_000, 20, 2])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_lookup_join_with_hot_keys_equals_a_plain_join(spark, hot_rows, how):
+@pytest.mark.parametrize("key_type", ["int", "bigint"])
+def test_lookup_join_with_hot_keys_equals_a_plain_join(spark, hot_rows, how, key_type):
     rows = [(i, 1 if i % 3 == 0 else i % 20) for i in range(600)] + [(1000, None), (1001, None)]
     left = spark.createDataFrame(rows, "id int, k int")
-    lookup = spark.createDataFrame([(k, f"v{k}") for k in range(0, 15)], "k int, v string")
+    lookup = spark.createDataFrame([(k, f"v{k}") for k in range(0, 15)], f"k {key_type}, v string")
     got = linking.lookup_join(left, lookup, ["k"], how, hot_rows=hot_rows)
     assert got.columns == ["id", "k", "v"]
     assert values(got) == values(left.join(lookup, "k", how).select("id", "k", "v"))
 
 
-def test_hot_key_rows_are_spread_over_salts(spark):
+def test_hot_bucket_is_split_by_its_share(spark):
+    left = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    bucket = left.select(linking.key_bucket(["k"]).alias("b")).groupBy("b").count()
+    top = bucket.orderBy(F.desc("count")).first()
+    assert values(linking.bucket_splits(left, ["k"], hot_rows=100)) == [(top.b, -(-top["count"] // 100))]
+    assert values(linking.bucket_splits(left, ["k"])) == []
+    counted = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert values(linking.bucket_splits(counted, ["k"], 100, "n")) == [(top.b, -(-top["count"] // 100))]
+
+
+def test_hot_rows_reach_the_join_in_even_parts(spark):
     left = spark.range(1000).select(F.lit(1).alias("k"), "id")
-    hot = linking.hot_keys(left, ["k"], hot_rows=100)
-    assert values(hot) == [(1, 1000)]
-    lookup = spark.createDataFrame([(1, "a")], "k int, v string")
-    plan = linking.lookup_join(left, lookup, ["k"], hot_rows=100)._jdf.queryExecution().toString()
-    assert "_salt" in plan
-    per_salt = Counter(r[0] for r in left.select(F.pmod(F.xxhash64("k", "id"), F.lit(10))).collect())
-    assert len(per_salt) == 10 and max(per_salt.values()) < 200
+    assert values(linking.bucket_splits(left, ["k"], 50))[0][1] == 20
+    per_part = Counter(r[0] for r in left.select(F.pmod(F.xxhash64("k", "id"), F.lit(20))).collect())
+    assert len(per_part) == 20 and max(per_part.values()) < 90
 
 
 def test_inherit_takes_the_condition_of_the_other_row(spark):

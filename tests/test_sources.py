@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trialstats.operators.summarise import any_by, count_by
 from trialstats.session import shared_dir
 from trialstats.sources import logs, tables
 
@@ -102,6 +103,35 @@ def test_fact_table_round_trip_prunes_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(expt" in one._jdf.queryExecution().toString()
 
 
+def test_facts_are_written_in_few_even_files(spark):
+    df = spark.range(0, 4000, numPartitions=16).select(
+        F.col("id").alias("subj"), F.when(F.col("id") % 3 == 0, "ds").otherwise("ts").alias("expt")
+    )
+    path = f"{shared_dir(spark)}/facts"
+    tables.save_facts(df, path)
+    back = tables.load_table(spark, path)
+    assert back.count() == 4000
+    assert back.select(F.col("_metadata.file_path").alias("f")).distinct().count() <= 4
+
+
+def test_intermediate_tables_round_trip(spark):
+    path = f"{shared_dir(spark)}/table"
+    tables.save_table(spark.createDataFrame([(1, None), (2, 0.5)], "subj int, val double"), path)
+    assert rows(tables.load_table(spark, path)) == [(1, None), (2, 0.5)]
+
+
+def test_participants_by_folder(spark, tmp_path):
+    schema = logs.log_schema("subjID int, itemID int, val int")
+    write(tmp_path / "24_a", "24_pre-rating_x.csv", "24,1,5", "24,2,")
+    write(tmp_path / "24_b", "24_pre-rating_x.csv", "24,1,")
+    log = logs.read_glob(
+        spark, str(tmp_path), "*_{pre,post}-rating_*.csv", schema, header=False, recursive=True,
+        file_columns={"who": logs.folder_from_file()},
+    )
+    skipped = any_by(log, ["who", "itemID"], F.col("val").isNull(), "skipped")
+    assert rows(count_by(skipped, ["who", "skipped"])) == [("24_a", False, 1), ("24_a", True, 1), ("24_b", True, 1)]
+
+
 def test_wide_export_writes_headers(spark, tmp_path):
     path = f"{shared_dir(spark)}/wide"
     tables.export_csv(spark.createDataFrame([(1, 0.5, None)], "subjID int, diff_aro_b double, bdi int"), path)

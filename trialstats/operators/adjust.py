@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialstats.operators.linking import HOT_ROWS, group_hot_keys, lookup_join
+from trialstats.operators.linking import HOT_ROWS, bucket_splits, lookup_join
 
 # p-values are cut into ranges of 1/64 in log p: at most about 48,000 ranges over all doubles.
 RANGES_PER_LOG = 64
@@ -68,8 +68,8 @@ def holm_adjust(
     adjusted = ranked.join(peaks, [*family, "_range"]).select(
         *family, p, F.least(F.lit(1.0), F.greatest("_running", "_earlier_peak")).alias(name)
     )
-    hot = group_hot_keys(distinct, [*family, p], "_rows", hot_rows)
-    return lookup_join(df, adjusted, [*family, p], hot=hot, hot_rows=hot_rows)
+    splits = bucket_splits(distinct, [*family, p], hot_rows, "_rows")
+    return lookup_join(df, adjusted, [*family, p], splits=splits)
 
 
 def lag_difference(df: DataFrame, value: str, order_by: str, keys: Sequence[str] = (), name: str = "diff") -> DataFrame:

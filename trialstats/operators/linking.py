@@ -10,13 +10,14 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialstats.operators.clean import NO_KEY_SPLITS
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
+HOT_FACTOR = 4
+BUCKETS = 4096
 
 
 def unique_lookup(df: DataFrame, keys: Sequence[str], values: Sequence[str], order_by: str | None = None) -> DataFrame:
@@ -31,10 +32,29 @@ def unique_lookup(df: DataFrame, keys: Sequence[str], values: Sequence[str], ord
     return df.groupBy(*keys).agg(*[single.otherwise(F.first(v)).alias(v) for v in values])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows and their row counts: the largest ``MAX_HOT_KEYS`` of them."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= hot_rows)
-    return counts.orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
+def key_bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _no_key(keys: Sequence[str]) -> Column:
+    return reduce(or_, [F.col(k).isNull() for k in keys])
+
+
+def bucket_splits(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, rows: str | None = None) -> DataFrame:
+    """Buckets of keys that hold far more than their share of rows, and into how many parts to split each.
+
+    Keys are hashed into ``BUCKETS`` buckets and counted, which a map task reduces to one number per bucket
+    (``rows`` names a column of counts when the input is counted already). A bucket is hot above
+    ``HOT_FACTOR`` times the larger of ``hot_rows`` and the average bucket, and is split into parts of that
+    size. The table has at most ``BUCKETS`` rows, is exact, and is the same however often it is computed.
+    """
+    weight = F.count(F.lit(1)) if rows is None else F.sum(rows)
+    counts = df.filter(~_no_key(keys)).groupBy(key_bucket(keys).alias("_bucket")).agg(weight.alias("_rows"))
+    everything = Window.partitionBy(F.lit(0))  # over at most BUCKETS rows
+    part = F.greatest(F.lit(float(hot_rows)), F.sum("_rows").over(everything) / BUCKETS)
+    sized = counts.select("_bucket", "_rows", part.alias("_part"))
+    hot = sized.filter(F.col("_rows") > HOT_FACTOR * F.col("_part"))
+    return hot.select("_bucket", F.ceil(F.col("_rows") / F.col("_part")).cast("int").alias("_splits"))
 
 
 def lookup_join(
@@ -42,42 +62,36 @@ def lookup_join(
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    hot: DataFrame | None = None,
+    splits: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Attach the lookup's columns to every left row, splitting the hot keys of the left side.
 
-    ``lookup`` has one row per key. A left key with n rows is dealt over ceil(n / hot_rows) salts and
-    its lookup row is repeated once per salt, so that no task gets more than about ``hot_rows`` rows of
-    it; all other keys join as usual. The salt is a hash of the row, hence the same on a retry. The hot
-    key table has at most ``MAX_HOT_KEYS`` rows and is therefore safe to broadcast; keys beyond it are
-    left to adaptive skew handling. Pass ``hot`` (keys and ``_rows``) when counts are at hand already.
+    ``lookup`` has one row per key. Left rows of a hot bucket (see ``bucket_splits``) are dealt over its parts
+    by a hash of the row, hence the same on a retry, and the bucket's lookup rows are repeated once per part;
+    all other keys join as usual. Hot buckets repeat lookup rows in proportion to their share of the left
+    rows, so the lookup at most doubles. Rows with a missing key match nothing and are spread out. Pass
+    ``splits`` when row counts are at hand already.
     """
     keys = list(keys)
     if not keys:
         return left.join(F.broadcast(lookup), F.lit(True), how)  # an ungrouped aggregate: one row
-    hot = hot_keys(left, keys, hot_rows) if hot is None else hot
-    splits = hot.select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_splits"))
+    types = {f.name: f.dataType for f in left.schema.fields}
+    lookup = lookup.select(*[F.col(c).try_cast(types[c]).alias(c) if c in keys else c for c in lookup.columns])
+    splits = F.broadcast(bucket_splits(left, keys, hot_rows) if splits is None else splits)  # <= BUCKETS rows
     row_hash = F.xxhash64(*left.columns)
-    no_key = reduce(or_, [F.col(k).isNull() for k in keys])  # matches nothing, so any task may hold it
-    salted_left = left.join(F.broadcast(splits), keys, "left").withColumn(
-        "_salt",
-        F.when(no_key, F.pmod(row_hash, F.lit(NO_KEY_SPLITS)).cast("int"))
-        .when(F.col("_splits").isNotNull(), F.pmod(row_hash, F.col("_splits")).cast("int"))
-        .otherwise(0),
-    )
-    salted_lookup = lookup.join(F.broadcast(splits), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits") - 1, F.lit(0))))
+    salt = (
+        F.when(_no_key(keys), F.pmod(row_hash, F.lit(NO_KEY_SPLITS)))
+        .when(F.col("_splits").isNotNull(), F.pmod(row_hash, F.col("_splits")))
+        .otherwise(0)
     )
-    joined = salted_left.drop("_splits").join(salted_lookup.drop("_splits"), [*keys, "_salt"], how)
-    added = [c for c in lookup.columns if c not in keys]
-    return joined.select(*left.columns, *added)
-
-
-def group_hot_keys(lookup: DataFrame, keys: Sequence[str], rows: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hot keys read off a per-group table that already holds its row counts."""
-    counts = lookup.select(*keys, F.col(rows).alias("_rows")).filter(F.col("_rows") >= hot_rows)
-    return counts.orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
+    dealt = left.withColumn("_bucket", key_bucket(keys)).join(splits, "_bucket", "left")
+    dealt = dealt.withColumn("_salt", salt.cast("int")).select(*left.columns, "_salt")
+    parts = F.sequence(F.lit(0), F.coalesce(F.col("_splits") - 1, F.lit(0)))
+    repeated = lookup.withColumn("_bucket", key_bucket(keys)).join(splits, "_bucket", "left")
+    repeated = repeated.select(*lookup.columns, F.explode(parts).alias("_salt"))
+    joined = dealt.join(repeated, [*keys, "_salt"], how)
+    return joined.select(*left.columns, *[c for c in lookup.columns if c not in keys])
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -26,7 +26,7 @@ from trialstats.functions.text import (
     slope_sentence,
 )
 from trialstats.operators.adjust import holm_values
-from trialstats.operators.linking import HOT_ROWS, group_hot_keys, lookup_join
+from trialstats.operators.linking import HOT_ROWS, bucket_splits, lookup_join
 
 INTERCEPT = "(Intercept)"
 NORMAL_95 = 1.96  # fixed value: half width, in standard errors, of the report intervals
@@ -370,8 +370,8 @@ def leave_one_out(
     ).dropna(how="any", subset=[*names, "_y"])
     fits = fit_models(rows, "_y", {"m": [Term.numeric(n) for n in names]}, keys)
     table = fits.select(*keys, "n", F.col("m.coef").alias("_coef"), F.col("m.unscaled_cov").alias("_cov"))
-    hot = group_hot_keys(table, keys, "n", hot_rows) if keys else None
-    joined = lookup_join(rows, table.drop("n"), keys, how="inner", hot=hot, hot_rows=hot_rows)
+    splits = bucket_splits(table, keys, hot_rows, "n") if keys else None
+    joined = lookup_join(rows, table.drop("n"), keys, how="inner", splits=splits)
     x = [F.lit(1.0), *[F.col(n) for n in names]]
     width = len(x)
     fitted = sum((F.col("_coef")[i] * v for i, v in enumerate(x)), F.lit(0.0))
