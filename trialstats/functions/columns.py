@@ -28,7 +28,7 @@ def correlation(x: ColumnLike, y: ColumnLike) -> Column:
     x, y = as_col(x), as_col(y)
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    return ratio(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    return ratio(F.covar_samp(x, y), F.sqrt(F.var_samp(x)) * F.sqrt(F.var_samp(y)))
 
 
 def strict_agg(
