@@ -5,23 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialstats.llm import packing, substrings
-from trialstats.llm.common import documents
+from trialstats.llm import bpe, language, ordered, packing, quality, substrings
+from trialstats.llm.common import documents, remainder
 
 DIGEST = "sha2(cast({} as binary), 256)"
 
 
+def _folded(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _folded(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    model = language.train(docs.filter("NOT held_out").select("text", "lang"))
+    return language.predict(docs, model, ["doc_id", "held_out"]).select("carried.*", "lang_pred", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).drop("row")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.round_trip(documents(spark, sf_dir), digests=True)
+    return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.fingerprints(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_chars",
+        F.expr(DIGEST.format("edited")).alias("edited_sha256"),
+        ordered.printed("signature").alias("fingerprint"),
+        ordered.printed("edited_signature").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = _folded(spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("NOT held_out")
+    model = quality.train(docs, labels)
+    out = quality.score(_folded(docs), model, ["doc_id", "held_out"]).select("carried.*", "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.expr(DIGEST.format("kept")).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_packing": op2_packing,
+    "op5_bpe": op5_bpe,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_quality": op8_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
