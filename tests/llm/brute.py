@@ -55,3 +55,43 @@ def edits(a, b):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
     return row[-1]
+
+
+def shingle_counts(text, length=5):
+    w = words(text)
+    if not w:
+        return None
+    out = defaultdict(int)
+    for i in range(max(1, len(w) - length + 1)):
+        out[tuple(w[i : i + length])] += 1
+    return out
+
+
+def overlap(a, b):
+    both = sum(min(n, b[k]) for k, n in a.items() if k in b)
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def near_classes(rows, least=0.8):
+    """(doc_id, text) with distinct ids -> {doc_id: smallest id of its component}."""
+    sets = {d: shingle_counts(t) for d, t in rows}
+    by = defaultdict(set)
+    for d, s in sets.items():
+        for k in s or ():
+            by[k].add(d)
+    label = {d: d for d in sets}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, s in sets.items():
+        if s:
+            # of a similar pair, more than half of the shingles are shared, so some of the first half and one is
+            for b in set().union(*(by[k] for k in list(s)[: len(s) // 2 + 1])):
+                if a < b or True:
+                    if overlap(s, sets[b]) >= least:
+                        x, y = sorted((root(a), root(b)))
+                        label[y] = x
+    return {d: root(d) for d in sets}

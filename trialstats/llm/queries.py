@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialstats.llm import bpe, language, ordered, packing, quality, substrings
+from trialstats.llm import bpe, language, minhash, ordered, packing, quality, substrings
 from trialstats.llm.common import documents, remainder
 
 DIGEST = "sha2(cast({} as binary), 256)"
@@ -30,6 +30,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_of")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.fingerprints(documents(spark, sf_dir)).select(
         "doc_id",
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_packing": op2_packing,
     "op5_bpe": op5_bpe,
+    "op6_near_dedup": op6_near_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
     "op10_substring_dedup": op10_substring_dedup,
