@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialstats.llm import bpe, language, minhash, ordered, packing, quality, substrings
+from trialstats.llm import bpe, language, lines, minhash, ordered, packing, quality, substrings
 from trialstats.llm.common import documents, remainder
 
 DIGEST = "sha2(cast({} as binary), 256)"
@@ -25,6 +25,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).drop("row")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.remove_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.expr(DIGEST.format("kept")).alias("kept_sha256"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(documents(spark, sf_dir), digests=True)
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
@@ -62,6 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language": op1_language,
     "op2_packing": op2_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_near_dedup": op6_near_dedup,
     "op7_fingerprints": op7_fingerprints,
@@ -70,6 +76,35 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
+            FROM documents),
+        worded AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines),
+        long AS (SELECT * FROM worded WHERE len(w) >= 5),
+        firsts AS (SELECT w, min(struct_pack(d := doc_id, p := pos)) AS f FROM long GROUP BY w),
+        halves AS (
+            SELECT w, f, unnest([
+                'f' || array_to_string(w[1:len(w) // 2], ' '), 'f' || array_to_string(w[1:(len(w) - 1) // 2], ' '),
+                'l' || array_to_string(w[len(w) - len(w) // 2 + 1:], ' '),
+                'l' || array_to_string(w[len(w) - (len(w) - 1) // 2 + 1:], ' ')]) AS half
+            FROM firsts),
+        pairs AS (
+            SELECT DISTINCT x.w AS a, y.w AS b FROM halves x JOIN halves y USING (half)
+            WHERE y.f < x.f AND abs(len(x.w) - len(y.w)) <= 1),
+        near AS (
+            SELECT DISTINCT a AS w FROM pairs
+            WHERE (len(a) = len(b) AND len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) = 1)
+               OR (len(a) = len(b) + 1 AND len(list_filter(range(1, len(a) + 1), lambda i: list_concat(a[1:i - 1], a[i + 1:]) = b)) > 0)
+               OR (len(b) = len(a) + 1 AND len(list_filter(range(1, len(b) + 1), lambda i: list_concat(b[1:i - 1], b[i + 1:]) = a)) > 0)),
+        told AS (
+            SELECT worded.*, len(w) >= 5 AND (w IN (SELECT w FROM near) OR struct_pack(d := doc_id, p := pos) <> f) AS gone
+            FROM worded LEFT JOIN firsts USING (w))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(gone, false)) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256
+        FROM told GROUP BY doc_id
+    """,
     "op10_substring_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
         starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
