@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialstats.llm import bpe, language, lines, minhash, ordered, packing, quality, substrings
+from trialstats.llm import bpe, language, lines, lm, minhash, ordered, packing, quality, substrings
 from trialstats.llm.common import documents, remainder
 
 DIGEST = "sha2(cast({} as binary), 256)"
@@ -59,6 +59,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", remainder("doc_id", 7) == 2)
+    return lm.score(docs)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.expr(DIGEST.format("kept")).alias("kept_sha256"))
@@ -72,6 +77,7 @@ QUERIES = {
     "op6_near_dedup": op6_near_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
+    "op9_lm_score": op9_lm_score,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
