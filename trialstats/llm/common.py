@@ -19,7 +19,7 @@ from trialstats.session import shared_dir
 WHITE = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: A space that is no token start: white space on its left, and white space or the end on its right.
 UNCUT = f"[{WHITE}] ([{WHITE}]|$)"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 MASK64 = (1 << 64) - 1
 
 
