@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialstats.llm import bpe, language, lines, lm, minhash, ordered, packing, quality, substrings
+from trialstats.llm import bpe, language, lines, lm, minhash, neighbours, ordered, packing, quality, substrings
 from trialstats.llm.common import documents, remainder
 
 DIGEST = "sha2(cast({} as binary), 256)"
@@ -25,6 +25,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).drop("row")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, F.col("id") % 20 == 0)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.remove_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.expr(DIGEST.format("kept")).alias("kept_sha256"))
@@ -72,6 +77,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language": op1_language,
     "op2_packing": op2_packing,
+    "op3_neighbours": op3_neighbours,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_near_dedup": op6_near_dedup,
