@@ -56,3 +56,26 @@ def test_strict_mean_is_one_partial_aggregate(spark, sf_dir):
 
     text = plan(table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(strict_avg(F.col("l_tax")).alias("m")))
     assert text.count("Exchange") == 1 and "partial_avg" in text
+
+
+@pytest.mark.parametrize("name", ["loocv_press", "pca_regression"])
+def test_few_groups_leave_the_rows_in_place(spark, sf_dir, name):
+    """With Spark's own broadcasts off, no exchange lies between the rows' scan and the partial aggregate behind the join."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES[name](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in text
+    if name == "loocv_press":
+        assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning") <= 1
+
+
+def test_lookup_reads_its_left_side_once(spark, sf_dir):
+    assert plan(QUERIES["join_condition_on_pretest"](spark, sf_dir)).count("FileScan") == 2
+
+
+def test_holm_computes_its_values_once(spark, sf_dir):
+    text = plan(QUERIES["holm_adjust"](spark, sf_dir))
+    assert not any(x in text for x in ("ArrowEvalPython", "BatchEvalPython"))

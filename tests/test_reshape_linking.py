@@ -1,6 +1,5 @@
 """Pivots, unions, joins: key checks, missing cells, and hot keys."""
 
-from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
@@ -55,6 +54,10 @@ def test_complete_fills_zero_and_leaves_out_levels_that_never_occur(spark):
     df = spark.createDataFrame([(1, False), (1, True), (2, False), (2, False)], "s int, skipped boolean")
     want = [(1, False, 1), (1, True, 1), (2, False, 2), (2, True, 0)]
     assert values(reshape.complete_counts(df, ["s"], "skipped", [False, True])) == want
+    assert values(reshape.complete_counts(df, ["s"], "skipped")) == want
+    with pytest.raises(PySparkException, match="not listed"):
+        reshape.complete_counts(df, ["s"], "skipped", [False]).collect()
+    assert values(reshape.complete_counts(df, ["s"], "skipped", [False], other="drop")) == [(1, False, 1), (2, False, 2)]
     never = reshape.complete_counts(df.filter("not skipped"), ["s"], "skipped", [False, True])
     assert values(never) == [(1, False, 1), (2, False, 2)]
 
@@ -68,16 +71,30 @@ def test_lookup_keys_must_be_unique(spark):
     assert tuple(linking.key_uniqueness(df, ["k"]).first()) == (1, 2, 1, 2)
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 20, 2])
 @pytest.mark.parametrize("how", ["left", "inner"])
 @pytest.mark.parametrize("key_type", ["int", "bigint"])
-def test_lookup_join_with_hot_keys_equals_a_plain_join(spark, hot_rows, how, key_type):
+def test_lookup_join_and_missing_keys(spark, how, key_type):
     rows = [(i, 1 if i % 3 == 0 else i % 20) for i in range(600)] + [(1000, None), (1001, None)]
     left = spark.createDataFrame(rows, "id int, k int")
-    lookup = spark.createDataFrame([(k, f"v{k}") for k in range(0, 15)], f"k {key_type}, v string")
-    got = linking.lookup_join(left, lookup, ["k"], how, hot_rows=hot_rows)
-    assert got.columns == ["id", "k", "v"]
-    assert values(got) == values(left.join(lookup, "k", how).select("id", "k", "v"))
+    lookup = spark.createDataFrame([*((k, f"v{k}") for k in range(15)), (None, "none")], f"k {key_type}, v string")
+    never = linking.lookup_join(left, lookup, ["k"], how, na_matches="never")
+    assert never.columns == ["id", "k", "v"]
+    assert values(never) == values(left.join(lookup, "k", how).select("id", "k", "v"))
+    both = linking.lookup_join(left, lookup, ["k"], how)
+    assert values(both.filter("k is not null")) == values(never.filter("k is not null"))
+    assert values(both.filter("k is null")) == [(1000, None, "none"), (1001, None, "none")]
+
+
+def test_lookup_without_keys_has_one_row(spark):
+    left, lookup = spark.range(3), spark.createDataFrame([("a",), ("b",)], "v string")
+    assert values(linking.lookup_join(left, lookup.limit(1), [])) == [(0, "a"), (1, "a"), (2, "a")]
+    with pytest.raises(PySparkException, match="has one row"):
+        linking.lookup_join(left, lookup, []).collect()
+
+
+def test_tied_lookup_rows_are_not_mixed(spark):
+    df = spark.createDataFrame([(1, 0, "b", 1), (1, 0, "a", 2)], "k int, o int, x string, y int")
+    assert values(linking.unique_lookup(df, ["k"], ["x", "y"], "o")) == [(1, "a", 2)]
 
 
 def test_hot_bucket_is_split_by_its_share(spark):
@@ -90,11 +107,27 @@ def test_hot_bucket_is_split_by_its_share(spark):
     assert values(linking.bucket_splits(counted, ["k"], 100, "n")) == [(top.b, -(-top["count"] // 100))]
 
 
-def test_hot_rows_reach_the_join_in_even_parts(spark):
-    left = spark.range(1000).select(F.lit(1).alias("k"), "id")
-    assert values(linking.bucket_splits(left, ["k"], 50))[0][1] == 20
-    per_part = Counter(r[0] for r in left.select(F.pmod(F.xxhash64("k", "id"), F.lit(20))).collect())
-    assert len(per_part) == 20 and max(per_part.values()) < 90
+@pytest.mark.parametrize("limit", [linking.BROADCAST_BYTES, -1])
+def test_group_join_on_both_paths(spark, monkeypatch, limit):
+    monkeypatch.setattr(linking, "BROADCAST_BYTES", limit)
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 2).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    got = linking.group_join(rows, table, ["k"], "n", hot_rows=10)
+    tops = {r.k: r.top for r in table.collect()}
+    assert got.columns == ["k", "id", "top"]
+    assert {r.id: r.top for r in got.collect()} == {r.id: tops[r.k] for r in rows.collect()}
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark, monkeypatch):
+    """The tasks behind the join's exchange get even shares, though all rows are alike."""
+    monkeypatch.setattr(linking, "BROADCAST_BYTES", -1)
+    rows = spark.range(20_000).select(F.lit(1).alias("k"), F.lit(7).alias("v"))
+    joined = linking.group_join(rows, rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m")), ["k"], "n", hot_rows=100)
+    assert "_salt" in joined._jdf.queryExecution().toString()
+    parts = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(200)).alias("part")).groupBy("part").count()
+    sizes = [r["count"] for r in parts.collect()]
+    assert len(sizes) == 200 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert joined.filter("m = 7").count() == 20_000
 
 
 def test_inherit_takes_the_condition_of_the_other_row(spark):

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trialstats.functions import distributions as D
-from trialstats.operators import ols, paired, pca
+from trialstats.operators import linking, ols, paired, pca
 from trialstats.operators.adjust import holm_adjust, holm_values
 
 
@@ -25,7 +25,7 @@ def test_t_tail_meets_the_normal_at_large_df():
     z = np.array([0.5, 1.96, 4.0])
     normal = np.array([math.erfc(v / math.sqrt(2)) for v in z])
     assert D.two_sided_t(z, np.full(3, 9e6)) == pytest.approx(normal, rel=1e-4)
-    below, above = D.two_sided_t(z, np.full(3, D.LARGE_DF)), D.two_sided_t(z, np.full(3, D.LARGE_DF * 1.01))
+    below, above = D.two_sided_t(z, np.full(3, D.LARGE_DF)), D.two_sided_t(z, np.full(3, D.LARGE_DF * (1 + 1e-9)))
     assert below == pytest.approx(above, rel=1e-6)
 
 
@@ -105,7 +105,7 @@ def test_holm_example(spark):
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.sampled_from([0.0, 0.01, 0.01, 1.0]), st.floats(0, 1))), min_size=1, max_size=60))
 def test_holm_of_long_and_short_families(spark, rows):
     df = spark.createDataFrame([(i, f, p) for i, (f, p) in enumerate(rows)], "id int, f string, p double")
-    got = {r.id: r.p_adj for r in holm_adjust(df, "p", ["f"], hot_rows=5).collect()}
+    got = {r.id: r.p_adj for r in holm_adjust(df, "p", ["f"]).collect()}
     for family in "ab":
         ids = [i for i, (f, _) in enumerate(rows) if f == family]
         if ids:
@@ -115,6 +115,39 @@ def test_holm_of_long_and_short_families(spark, rows):
             assert spark.range(1).select(holm_values(array)).first()[0] == pytest.approx(list(want), abs=1e-12)
 
 
+def test_a_missing_group_is_a_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, i, *map(float, rng.normal(size=3))) for g in ("a", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, id int, x double, z double, y double")
+    scored = pca.scores(df, pca.fit_pca(df, ["x", "z", "y"], ["g"]), ["x", "z", "y"], ["g"])
+    assert scored.count() == 40 and scored.filter("pc1 is null").count() == 0
+    loo = {r.g: r.n for r in ols.leave_one_out(df, "y", [ols.Term.numeric("x"), ols.Term.numeric("z")], ["g"]).collect()}
+    assert loo == {"a": 20, None: 20}
+    p = spark.createDataFrame([("a", 0.01), ("a", 0.02), (None, 0.01), (None, 0.04), (None, None)], "f string, p double")
+    got = {(r.f, r.p): r.p_adj for r in holm_adjust(p, "p", ["f"]).collect()}
+    assert got == {("a", 0.01): 0.02, ("a", 0.02): 0.02, (None, 0.01): 0.02, (None, 0.04): 0.04, (None, None): None}
+
+
+def test_tails_and_limits_at_their_borders(spark):
+    x = np.linspace(-6, 26, 2001)
+    assert np.allclose(D.erfc(x), [math.erfc(v) for v in x], rtol=2e-14, atol=0)
+    t = np.array([0.5, 2.0, 5.0, 10.0, 30.0])
+    below, above = (D.two_sided_t(t, np.full(5, v)) for v in (D.LARGE_DF, D.LARGE_DF * (1 + 1e-12)))
+    assert np.allclose(below, above, rtol=1e-11, atol=0)
+    assert np.allclose(D.two_sided_t(t[:3], np.full(3, 1e12)), [math.erfc(v / math.sqrt(2)) for v in t[:3]], rtol=1e-9, atol=0)
+    mixed = D.two_sided_t(np.array([2.0, 3.0]), np.array([5.0, 99_999.0]))
+    assert mixed[0] == D.two_sided_t(np.array([2.0]), np.array([5.0]))[0]  # whatever shares the batch
+    quantiles = D.t_quantiles(0.975, np.array([999.0, 1000.0, 1001.0]))
+    assert np.abs(D.upper_t(quantiles, np.array([999.0, 1000.0, 1001.0])) - 0.025).max() < 1e-13
+    for value, df in ((2, 1), (200, 4), (500, 20), (2000, 1e4), (-3, 29), (0, 5)):
+        low, high = D.noncentral_limits(np.array([float(value)]), np.array([float(df)]), 0.95)
+        s = np.linspace(max(1e-12, 1 - 12 / math.sqrt(2 * df)), 1 + 12 / math.sqrt(2 * df), 200_001)
+        density = np.exp((df - 1) * np.log(s) - df * (s * s - 1) / 2)
+        for limit, want in ((low[0], 0.975), (high[0], 0.025)):
+            below = np.trapezoid(density * D.erfc(-(value * s - limit) / math.sqrt(2)) / 2, s) / np.trapezoid(density, s)
+            assert abs(below - want) < 1e-6
+
+
 def test_components_against_numpy_per_group(spark):
     rng = np.random.default_rng(5)
     data = {g: rng.normal(size=(60, 4)) @ rng.normal(size=(4, 4)) for g in ("x", "y")}
@@ -204,7 +237,7 @@ def test_regression_with_interactions_against_numpy(spark, moderation):
     assert [r["at"] for r in spread_] == pytest.approx([code.mean() - code.std(ddof=1), code.mean() + code.std(ddof=1)])
 
 
-def test_leave_one_out_equals_refitting(spark):
+def test_leave_one_out_equals_refitting(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(30, 2))
     y = x @ [0.5, -0.3] + rng.normal(size=30)
@@ -215,7 +248,8 @@ def test_leave_one_out_equals_refitting(spark):
         errors.append((y[i] - b[0] - x[i] @ b[1:]) ** 2)
     df = spark.createDataFrame([("g", *map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "g string, a double, b double, y double")
     terms = [ols.Term.numeric("a"), ols.Term.numeric("b")]
-    for keys, hot in ((["g"], 10), ([], 1000)):
+    for keys, hot, limit in ((["g"], 10, -1), (["g"], 10, 1 << 25), ([], 1000, 1 << 25)):
+        monkeypatch.setattr(linking, "BROADCAST_BYTES", limit)
         got = ols.leave_one_out(df, "y", terms, keys, hot_rows=hot).first()
         assert (got.n, got.loo_mse) == (30, pytest.approx(np.mean(errors)))
 

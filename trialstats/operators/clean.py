@@ -58,13 +58,13 @@ def exclude(df: DataFrame, key: str, excluded: Sequence | DataFrame | None) -> D
 
     A list becomes a filter that reaches the scan. A DataFrame of keys becomes an anti join, whose
     strategy is left to the optimiser because its size is not known here; rows without a key are dealt
-    over many join keys, as they match nothing and could otherwise all land in one task.
+    over many join keys by their place, as they match nothing and could otherwise all land in one task.
     """
     if excluded is None:
         return df
     if not isinstance(excluded, DataFrame):
         return df.filter(not_in(key, list(excluded)))
-    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(NO_KEY_SPLITS))).otherwise(F.lit(0))
+    spread = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(NO_KEY_SPLITS))).otherwise(F.lit(0))
     gone = excluded.select(F.col(excluded.columns[0]).alias(key), F.lit(0).cast("long").alias("_salt"))
     kept = df.withColumn("_salt", spread.cast("long")).join(gone, [key, "_salt"], "left_anti")
     return kept.select(*df.columns)

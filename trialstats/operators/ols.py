@@ -26,7 +26,7 @@ from trialstats.functions.text import (
     slope_sentence,
 )
 from trialstats.operators.adjust import holm_values
-from trialstats.operators.linking import HOT_ROWS, bucket_splits, lookup_join
+from trialstats.operators.linking import HOT_ROWS, group_join
 
 INTERCEPT = "(Intercept)"
 NORMAL_95 = 1.96  # fixed value: half width, in standard errors, of the report intervals
@@ -361,7 +361,7 @@ def leave_one_out(
     """Leave-one-out mean squared error per group in two passes, without refitting.
 
     Each row's left-out residual is its residual over one minus its leverage; leverages come from the
-    group's fit joined back to the rows (hot groups split, their row counts being in the fit table).
+    group's fit joined back to the rows, which stay where they are if there are few groups.
     """
     keys = list(keys)
     names = [f"_x{i}" for i in range(len(terms))]
@@ -370,8 +370,7 @@ def leave_one_out(
     ).dropna(how="any", subset=[*names, "_y"])
     fits = fit_models(rows, "_y", {"m": [Term.numeric(n) for n in names]}, keys)
     table = fits.select(*keys, "n", F.col("m.coef").alias("_coef"), F.col("m.unscaled_cov").alias("_cov"))
-    splits = bucket_splits(table, keys, hot_rows, "n") if keys else None
-    joined = lookup_join(rows, table.drop("n"), keys, how="inner", splits=splits)
+    joined = group_join(rows, table, keys, "n", hot_rows)
     x = [F.lit(1.0), *[F.col(n) for n in names]]
     width = len(x)
     fitted = sum((F.col("_coef")[i] * v for i, v in enumerate(x)), F.lit(0.0))

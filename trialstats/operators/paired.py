@@ -59,7 +59,8 @@ def paired_t_long(
     alternative: str = "two.sided",
 ) -> DataFrame:
     """Paired t-test on long data: first level minus second, paired by unit, not by row order."""
-    wide = pivot_wider(df, [*keys, *unit], condition, value, levels)
+    rows = df.filter(F.col(condition).isin(*levels))  # the test is between these two
+    wide = pivot_wider(rows, [*keys, *unit], condition, value, levels)
     return paired_t(wide, levels[0], levels[1], keys, alternative)
 
 

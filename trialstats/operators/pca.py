@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trialstats.functions.columns import correlation, ratio
 from trialstats.functions.linalg import decompose_correlations
-from trialstats.operators.linking import HOT_ROWS, bucket_splits, lookup_join
+from trialstats.operators.linking import HOT_ROWS, group_join
 
 
 def _complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -101,10 +101,7 @@ def scores(
     """Add the component scores of every complete row; ``scaled`` divides by the component's sdev (biplot)."""
     columns, keys = list(columns), list(keys)
     table = fit.select(*keys, "n", "means", "sds", "variances", "loadings")
-    splits = bucket_splits(table, keys, hot_rows, "n") if keys else None
-    joined = lookup_join(
-        _complete_rows(df, columns), table.drop("n"), keys, how="inner", splits=splits
-    )
+    joined = group_join(_complete_rows(df, columns), table, keys, "n", hot_rows)
     standard = [ratio(F.col(c) - F.col("means")[i], F.col("sds")[i]) for i, c in enumerate(columns)]
     out = joined
     for k in range(components or len(columns)):

@@ -8,10 +8,14 @@ many rows a hot key has.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialstats.operators.linking import null_safe_join
+
 Level = str | int | tuple
 
 
@@ -48,10 +52,12 @@ def pivot_wider(
     levels: Sequence[Level],
     prefix: str = "",
     order_by: str | None = None,
+    other: str = "error",
 ) -> DataFrame:
     """One output column per level of ``names`` (one column, or several joined by ``_``).
 
-    Duplicate rows for one cell are an error unless ``order_by`` says which comes first.
+    Duplicate rows for one cell are an error unless ``order_by`` says which comes first. A row of a level that isn't
+    listed is an error as well, unless ``other="drop"``.
     """
     names = [names] if isinstance(names, str) else list(names)
     cells = []
@@ -63,12 +69,30 @@ def pivot_wider(
             else single_value(F.col(value), where, name)
         )
         cells.append(cell.alias(name))
-    return df.groupBy(*ids).agg(*cells)
+    return _only_listed(df.groupBy(*ids).agg(*cells, *_unlisted(names, levels, other)))
+
+
+def _unlisted(names: Sequence[str], levels: Sequence[Level], other: str) -> list[Column]:
+    """The number of a group's rows whose level isn't among ``levels``, if they are an error."""
+    if other not in ("error", "drop"):
+        raise ValueError(f"other is 'error' or 'drop', not {other!r}")
+    listed = reduce(or_, [_condition(names, level) for level in levels], F.lit(False))
+    return [F.count(F.when(~F.coalesce(listed, F.lit(False)), F.lit(1))).alias("_unlisted")] if other == "error" else []
+
 
+def _only_listed(grouped: DataFrame) -> DataFrame:
+    if "_unlisted" not in grouped.columns:
+        return grouped
+    message = F.concat(F.col("_unlisted").cast("string"), F.lit(" rows of a level that is not listed"))
+    fine = F.when(F.col("_unlisted") > 0, F.raise_error(message)).otherwise(F.lit(True))
+    return grouped.filter(fine).drop("_unlisted")
 
-def spread(df: DataFrame, ids: Sequence[str], name: str, value: str, levels: Sequence[str]) -> DataFrame:
+
+def spread(
+    df: DataFrame, ids: Sequence[str], name: str, value: str, levels: Sequence[str], other: str = "error"
+) -> DataFrame:
     """``pivot_wider`` with its columns in sorted order; duplicate keys are an error."""
-    return pivot_wider(df, ids, name, value, sorted(levels))
+    return pivot_wider(df, ids, name, value, sorted(levels), other=other)
 
 
 def pivot_aggregate(
@@ -117,24 +141,24 @@ def separate(df: DataFrame, column: str, into: Sequence[str], pattern: str = "[^
 
 
 def complete_counts(
-    df: DataFrame, ids: Sequence[str], level: str, levels: Sequence, count: str = "n"
+    df: DataFrame, ids: Sequence[str], level: str, levels: Sequence | None = None, count: str = "n", other: str = "error"
 ) -> DataFrame:
     """Rows per id and level, with 0 for combinations that do not occur.
 
-    Levels that occur nowhere are left out. The zero-filled table comes from one conditional
-    aggregate, so no product of ids and levels is ever joined.
+    Levels that occur nowhere are left out; without ``levels`` they are those of the data. With them the zero-filled
+    table comes from one conditional aggregate, and rows of other levels are an error unless ``other="drop"``.
     """
-    wide = df.groupBy(*ids).agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(v).alias(level), F.count(F.when(F.col(level) == F.lit(v), F.lit(1))).alias(count)
-                )
-                for v in levels
-            ]
-        ).alias("_cells")
-    )
-    cells = wide.select(*ids, F.inline("_cells"))
-    seen = df.filter(F.col(level).isin(list(levels))).select(level).distinct()
+    seen = df.select(level).distinct()
+    if levels is None:
+        counts = df.groupBy(*ids, level).agg(F.count(F.lit(1)).alias(count))
+        listed = seen.agg(F.collect_list(F.struct(level)).alias("_levels"))  # the columns of the result, so few
+        every = df.select(*ids).distinct().join(F.broadcast(listed)).select(*ids, F.inline("_levels"))
+        filled = null_safe_join(every, counts, [*ids, level], "left")
+        return filled.select(*ids, level, F.coalesce(count, F.lit(0)).alias(count))
+    cells = F.array(
+        *[F.struct(F.lit(v).alias(level), F.count(F.when(F.col(level) == F.lit(v), F.lit(1))).alias(count)) for v in levels]
+    ).alias("_cells")
+    wide = _only_listed(df.groupBy(*ids).agg(cells, *_unlisted([level], levels, other)))
     # at most one row per listed level
-    return cells.join(F.broadcast(seen), level, "left_semi").select(*ids, level, count)
+    known = F.broadcast(seen.filter(F.col(level).isin(list(levels))))
+    return wide.select(*ids, F.inline("_cells")).join(known, level, "left_semi").select(*ids, level, count)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from trialstats.functions.columns import correlation, ratio, strict_avg, strict_sd, strict_se, strict_sum
 from trialstats.functions.distributions import t_p_value
+from trialstats.operators.linking import null_safe_join, one_row
+from trialstats.sources.tables import written
 
 # Fixed value: makes the median absolute deviation estimate a normal standard deviation.
 MAD_SCALE = 1.4826
@@ -52,9 +54,19 @@ def count_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def levels_by_appearance(df: DataFrame, label: str, order_by: str) -> DataFrame:
-    """Labels with their rank of first appearance in a named order (one row per label)."""
+    """Labels with their rank of first appearance in a named order (one row per label).
+
+    There may be as many labels as subjects, so no task ranks them all: they are dealt over partitions by ranges of
+    first appearance, ranked within each, and shifted by the numbers of labels before.
+    """
     first = df.groupBy(label).agg(F.min(order_by).alias("first"))
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("first")))
+    dealt = written(first.repartitionByRange("first", label).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("first", label))
+    ranked = dealt.withColumn("_inside", inside).join(F.broadcast(parts), "_part")
+    return ranked.select(label, "first", (F.col("_before") + F.col("_inside")).cast("int").alias("rank"))
 
 
 def any_by(df: DataFrame, keys: Sequence[str], condition: Column, name: str) -> DataFrame:
@@ -86,28 +98,26 @@ def mean_se(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def robust_summary(df: DataFrame, by: Sequence[str], count: str) -> DataFrame:
-    """Mean, median, sd, scaled MAD, min and max of whole-number counts per group.
+    """Mean, median, sd, scaled MAD, min and max of counts per group (missing keys are a group).
 
-    The counts are first reduced to a histogram per group, so the exact medians weigh distinct values:
-    k distinct positive counts need at least k(k+1)/2 rows below them, so a group over N rows has at
-    most about sqrt(2N) of them.
+    The counts are first reduced to a histogram per group, so the exact medians weigh distinct values. The medians,
+    one row per group, are joined back to the histogram for the deviations; no group is gathered in one row.
     """
     histogram = df.groupBy(*by, count).agg(F.count(F.lit(1)).alias("_freq"))
     x, freq = F.col(count), F.col("_freq")
     first = histogram.groupBy(*by).agg(
         F.percentile(x, 0.5, freq).alias("_median"),
-        F.collect_list(F.struct(x.cast("double").alias("x"), freq.alias("f"))).alias("_bins"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
         (F.sum(x * freq) / F.sum(freq)).alias("_mean"),
         F.sum(freq).alias("_n"),
     )
-    bins = first.select("*", F.inline("_bins")).drop("_bins")
     keep = ["_median", "min", "max", "_mean", "_n"]
-    deviation = F.abs(F.col("x") - F.col("_median"))
-    out = bins.groupBy(*by, *keep).agg(
-        (F.percentile(deviation, 0.5, F.col("f")) * MAD_SCALE).alias("mad"),
-        F.sum(F.col("f") * F.pow(F.col("x") - F.col("_mean"), 2)).alias("_ss"),
+    deviation = F.abs(x - F.col("_median"))
+    joined = null_safe_join(histogram, first, by) if by else histogram.join(F.broadcast(one_row(first)))
+    out = joined.groupBy(*by, *keep).agg(
+        (F.percentile(deviation, 0.5, freq) * MAD_SCALE).alias("mad"),
+        F.sum(freq * F.pow(x - F.col("_mean"), 2)).alias("_ss"),
     )
     return out.select(
         *by,

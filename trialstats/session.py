@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_OWN: list[str] = []
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -39,4 +40,6 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    if not _OWN:  # one for the whole process
+        _OWN.append(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return _OWN[0]

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialstats.session import shared_dir
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a parquet table in the cluster's shared folder: computed once, and safe from lost executors."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/trialstats-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def save_facts(df: DataFrame, path: str, partition_by: Sequence[str] = ("expt", "phase")) -> None:
     """Write a fact table as parquet, split by its low-cardinality scan columns.
