@@ -138,3 +138,22 @@ def test_wide_export_writes_headers(spark, tmp_path):
     back = spark.read.option("header", True).csv(path)
     assert back.columns == ["subjID", "diff_aro_b", "bdi"]
     assert rows(back) == [("1", "0.5", None)]
+
+
+def test_columns_bind_by_name_and_file_names_match_whole(spark, study):
+    write(study, "6_bdi_two.csv", "CB,value,itemID,subjID,age,gender,note", '1,2,0,6,20,1,"a, b"')
+    write(study, "9_old_bdi_two.csv", ITEMS, "0,9,9,0,21,1")
+    data = logs.Dataset(str(study), "two", logs.SCHEMAS_2)
+    got = data.load(spark, "bdi", drop=False)
+    assert rows(got.select("subjID", "itemID", "value", "CB")) == [(3, 0, 2, 1), (3, 1, None, 1), (4, 0, 1, 1), (5, 0, 3, 1), (6, 0, 2, 1)]
+
+
+def test_a_bad_cell_is_an_error_unless_asked_for(spark, tmp_path):
+    write(tmp_path, "7_bdi_two.csv", ITEMS, "0,abc,7,1,20,1")
+    with pytest.raises(Exception, match="value holds a bad int: abc"):
+        logs.Dataset(str(tmp_path), "two", logs.SCHEMAS_2).load(spark, "bdi").collect()
+    schema = logs.SCHEMAS_2["bdi"]
+    with pytest.raises(Exception, match="(?i)malformed|bad"):
+        logs.read_glob(spark, str(tmp_path), "*.csv", schema).collect()
+    got = logs.read_by_name(spark, str(tmp_path), "*.csv", schema, mode="PERMISSIVE")
+    assert rows(got.select("value", "subjID")) == [(None, 7)]

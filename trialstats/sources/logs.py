@@ -6,6 +6,7 @@ checked against them, because column order differs between datasets and Spark bi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -17,6 +18,7 @@ from trialstats.operators.clean import drop_columns, exclude
 from trialstats.operators.linking import bind_rows
 
 SUBJECT = "subjID"
+MOST_FIELDS = 64  # of a log file
 
 
 def log_schema(ddl: str) -> T.StructType:
@@ -53,21 +55,62 @@ def read_glob(
     header: bool = True,
     recursive: bool = False,
     file_columns: Mapping[str, Column] | None = None,
+    mode: str = "FAILFAST",
+    names: str | None = None,
 ) -> DataFrame:
     """All CSV files of a directory whose names match a glob, as one DataFrame.
 
-    Subdirectories are left out unless ``recursive``. ``file_columns`` adds columns computed from the
-    file's name or path, for logs without a subject id or a phase.
+    Subdirectories are left out unless ``recursive``. ``names`` is a regular expression that a file's whole name must
+    match as well. ``file_columns`` adds columns computed from the file's name or path, for logs without a subject id
+    or a phase. A cell that doesn't fit its type is an error; blank cells are missing, and ``mode="PERMISSIVE"`` makes
+    bad ones missing too.
     """
-    reader = spark.read.schema(schema).option("header", header).option("pathGlobFilter", pattern)
+    reader = spark.read.schema(schema).option("header", header).option("pathGlobFilter", pattern).option("mode", mode)
     reader = reader.option("enforceSchema", not header).option("recursiveFileLookup", recursive)
     df = reader.csv(directory)
+    if names is not None:
+        df = df.filter(file_name().rlike(f"^(?:{names})$"))
     return df.select("*", *[value.alias(name) for name, value in (file_columns or {}).items()])
 
 
-def read_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType, header: bool = True) -> DataFrame:
+def read_by_name(
+    spark: SparkSession, directory: str, pattern: str, schema: T.StructType, names: str | None = None, mode: str = "FAILFAST"
+) -> DataFrame:
+    """As ``read_glob`` for files with headers whose columns stand in any order, bound by name, file by file.
+
+    Each file is read whole, being one subject's log, and its first line names the fields of the others. Fields hold
+    no line breaks. Columns that a file lacks are missing in its rows; other columns are not read.
+    """
+    files = spark.read.option("pathGlobFilter", pattern).text(directory, wholetext=True)
+    if names is not None:
+        files = files.filter(file_name().rlike(f"^(?:{names})$"))
+    rows = F.split(F.regexp_replace("value", "\\r", ""), "\n")
+    lines = files.select(rows.alias("rows")).select(F.get("rows", 0).alias("head"), F.posexplode("rows").alias("place", "line"))
+    lines = lines.filter((F.col("place") > 0) & (F.trim("line") != ""))
+    fields = [f"_{i}" for i in range(MOST_FIELDS)]
+    ddl = ", ".join(f"{f} string" for f in fields)
+    cells = lines.select(F.from_csv("head", ddl).alias("h"), F.from_csv("line", ddl).alias("v"))
+    pairs = F.array(*[F.struct(F.trim(F.col(f"h.{f}")).alias("k"), F.trim(F.col(f"v.{f}")).alias("v")) for f in fields])
+    cells = cells.select(F.map_from_entries(F.filter(pairs, lambda e: e["k"].isNotNull())).alias("cells"))
+
+    def typed(column: T.StructField) -> Column:
+        text = F.try_element_at("cells", F.lit(column.name))
+        value = text.try_cast(column.dataType)
+        if mode == "FAILFAST":
+            bad = (text != "") & value.isNull()
+            told = F.concat(F.lit(f"{column.name} holds a bad {column.dataType.simpleString()}: "), text)
+            value = F.when(bad, F.raise_error(told)).otherwise(value)
+        return F.when(text != "", value).alias(column.name)
+
+    return cells.select(*[typed(f) for f in schema.fields])
+
+
+def read_files(
+    spark: SparkSession, paths: Sequence[str], schema: T.StructType, header: bool = True, mode: str = "FAILFAST"
+) -> DataFrame:
     """An explicit list of CSV files as one DataFrame."""
-    return spark.read.schema(schema).option("header", header).option("enforceSchema", not header).csv(list(paths))
+    reader = spark.read.schema(schema).option("header", header).option("enforceSchema", not header).option("mode", mode)
+    return reader.csv(list(paths))
 
 
 @dataclass(frozen=True)
@@ -87,13 +130,14 @@ class Dataset:
 
     def load(self, spark: SparkSession, phase: str, drop: bool = True) -> DataFrame:
         """All subjects' files of one phase, without the excluded subjects."""
-        df = read_glob(
-            spark,
-            self.directory,
-            f"[0-9]*_{phase}_{self.name}.csv",
-            self.schemas[phase],
-            header=phase not in self.headerless,
-        )
+        pattern, schema = f"[0-9]*_{phase}_{self.name}.csv", self.schemas[phase]
+        # digits directly before the phase; a phase may be a glob of alternatives, {a,b}-c
+        exact = re.sub(r"\\\{(.*?)\\\}", lambda m: f"(?:{m[1].replace(',', '|')})", re.escape(phase))
+        names = rf"\d+_{exact}_{re.escape(self.name)}\.csv"
+        if phase in self.headerless:
+            df = read_glob(spark, self.directory, pattern, schema, header=False, names=names)
+        else:
+            df = read_by_name(spark, self.directory, pattern, schema, names)
         df = exclude(df, SUBJECT, self.excluded)
         return drop_columns(df, self.drop) if drop else df
 
