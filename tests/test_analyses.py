@@ -170,9 +170,10 @@ def test_individual_differences_export_and_links(spark, logs, study):
     assert table[4].val == pytest.approx(want[4, "nt", "val"] - want[4, "b", "val"])
     with pytest.raises(PySparkException, match="one side only"):
         A.individual_differences(scores.filter("subj <> 4"), moved).collect()
-    wide = A.wide_export(moved, scores)
+    wide = A.wide_export(moved, scores, ("b", "nt"), other="drop")
     assert wide.columns == ["subj", "diff_aro_b", "diff_aro_nt", "diff_val_b", "diff_val_nt", "bdi", "rrs", "stais", "stait"]
     assert {r.subj: r.diff_val_b for r in wide.collect()}[7] == pytest.approx(want[7, "b", "val"])
+    assert {"diff_aro_t", "diff_val_t"} <= set(A.wide_export(moved, scores).columns)
     rates = A.conditioned_rate(logs["trials"], pre)
     recall = A.hit_rate_wide(logs["ratings"], A.RATED)
     links = A.symptom_links(scores, A.hit_rate_wide(logs["recog"]), rates, recall)

@@ -293,20 +293,27 @@ def individual_differences(scores: DataFrame, change: DataFrame, on_missing: str
     return pair_by_key(scores, outcomes, ["subj"], on_missing)
 
 
-def wide_export(change: DataFrame, scores: DataFrame, conds: Sequence[str] = ("b", "nt")) -> DataFrame:
-    """One row per subject: change by measure and condition, then scores."""
+def wide_export(
+    change: DataFrame, scores: DataFrame, conds: Sequence[str] = ("b", "nt", "t"), other: str = "error"
+) -> DataFrame:
+    """One row per subject: change by measure and condition, then scores. ``conds`` lists all of them, unless others drop."""
     levels = [(dim, cond) for dim in sorted(MEASURES) for cond in conds]
-    wide = pivot_wider(change, ["subj"], ["dim", "cond"], "diff", levels, prefix="diff_")
+    wide = pivot_wider(change, ["subj"], ["dim", "cond"], "diff", levels, prefix="diff_", other=other)
     return wide.join(scores, "subj", "left")
 
 
-def recognition_table(recog: DataFrame, conds: Sequence[str] = ("t", "nt", "b", "new"), digits: int = 2) -> DataFrame:
-    """Mean and sd over subjects of the correct rate, by time (rows) and condition (columns), new items as one."""
+def recognition_table(
+    recog: DataFrame, conds: Sequence[str] = ("t", "nt", "b", "new"), digits: int = 2, other: str = "error"
+) -> DataFrame:
+    """Mean and sd over subjects of the correct rate, by time (rows) and condition (columns), new items as one.
+
+    Fillers stay out. The second design has substitute items as well: ``conds`` then names ``sub`` too.
+    """
     rows = recog.withColumn("cond", collapse_label("cond", "new", "new")).filter(F.col("cond") != "filler")
     stats = two_level(rows, ["time", "cond"], ["subj"], ["correct"])
     stats = stats.withColumnsRenamed({"correct_mean": "mean", "correct_sd": "sd"})
     long = pivot_longer(stats, ["time", "cond"], ["mean", "sd"], "index")
-    wide = pivot_wider(long, ["time", "index"], "cond", "value", conds)
+    wide = pivot_wider(long, ["time", "index"], "cond", "value", conds, other=other)
     return wide.select("time", "index", *[F.bround(c, digits).alias(c) for c in conds])
 
 

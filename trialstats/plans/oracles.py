@@ -325,6 +325,11 @@ ORACLES["union_experiments"] = f"""{TO_SCORES} SELECT *, CASE WHEN subj % 2 = 0
 ORACLES["export_wide"] = f"""{TO_DIFFERENCES}, wide AS (SELECT subj, {_change_cells(('b', 'nt'), ('aro', 'val'))} FROM change GROUP BY subj)
 SELECT w.*, s.bdi, s.rrs, s.stais, s.stait FROM wide w LEFT JOIN scores s ON w.subj = s.subj"""
 
+ORACLES["export_wide_all"] = f"""{TO_DIFFERENCES}, wide AS (SELECT subj, {_change_cells(('b', 'nt', 't'), ('aro', 'val'))} FROM change GROUP BY subj)
+SELECT w.*, s.bdi, s.rrs, s.stais, s.stait FROM wide w LEFT JOIN scores s ON w.subj = s.subj"""
+
+ORACLES["pair_by_key_complete"] = "SELECT l_suppkey, count(*) AS n, max(l_quantity) AS top FROM lineitem GROUP BY l_suppkey"
+
 # Aggregation -------------------------------------------------------------------------------------
 
 ORACLES["rate_by_condition"] = f"""{TO_HITS} SELECT cond, subj, {r6('hit_rate')} AS hit_rate FROM hits WHERE cond IN ('b', 'nt')"""
@@ -391,6 +396,9 @@ UNION ALL
 SELECT CASE WHEN cond = 'b' THEN 'Baseline' ELSE 'No-Think' END, {MEAN_SE.format(v='diff')}, dim
 FROM change WHERE cond IN ('b', 'nt') GROUP BY ALL"""
 
+ORACLES["mean_se_condition_all"] = f"""{with_ctes(SQL_TRIALS, FIRST_PER_CELL, PRE_POST, HITS, PAIRS, CHANGE)}
+SELECT CASE WHEN cond = 'b' THEN 'Baseline' ELSE 'No-Think' END AS cond, {MEAN_SE.format(v='diff')}, dim FROM change GROUP BY ALL"""
+
 
 def _column_pairs(columns: tuple[str, ...]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
@@ -423,6 +431,9 @@ LINK_COLUMNS = ("bdi", "rrs", "stais", "stait", "intrusion", "item_recog")
 ORACLES["symptom_correlations"] = f"""{TO_LINKS}, pairs_ AS ({_correlations('links', LINK_COLUMNS, '')})
 SELECT x, y, n, {r6('r')} AS r FROM pairs_"""
 
+ORACLES["symptom_tests"] = f"""{TO_LINKS}, pairs_ AS ({_correlations('links', LINK_COLUMNS, '')}), tested AS ({TESTED})
+SELECT x, y, n, {r6('r')} AS r, {r6('t')} AS t, {r6(t_two_sided('t', 'df'))} AS p_value FROM tested"""
+
 # Windows, text -----------------------------------------------------------------------------------
 
 ORACLES["lag_diff"] = f"""{TO_RATES}, steps AS (SELECT cond, block, avg(rate) AS rate FROM rates GROUP BY cond, block)
@@ -436,6 +447,15 @@ ORACLES["holm_adjust"] = f"""WITH {SUPPLIER_TESTS}, stepped AS (
 SELECT l_suppkey, x, y, {r6('p')} AS p_value,
   {r6('least(1, max(v) OVER (PARTITION BY x, y ORDER BY p ROWS UNBOUNDED PRECEDING))')} AS p_adj FROM stepped"""
 
+ORACLES["holm_missing_family"] = f"""WITH moments AS (
+  SELECT l_suppkey, count(*) AS n, avg(l_discount - l_tax) AS m, stddev_samp(l_discount - l_tax) AS s FROM lineitem GROUP BY l_suppkey),
+tested AS (SELECT l_suppkey, m * sqrt(n) / s AS t, n - 1 AS df FROM moments),
+p_values AS (SELECT l_suppkey, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey % 3 END AS family, {t_two_sided('t', 'df')} AS p FROM tested),
+stepped AS (
+  SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p) + 1) * p AS v FROM p_values)
+SELECT l_suppkey, family, {r6('p')} AS p_value, {r6('least(1, max(v) OVER (PARTITION BY family ORDER BY p ROWS UNBOUNDED PRECEDING))')} AS p_adj
+FROM stepped"""
+
 THREE = "substr(printf('%.3f', round_even(p, 3)), 2)"
 ORACLES["format_p"] = f"""WITH {SUPPLIER_TESTS} SELECT l_suppkey, x, y,
   CASE WHEN p < 0.001 THEN '_p_ < .001' WHEN round_even(p, 3) >= 1 THEN '_p_ > .999' ELSE '_p_ = ' || {THREE} END AS text,
@@ -655,6 +675,9 @@ ORACLES["loocv_press"] = f"""WITH {TWO_SCALED}, left_out AS (
   FROM lineitem l JOIN two ON l.l_returnflag = two.l_returnflag)
 SELECT l_returnflag, count(*) AS n, {r6('avg(e * e)')} AS loo_mse FROM left_out GROUP BY l_returnflag"""
 
+ORACLES["leave_one_out_missing_group"] = f"""SELECT CASE WHEN l_returnflag <> 'A' THEN l_returnflag END AS grp, n, loo_mse
+FROM ({ORACLES["loocv_press"]})"""
+
 # Regression with a two-level factor: step 2 is two separate fits, step 1 pools within the levels --
 
 

@@ -301,6 +301,12 @@ def union_experiments(spark, sf):
 
 @query
 def export_wide(spark, sf):
+    """The stored file's two conditions."""
+    return A.wide_export(_change(spark, sf), _scores(spark, sf), ("b", "nt"), other="drop")
+
+
+@query
+def export_wide_all(spark, sf):
     return A.wide_export(_change(spark, sf), _scores(spark, sf))
 
 
@@ -379,6 +385,12 @@ def mean_se_condition(spark, sf):
     return linking.bind_rows([hits.withColumn("dim", F.lit("hit_rate")), change])
 
 
+@query
+def mean_se_condition_all(spark, sf):
+    """Every condition but the baseline counts as not thought."""
+    return A.condition_means(_change(spark, sf), "diff", ["dim"])
+
+
 @query
 def corr_matrix(spark, sf):
     return summarise.correlations(table(spark, sf, "lineitem"), [*MEASURED, "l_tax"], ["l_returnflag"])
@@ -394,6 +406,33 @@ def symptom_correlations(spark, sf):
     return summarise.correlations(_links(spark, sf), [*INSTRUMENTS, "intrusion", "item_recog"]).drop("p_value", "t")
 
 
+@query
+def symptom_tests(spark, sf):
+    return summarise.correlations(_links(spark, sf), [*INSTRUMENTS, "intrusion", "item_recog"])
+
+
+@query
+def pair_by_key_complete(spark, sf):
+    """Both sides have every key, as the default asks."""
+    lines = table(spark, sf, "lineitem").groupBy("l_suppkey")
+    left, right = lines.agg(F.count(F.lit(1)).alias("n")), lines.agg(F.max("l_quantity").alias("top"))
+    return linking.pair_by_key(left, right, ["l_suppkey"])
+
+
+@query
+def leave_one_out_missing_group(spark, sf):
+    """Rows without a group are a group: ``A`` is taken as missing."""
+    lines = table(spark, sf, "lineitem").withColumn("grp", F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")))
+    return ols.leave_one_out(lines, F.col("l_extendedprice") / 1000, _two_terms(), ["grp"])
+
+
+@query
+def holm_missing_family(spark, sf):
+    tests = paired.paired_t(table(spark, sf, "lineitem"), "l_discount", "l_tax", ["l_suppkey"])
+    tests = tests.withColumn("family", F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey") % 3))
+    return holm_adjust(tests.select("l_suppkey", "family", "p_value"), "p_value", ["family"])
+
+
 # Windows, text -----------------------------------------------------------------------------------
 
 
