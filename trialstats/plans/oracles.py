@@ -1,7 +1,8 @@
 """The same queries as SQL over the plain tables, written by other means where there are any.
 
 Firsts are row numbers instead of aggregates, p-values are finite series, coefficients are closed forms or
-separate fits, eigenvalues are the closed form for three columns, and Holm ranks are plain windows.
+separate fits, eigenvalues are the closed form for three columns or repeated squaring for four, noncentral limits
+come from a grid, and Holm ranks are plain windows.
 """
 
 from __future__ import annotations
@@ -837,3 +838,87 @@ SELECT vars, term, {r6('estimate')} AS estimate, {r6('std_error')} AS std_error,
 
 ORACLES["moderated_compare"] = f"""{MODERATED}, {step1_from('vars', 'expt', 'ds', 'ts')}, {COMPARED.replace('l_returnflag', 'vars')}
 SELECT vars, CAST(2 AS BIGINT) AS df_diff, d2 AS df_resid, {r6('f')} AS f_value, {r6(f_upper('f', 'k', 'd2'))} AS p_value FROM compared"""
+
+# Components of four columns: a matrix squared again and again tends to the outer product of its first eigenvector ---
+
+FOUR_COLUMNS = ("bdi", "rrs", "stais", "stait")
+
+
+def first_vector(name: str, matrix: str) -> str:
+    """CTE ``name`` (l, v): largest eigenvalue and its unit vector, largest entry positive, of a 4 x 4 matrix as a list."""
+    trace = "(c[1] + c[6] + c[11] + c[16])"
+    squared = f"list_transform(range(16), lambda i: list_sum(list_transform(range(4), lambda j: c[4 * (i // 4) + j + 1] * c[4 * j + i % 4 + 1])) / ({trace} * {trace}))"
+    column = "list_transform(range(4), lambda i: c[4 * i + (b % 4) + 1])"
+    return f"""{name}_p AS (SELECT 0 AS k, c FROM {matrix} UNION ALL SELECT k + 1, {squared} FROM {name}_p WHERE k < 16),
+{name}_b AS (SELECT c, CASE greatest(c[1], c[6], c[11], c[16]) WHEN c[1] THEN 0 WHEN c[6] THEN 1 WHEN c[11] THEN 2 ELSE 3 END AS b FROM {name}_p WHERE k = 16),
+{name}_c AS (SELECT {column} AS w FROM {name}_b),
+{name}_v AS (SELECT list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y)))) AS v FROM {name}_c),
+{name} AS (SELECT v, list_sum(list_transform(range(16), lambda i: v[i // 4 + 1] * m.c[i + 1] * v[i % 4 + 1])) AS l FROM {name}_v, {matrix} m)"""
+
+
+def _four_scores(vector: str) -> str:
+    return " + ".join(f"({c} - m{i}) / s{i} * {vector}.v[{i}]" for i, c in enumerate(FOUR_COLUMNS, start=1))
+
+
+FOUR_CELLS = ", ".join("1e0" if a == b else f"corr({a}, {b})" for a in FOUR_COLUMNS for b in FOUR_COLUMNS)
+FOUR_MOMENTS = ", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(FOUR_COLUMNS, start=1))
+FOUR = f"""r4 AS (SELECT {FOUR_MOMENTS}, [{FOUR_CELLS}] AS c FROM subjects), {first_vector('v1', 'r4')},
+r4_left AS (SELECT list_transform(range(16), lambda i: c[i + 1] - l * v[i // 4 + 1] * v[i % 4 + 1]) AS c FROM r4, v1), {first_vector('v2', 'r4_left')},
+scored AS (SELECT subj, expt, val, aro, {_four_scores('v1')} AS pc1, {_four_scores('v2')} AS pc2 FROM subjects, r4, v1, v2),
+long AS (SELECT expt, 'val' AS vars, val AS value, pc1, pc2 FROM scored UNION ALL SELECT expt, 'aro', aro, pc1, pc2 FROM scored)"""
+MODERATED_FOUR = f"""{TO_DIFFERENCES}, {SUBJECTS}, {FOUR},
+{two_predictors('fit', 'long', 'vars, expt', 'value', 'pc1', 'pc2')}, {step2_from('vars', 'expt', 'ds', 'ts')}""".replace("WITH", "WITH RECURSIVE", 1)
+MODERATED_ORDER = " ".join(f"WHEN '{t}' THEN {i}" for i, (t, _, _) in enumerate(MODERATED_TERMS))
+# Fixed value: the expansion's next term, which counts at the few degrees of freedom of subjects.
+T975_FEW = f"({T975} + (79 * pow({Z975}, 9) + 776 * pow({Z975}, 7) + 1482 * pow({Z975}, 5) - 1920 * pow({Z975}, 3) - 945 * {Z975}) / (92160 * pow(df, 4)))"
+ORACLES["moderated_regression"] = f"""{MODERATED_FOUR}, {coefficient_rows('step2', 'vars', 'n - 6', MODERATED_TERMS)},
+{HOLM_TERMS.format(by='vars')},
+sds AS (SELECT vars AS g, stddev_samp(value) AS sdy, stddev_samp(pc1) AS sda, stddev_samp(pc2) AS sdb FROM long GROUP BY vars)
+SELECT vars, CASE term {MODERATED_ORDER} END AS term_index, term, {r6('estimate')} AS estimate, {r6('std_error')} AS std_error, df,
+  {r6("CASE term WHEN '(Intercept)' THEN NULL WHEN 'pc1' THEN estimate * sda / sdy WHEN 'pc2' THEN estimate * sdb / sdy ELSE estimate END")} AS beta,
+  CASE WHEN term = '(Intercept)' THEN NULL WHEN term IN ('pc1', 'pc2') THEN 'standardised' ELSE 'raw' END AS std_kind,
+  {r6('t')} AS statistic, {r6('p')} AS p_value,
+  {r6(f'estimate - std_error * {T975_FEW}')} AS ci_t_low, {r6(f'estimate + std_error * {T975_FEW}')} AS ci_t_high,
+  {r6('estimate - 1.96e0 * std_error')} AS ci_z_low, {r6('estimate + 1.96e0 * std_error')} AS ci_z_high, {r6('p_adj')} AS p_adj
+FROM adjusted JOIN sds ON g = vars"""
+
+ORACLES["moderated_model_table"] = f"""{MODERATED_FOUR}, {step1_from('vars', 'expt', 'ds', 'ts')}, {COMPARED.replace('l_returnflag', 'vars')},
+total AS (SELECT vars AS g, var_samp(value) * (count(*) - 1) AS tss, count(*) AS n FROM long GROUP BY vars),
+stats AS (
+  SELECT vars, 1 - (rss1 / (n - 4)) / (tss / (n - 1)) AS r1, 1 - (rss2 / (n - 6)) / (tss / (n - 1)) AS r2,
+    3 AS k1, n - 4 AS e1, ((tss - rss1) / 3) / (rss1 / (n - 4)) AS f1, 5 AS k2, n - 6 AS e2, ((tss - rss2) / 5) / (rss2 / (n - 6)) AS f2, k, d2, f
+  FROM compared JOIN total ON g = vars),
+tails AS (SELECT *, {f_upper('f1', 'k1', 'e1')} AS p1, {f_upper('f2', 'k2', 'e2')} AS p2, {f_upper('f', 'k', 'd2')} AS p FROM stats)
+SELECT vars, 'adj' AS type2, {r6('r1')} AS r_1, {r6('r2')} AS r_2, {p_cell('p1')} AS p_1, {p_cell('p2')} AS p_2 FROM tails
+UNION ALL SELECT vars, 'diff', NULL, {r6('r2 - r1')}, {p_cell('p')}, {p_cell('p')} FROM tails"""
+
+# Limits of the effect size: the chance of a smaller t is the integral, over larger noncentralities, of the
+# chi-weighted normal density; summed on a grid, and solved between two of its points by the series of the integral ---
+
+GRID, NODES = 4000, 240
+ORACLES["paired_report"] = f"""{with_ctes(FIRST_LAST_LINES)}, moments AS (
+  SELECT l_returnflag, count(block1 - block7) AS n, avg(block1 - block7) AS m, stddev_samp(block1 - block7) AS s FROM first_last GROUP BY l_returnflag),
+tests AS (SELECT *, m * sqrt(n) / s AS t, n - 1 AS df, m / s AS dz FROM moments),
+sized AS (SELECT *, sqrt(1 + t * t / (2 * df)) * 16 / {GRID} AS h, greatest(1e-9, 1 - 10 / sqrt(2e0 * df)) AS lo, 1 + 10 / sqrt(2e0 * df) AS hi FROM tests),
+nodes AS (
+  SELECT l_returnflag, lo + (hi - lo) * j / {NODES} AS y, exp((df - 1) * ln(lo + (hi - lo) * j / {NODES}) - df * (pow(lo + (hi - lo) * j / {NODES}, 2) - 1) / 2) AS w
+  FROM sized, range({NODES} + 1) r(j)),
+weights AS (SELECT l_returnflag, list(y) AS ys, list(w / total) AS ws FROM (SELECT *, sum(w) OVER (PARTITION BY l_returnflag) AS total FROM nodes) GROUP BY l_returnflag),
+grid AS (
+  SELECT l_returnflag, k, h, t + h * (k - {GRID} / 2) AS x,
+    list_sum(list_transform(range(1, {NODES} + 2), lambda i: ws[i] * exp(-pow(t * ys[i] - (t + h * (k - {GRID} / 2)), 2) / 2))) / sqrt(2 * pi()) AS g
+  FROM sized JOIN weights USING (l_returnflag), range({GRID} + 1) r(k)),
+summed AS (
+  SELECT *, h * (sum(g) OVER (PARTITION BY l_returnflag ORDER BY k DESC) - g / 2) AS area,
+    (lead(g) OVER (PARTITION BY l_returnflag ORDER BY k) - lag(g) OVER (PARTITION BY l_returnflag ORDER BY k)) / (2 * h) AS slope FROM grid),
+chances AS (SELECT *, area + h * h / 12 * slope AS above FROM summed),
+found AS (
+  SELECT l_returnflag, target, arg_max(x, k) AS x, arg_max(g, k) AS g, arg_max(slope, k) AS slope, arg_max(above, k) - target AS e
+  FROM chances, (VALUES (0.975e0), (0.025e0)) v(target) WHERE above >= target GROUP BY l_returnflag, target),
+limits AS (SELECT l_returnflag, target, x + e / g - slope / (2 * g) * pow(e / g, 2) AS d FROM found),
+full_ AS (
+  SELECT q.*, {t_two_sided('t', 'df')} AS p, a.d / sqrt(n) AS dz_low, b.d / sqrt(n) AS dz_high
+  FROM tests q JOIN limits a ON a.l_returnflag = q.l_returnflag AND a.target > 0.5 JOIN limits b ON b.l_returnflag = q.l_returnflag AND b.target < 0.5)
+SELECT l_returnflag, n, {r6('m')} AS mean_diff, {r6('s')} AS sd_diff, {r6('t')} AS t, df, {r6('dz')} AS dz, {r6('p')} AS p_value,
+  {r6('dz_low')} AS dz_low, {r6('dz_high')} AS dz_high,
+  printf('_t_(%d) = %.2f, %s, _dz_ = %.2f, 95%% CI [%.2f, %.2f]', df, t, {p_text('p')}, dz, dz_low, dz_high) AS report FROM full_"""
