@@ -38,12 +38,12 @@ def with_fingerprint(df: DataFrame, text: str, out: str, words: int = WORDS, cho
     kept = df.columns
     df = df.withColumn("_words", F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"))
     df = df.withColumn("_hashes", F.transform(F.filter("_words", lambda w: w != ""), lambda w: F.xxhash64(w))).drop("_words")
-    places = F.when(F.size("_hashes") > 0, F.sequence(F.lit(0), F.greatest(F.size("_hashes") - words, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("_plain", F.transform(places, lambda i: F.xxhash64(*(F.get("_hashes", i + j) for j in range(words))))).drop("_hashes")
+    starts_mer = F.slice("_hashes", F.lit(1), F.greatest(F.size("_hashes") - (words - 1), F.lit(1)))
+    df = df.withColumn("_plain", F.transform(starts_mer, lambda x, i: F.xxhash64(x, *(F.get("_hashes", i + j) for j in range(1, words))))).drop("_hashes")
     df = df.withColumn("_distinct", F.size(F.array_distinct("_plain")))
     # Where a k-mer repeats: sorted by (k-mer, place), a run's second, third, ... entries get their number hashed in.
     some = F.when(F.col("_distinct") < F.size("_plain"), F.col("_plain")).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_runs", F.array_sort(F.transform(some, lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
+    df = df.withColumn("_runs", F.sort_array(F.transform(some, lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
     starts = F.filter(
         F.transform("_runs", lambda r, t: F.when((t == 0) | (F.get("_runs", t - 1)["x"] != r["x"]), t)),
         lambda t: t.isNotNull(),
@@ -60,13 +60,13 @@ def with_fingerprint(df: DataFrame, text: str, out: str, words: int = WORDS, cho
             ),
         )
 
-    df = df.withColumn("_full", F.array_sort(F.flatten(F.transform("_starts", numbered))))
+    df = df.withColumn("_full", F.sort_array(F.flatten(F.transform("_starts", numbered))))
     df = df.withColumn("_mers", F.when(F.size("_runs") > 0, F.transform("_full", lambda e: e["x"])).otherwise(F.col("_plain")))
     df = df.drop("_plain", "_distinct", "_runs", "_starts", "_full")
-    df = df.withColumn("_sorted", F.array_sort("_mers"))
+    df = df.withColumn("_sorted", F.sort_array("_mers"))
     least = F.filter("_sorted", lambda x, i: (i < chosen) | (_bucket(F.get("_sorted", i - chosen)) != _bucket(x)))
     df = df.withColumn("_in_order", F.array_intersect(F.col("_mers"), least)).drop("_sorted", "_mers")
-    df = df.withColumn("_by", F.array_sort(F.transform("_in_order", lambda x, i: F.struct(_bucket(x).alias("b"), i.alias("i"), x.alias("x"))))).drop("_in_order")
+    df = df.withColumn("_by", F.sort_array(F.transform("_in_order", lambda x, i: F.struct(_bucket(x).alias("b"), i.alias("i"), x.alias("x"))))).drop("_in_order")
 
     def same(t: Column, j: int) -> Column:
         other = F.get("_by", t + j)
