@@ -79,3 +79,12 @@ def test_lookup_reads_its_left_side_once(spark, sf_dir):
 def test_holm_computes_its_values_once(spark, sf_dir):
     text = plan(QUERIES["holm_adjust"](spark, sf_dir))
     assert not any(x in text for x in ("ArrowEvalPython", "BatchEvalPython"))
+
+
+@pytest.mark.parametrize("name", ["simple_slopes", "ols_report", "moderated_coefficients"])
+def test_coefficient_tables_need_no_shuffle_of_their_own(spark, sf_dir, name):
+    text = plan(QUERIES[name](spark, sf_dir))
+    if name != "moderated_coefficients":
+        assert len(re.findall(r"Exchange (hash|single|range)", text)) == 1
+        assert text.count("ArrowEvalPython") <= 3  # the solves, and all tails at once
+    assert "collect_list" not in text

@@ -254,9 +254,23 @@ def test_leave_one_out_equals_refitting(spark, monkeypatch):
         assert (got.n, got.loo_mse) == (30, pytest.approx(np.mean(errors)))
 
 
-def test_collinear_or_short_groups_have_no_fit(spark):
+def test_aliased_terms_and_short_groups(spark):
+    """An aliased term is missing, the others are those of the model without it; a short group has no fit."""
     rows = [("short", 1.0, 2.0, 1.0), ("short", 2.0, 1.0, 3.0)] + [("flat", float(i), 2.0 * i, float(i % 3)) for i in range(9)]
     df = spark.createDataFrame(rows, "g string, a double, b double, y double")
-    fits = ols.fit_models(df, "y", {"m": [ols.Term.numeric("a"), ols.Term.numeric("b")]}, ["g"])
-    assert ols.coefficients(fits, "m", ["g"]).count() == 0
-    assert {r.p_value for r in ols.fit_stats(fits, "m", ["g"]).collect()} == {None}
+    a, b = ols.Term.numeric("a"), ols.Term.numeric("b")
+    fits = ols.fit_models(df, "y", {"m": [a, b], "one": [a], "turned": [b, a]}, ["g"])
+    table = {(r.g, r.model, r.term): r for r in ols.coefficients(fits, ["m", "one", "turned"], ["g"], holm=True).collect()}
+    assert len(table) == 16
+    for term in ("(Intercept)", "a"):
+        for name in ("estimate", "std_error", "df", "statistic", "p_value", "ci_t_low"):
+            assert getattr(table["flat", "m", term], name) == pytest.approx(getattr(table["flat", "one", term], name))
+    gone = table["flat", "m", "b"]
+    assert (gone.estimate, gone.std_error, gone.p_value, gone.p_adj) == (None, None, None, None)
+    assert table["flat", "turned", "a"].estimate is None and table["flat", "turned", "b"].estimate is not None
+    assert {table["short", "m", t].estimate for t in ("(Intercept)", "a", "b")} == {None}
+    stats = {r.g: r for r in ols.fit_stats(fits, "m", ["g"]).collect()}
+    assert stats["short"].p_value is None and (stats["flat"].df_model, stats["flat"].df_resid) == (1, 7)
+    loo = {r.g: r.loo_mse for r in ols.leave_one_out(df, "y", [a, b], ["g"]).collect()}
+    alone = {r.g: r.loo_mse for r in ols.leave_one_out(df.filter("g = 'flat'"), "y", [a], ["g"]).collect()}
+    assert loo["short"] is None and loo["flat"] == pytest.approx(alone["flat"])

@@ -284,6 +284,24 @@ def _upper_f(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _nullable(np.where((df1 > 0) & (df2 > 0), p, np.nan))
 
 
+def t_table(t: Column, df: Column, level: float) -> Column:
+    """For arrays of t statistics and their df: struct ``p`` (two-sided p-values) and ``quantile`` (t at ``level``), as arrays."""
+    doubles = T.ArrayType(T.DoubleType())
+
+    @F.pandas_udf(T.StructType([T.StructField("p", doubles), T.StructField("quantile", doubles)]))
+    def tails(t: pd.Series, df: pd.Series) -> pd.DataFrame:
+        sizes = np.array([0 if v is None else len(v) for v in t])
+        cuts = np.cumsum(sizes)[:-1]
+        flat = [np.concatenate([np.asarray(v, dtype=float) for v in s if v is not None] or [np.zeros(0)]) for s in (t, df)]
+        p = two_sided_t(*flat)
+        values, back = np.unique(flat[1], return_inverse=True)
+        quantile = t_quantiles(level, values)[back]
+        lists = [[[None if np.isnan(x) else float(x) for x in part] for part in np.split(v, cuts)] for v in (p, quantile)]
+        return pd.DataFrame({"p": pd.Series(lists[0], dtype=object), "quantile": pd.Series(lists[1], dtype=object)})
+
+    return tails(t, df)
+
+
 def t_p_value(t: ColumnLike, df: ColumnLike, alternative: str = "two.sided") -> Column:
     """p-value of a t statistic for an alternative: ``two.sided``, ``greater`` or ``less``."""
     t, df = as_col(t).cast("double"), as_col(df).cast("double")

@@ -22,30 +22,48 @@ FIT_TYPE = T.StructType(
         T.StructField("coef", DOUBLES),
         T.StructField("unscaled_cov", DOUBLES),
         T.StructField("rss", T.DoubleType()),
+        T.StructField("rank", T.LongType()),
     ]
 )
+#: A column is aliased if less than this share of its variance is left beside the columns before it.
+ALIASED = 1e-12
 PCA_TYPE = T.StructType([T.StructField("variances", DOUBLES), T.StructField("loadings", T.ArrayType(DOUBLES))])
 
 
-def _complete(rows: pd.Series, size: int) -> np.ndarray:
-    """Positions of the rows whose array has the expected size and no missing entry."""
-    return np.array(
-        [v is not None and len(v) == size and not np.isnan(np.asarray(v, dtype=float)).any() for v in rows],
-        dtype=bool,
-    )
+def _stacked(rows: pd.Series, size: int) -> np.ndarray:
+    """The rows' arrays as one matrix; NaN throughout where an array is missing or of another size."""
+    out = np.full((len(rows), size), np.nan)
+    fits = np.array([v is not None and len(v) == size for v in rows], dtype=bool)
+    if fits.any():
+        out[fits] = np.concatenate([v for v, ok in zip(rows, fits, strict=True) if ok]).astype(float).reshape(-1, size)
+    return out
 
 
 def _frame(columns: dict[str, list]) -> pd.DataFrame:
     return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
 
 
+def independent_columns(standard: np.ndarray) -> list[int]:
+    """Columns of a correlation matrix, in order, that aren't combinations of the ones kept before."""
+    kept: list[int] = []
+    for j in range(len(standard)):
+        left = standard[j, j]
+        if kept:
+            beside = standard[np.ix_(kept, [j])][:, 0]
+            left -= beside @ np.linalg.solve(standard[np.ix_(kept, kept)], beside)
+        if standard[j, j] > 0 and left > ALIASED:
+            kept.append(j)
+    return kept
+
+
 @F.pandas_udf(FIT_TYPE)
 def solve_least_squares(n: pd.Series, means: pd.Series, cross: pd.Series) -> pd.DataFrame:
     """Least squares from centred moments of (x1..xk, y).
 
     ``means`` holds k + 1 means and ``cross`` the (k + 1)^2 centred cross-products. Gives the intercept
-    and slopes, the unscaled covariance of all k + 1 coefficients, and the residual sum of squares.
-    Groups with too few rows or collinear predictors give NULL.
+    and slopes, the unscaled covariance of all k + 1 coefficients, the residual sum of squares and the number of slopes
+    that could be told apart. A column that the ones before it determine is aliased: its slope and covariances are
+    missing, and the others are those of the model without it. Groups with too few rows give NULL.
     """
     out = {name: [None] * len(n) for name in FIT_TYPE.names}
     sizes = [len(m) for m in means if m is not None]
@@ -53,19 +71,25 @@ def solve_least_squares(n: pd.Series, means: pd.Series, cross: pd.Series) -> pd.
         return _frame(out)
     width = sizes[0]
     k = width - 1
-    usable = np.flatnonzero(_complete(means, width) & _complete(cross, width * width) & (n.to_numpy() > width))
+    every_mean, every_cross = _stacked(means, width), _stacked(cross, width * width)
+    usable = np.flatnonzero(~np.isnan(every_mean).any(1) & ~np.isnan(every_cross).any(1) & (n.to_numpy() > 1))
     if not len(usable):
         return _frame(out)
     count = n.to_numpy(dtype=float)[usable]
-    mean = np.stack([np.asarray(means.iloc[i], dtype=float) for i in usable])
-    moment = np.stack([np.asarray(cross.iloc[i], dtype=float) for i in usable]).reshape(-1, width, width)
+    mean, moment = every_mean[usable], every_cross[usable].reshape(-1, width, width)
     sxx, sxy, syy = moment[:, :k, :k], moment[:, :k, k], moment[:, k, k]
     scale = np.sqrt(np.einsum("gii->gi", sxx))
     safe = np.where(scale > 0, scale, 1.0)
     standard = sxx / (safe[:, :, None] * safe[:, None, :])
-    solvable = (scale > 0).all(axis=1) & (np.linalg.eigvalsh(standard)[:, 0] > 1e-12)
-    standard = np.where(solvable[:, None, None], standard, np.eye(k))
-    inverse = np.linalg.inv(standard) / (safe[:, :, None] * safe[:, None, :])
+    plain = (scale > 0).all(axis=1) & (np.linalg.eigvalsh(standard)[:, 0] > 1e-12)
+    inverse = np.linalg.inv(np.where(plain[:, None, None], standard, np.eye(k)))
+    rank = np.full(len(usable), k)
+    for g in np.flatnonzero(~plain):  # aliased terms are rare
+        kept = independent_columns(standard[g])
+        inverse[g], rank[g] = 0.0, len(kept)
+        if kept:
+            inverse[g][np.ix_(kept, kept)] = np.linalg.inv(standard[g][np.ix_(kept, kept)])
+    inverse = inverse / (safe[:, :, None] * safe[:, None, :])
     slope = np.einsum("gij,gj->gi", inverse, sxy)
     intercept = mean[:, k] - np.einsum("gi,gi->g", slope, mean[:, :k])
     # the full quadratic form: rounding in the slopes then enters squared
@@ -76,11 +100,13 @@ def solve_least_squares(n: pd.Series, means: pd.Series, cross: pd.Series) -> pd.
     cov[:, 1:, 1:] = inverse
     cov[:, 0, 1:] = cov[:, 1:, 0] = -pull
     cov[:, 0, 0] = 1 / count + np.einsum("gi,gi->g", pull, mean[:, :k])
-    coef = np.column_stack([intercept, slope]).tolist()
-    flat, left = cov.reshape(len(usable), -1).tolist(), rss.tolist()
-    for g in np.flatnonzero(solvable):
+    coef = np.column_stack([intercept, slope])
+    gone = np.column_stack([np.zeros(len(usable), bool), np.einsum("gii->gi", inverse) == 0])
+    coefs = np.where(gone, None, coef).tolist()
+    flat = np.where(gone[:, :, None] | gone[:, None, :], None, cov).reshape(len(usable), -1).tolist()
+    for g in np.flatnonzero(count > rank + 1):
         row = usable[g]
-        out["coef"][row], out["unscaled_cov"][row], out["rss"][row] = coef[g], flat[g], left[g]
+        out["coef"][row], out["unscaled_cov"][row], out["rss"][row], out["rank"][row] = coefs[g], flat[g], float(rss[g]), int(rank[g])
     return _frame(out)
 
 
@@ -95,10 +121,11 @@ def decompose_correlations(corr: pd.Series) -> pd.DataFrame:
     if not sizes:
         return _frame(out)
     p = int(round(sizes[0] ** 0.5))
-    usable = np.flatnonzero(_complete(corr, p * p))
+    every = _stacked(corr, p * p)
+    usable = np.flatnonzero(~np.isnan(every).any(1))
     if not len(usable):
         return _frame(out)
-    matrix = np.stack([np.asarray(corr.iloc[i], dtype=float) for i in usable]).reshape(-1, p, p)
+    matrix = every[usable].reshape(-1, p, p)
     values, vectors = np.linalg.eigh(matrix)
     values, vectors = np.maximum(values[:, ::-1], 0.0), vectors[:, :, ::-1].transpose(0, 2, 1)
     top = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=2)[:, :, None], axis=2)

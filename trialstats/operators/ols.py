@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions.columns import ColumnLike, as_col, ratio
-from trialstats.functions.distributions import f_p_value, t_p_value, t_quantile
+from trialstats.functions.distributions import f_p_value, t_table
 from trialstats.functions.linalg import solve_least_squares
 from trialstats.functions.text import (
     coefficient_sentence,
@@ -109,51 +109,69 @@ def _size(model: str) -> Column:
     return F.size(F.col(f"{model}.terms"))
 
 
+def _rank(model: str) -> Column:
+    """Slopes that could be told apart; aliased terms don't count."""
+    return F.col(f"{model}.rank")
+
+
 def _residual_df(model: str) -> Column:
-    return F.col("n") - 1 - _size(model)
+    return F.col("n") - 1 - F.coalesce(_rank(model), _size(model))
 
 
 def coefficients(
-    fits: DataFrame, model: str | Sequence[str], keys: Sequence[str] = (), level: float = 0.95
+    fits: DataFrame, model: str | Sequence[str], keys: Sequence[str] = (), level: float = 0.95, holm: bool = False
 ) -> DataFrame:
-    """Long coefficient table: estimate, se, t, p, t and normal intervals, beta.
+    """Long coefficient table: estimate, se, t, p, t and normal intervals, beta; ``holm`` adds Holm p-values per model.
 
     ``beta`` is the slope in standard deviations for numeric terms and the raw slope for factors and
     interactions (``std_kind`` says which); the intercept has none. A list of models gives one table with a
-    ``model`` column, from the same rows of ``fits``.
+    ``model`` column, from the same rows of ``fits``. Aliased terms, and all terms of groups without a fit, have
+    missing values. A group's terms stay one array until everything is known of them, so nothing is shuffled.
     """
     several = not isinstance(model, str)
     models = list(model) if several else [model]
-    rows = fits.select(
-        *keys, "sd_y", F.inline(F.flatten(F.array(*[_coefficient_rows(m) for m in models])))
-    )
-    estimate, se = F.col("estimate"), F.col("std_error")
-    numeric = F.col("kind") == "numeric"
-    out = rows.select(
-        *keys,
-        *(["model"] if several else []),
-        "term_index",
-        "term",
-        "estimate",
-        F.sqrt(F.col("s2") * F.col("unscaled")).alias("std_error"),
-        "df",
-        F.when(numeric, ratio(estimate * F.col("sd"), "sd_y")).when(~numeric, estimate).alias("beta"),
-        F.when(numeric, "standardised").when(~numeric, "raw").alias("std_kind"),
-    )
-    out = out.withColumn("statistic", ratio(estimate, se))
-    out = out.withColumns({"p_value": t_p_value("statistic", "df"), "_half": t_quantile((1 + level) / 2, "df") * se})
-    return out.withColumns(
-        {
-            "ci_t_low": estimate - F.col("_half"),
-            "ci_t_high": estimate + F.col("_half"),
+    rows = fits.select(*keys, "sd_y", *[_coefficient_rows(m).alias(f"_r{i}") for i, m in enumerate(models)])
+    rows = rows.withColumn("_rows", F.concat(*[f"_r{i}" for i in range(len(models))]))
+    statistic = F.transform("_rows", lambda r: ratio(r["estimate"], F.sqrt(r["s2"] * r["unscaled"])))
+    rows = rows.withColumn("_t", statistic)
+    dofs = F.transform("_rows", lambda r: r["df"].cast("double"))
+    rows = rows.withColumn("_tails", t_table(F.col("_t"), dofs, (1 + level) / 2))
+    if holm:
+        start = F.lit(1)
+        parts = []
+        for i in range(len(models)):
+            parts.append(holm_values(F.slice("_tails.p", start, F.size(f"_r{i}"))))
+            start = start + F.size(f"_r{i}")
+        rows = rows.withColumn("_holm", F.concat(*parts))
+
+    def full(r: Column, i: Column) -> Column:
+        estimate, se = r["estimate"], F.sqrt(r["s2"] * r["unscaled"])
+        numeric = r["kind"] == "numeric"
+        half = F.get("_tails.quantile", i) * se
+        fields = {
+            **({"model": r["model"]} if several else {}),
+            "term_index": r["term_index"],
+            "term": r["term"],
+            "estimate": estimate,
+            "std_error": se,
+            "df": r["df"],
+            "beta": F.when(numeric, ratio(estimate * r["sd"], F.col("sd_y"))).when(~numeric, estimate),
+            "std_kind": F.when(numeric, "standardised").when(~numeric, "raw"),
+            "statistic": F.get("_t", i),
+            "p_value": F.get("_tails.p", i),
+            "ci_t_low": estimate - half,
+            "ci_t_high": estimate + half,
             "ci_z_low": estimate - NORMAL_95 * se,
             "ci_z_high": estimate + NORMAL_95 * se,
+            **({"p_adj": F.get("_holm", i)} if holm else {}),
         }
-    ).drop("_half")
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    return rows.select(*keys, F.inline(F.transform("_rows", full)))
 
 
 def _coefficient_rows(model: str) -> Column:
-    """Array of one struct per coefficient of a model; empty where there is no fit."""
+    """Array of one struct per coefficient of a model."""
     width = _size(model) + 1
     part = lambda name: F.col(f"{model}.{name}")
 
@@ -166,16 +184,15 @@ def _coefficient_rows(model: str) -> Column:
             F.get(part("unscaled_cov"), i * width + i).alias("unscaled"),
             F.get(part("sds"), i - 1).alias("sd"),
             F.get(part("kinds"), i - 1).alias("kind"),
-            _residual_df(model).alias("df"),
+            F.when(part("coef").isNotNull(), _residual_df(model)).alias("df"),
             ratio(part("rss"), _residual_df(model)).alias("s2"),
         )
 
-    rows = F.transform(F.sequence(F.lit(0), _size(model)), row)
-    return F.filter(rows, lambda _: part("coef").isNotNull())
+    return F.transform(F.sequence(F.lit(0), _size(model)), row)
 
 
 def with_holm(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Add Holm-adjusted p-values within each model's coefficient table.
+    """Add Holm-adjusted p-values within each model's table of terms or slopes, where it isn't made with them.
 
     A family is one model's terms, so it fits in one small array.
     """
@@ -189,7 +206,7 @@ def with_holm(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def report_table(fits: DataFrame, model: str | Sequence[str], keys: Sequence[str] = (), digits: int = 2) -> DataFrame:
     """Regression table for reading: rounded estimate and beta, interval text, p and Holm p as text."""
     by = [*keys] if isinstance(model, str) else [*keys, "model"]
-    table = with_holm(coefficients(fits, model, keys), by)
+    table = coefficients(fits, model, keys, holm=True)
     return table.select(
         *by,
         "term",
@@ -229,7 +246,7 @@ def _adjusted_r_squared(model: str) -> Column:
 
 def _overall_f(model: str) -> Column:
     rss = F.col(f"{model}.rss")
-    return ratio((F.col("tss") - rss) * _residual_df(model), rss * _size(model))
+    return ratio((F.col("tss") - rss) * _residual_df(model), rss * _rank(model))
 
 
 def _gain_f(smaller: str, larger: str) -> Column:
@@ -238,7 +255,7 @@ def _gain_f(smaller: str, larger: str) -> Column:
 
 
 def _extra_terms(smaller: str, larger: str) -> Column:
-    return (_size(larger) - _size(smaller)).cast("long")
+    return (_rank(larger) - _rank(smaller)).cast("long")
 
 
 def fit_stats(fits: DataFrame, model: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -249,7 +266,7 @@ def fit_stats(fits: DataFrame, model: str, keys: Sequence[str] = ()) -> DataFram
         (1 - ratio(f"{model}.rss", "tss")).alias("r_squared"),
         _adjusted_r_squared(model).alias("adj_r_squared"),
         _overall_f(model).alias("f_value"),
-        _size(model).cast("long").alias("df_model"),
+        F.coalesce(_rank(model), _size(model).cast("long")).alias("df_model"),
         _residual_df(model).alias("df_resid"),
     )
     out = out.withColumn("p_value", f_p_value("f_value", "df_model", "df_resid"))
@@ -280,7 +297,7 @@ def step_stats(fits: DataFrame, steps: Sequence[str], keys: Sequence[str] = ())
         *keys,
         last.alias("_p_diff"),
         *[_adjusted_r_squared(m).alias(f"_r{i}") for i, m in enumerate(steps)],
-        *[f_p_value(_overall_f(m), _size(m), _residual_df(m)).alias(f"_p{i}") for i, m in enumerate(steps)],
+        *[f_p_value(_overall_f(m), _rank(m), _residual_df(m)).alias(f"_p{i}") for i, m in enumerate(steps)],
     )
     rows = [
         F.struct(
@@ -323,31 +340,37 @@ def simple_slopes(
             F.struct(F.lit("high").alias("level"), (mean + sd).alias("at")),
         ]
     dof = _residual_df(model)
-    base = fits.filter(coef.isNotNull()).select(
+    slope = lambda at: coef[b] + coef[inter] * at
+    variance = lambda at: cov[b * width + b] + at * at * cov[inter * width + inter] + 2 * at * cov[b * width + inter]
+    s2 = ratio(f"{model}.rss", dof)
+    rows = fits.filter(coef.isNotNull()).select(
         *keys,
-        dof.alias("df"),
-        ratio(f"{model}.rss", dof).alias("_s2"),
-        coef[b].alias("_b"),
-        coef[inter].alias("_bi"),
-        cov[b * width + b].alias("_vb"),
-        cov[inter * width + inter].alias("_vi"),
-        cov[b * width + inter].alias("_vbi"),
-        F.posexplode(F.array(*points)).alias("term_index", "_point"),
-    )
-    at_point = F.col("_point.at")
-    slope, se = F.col("slope"), F.col("std_error")
-    out = base.select(
-        *keys,
-        "term_index",
-        "_point.level",
-        "_point.at",
-        (F.col("_b") + F.col("_bi") * at_point).alias("slope"),
-        F.sqrt(F.col("_s2") * (F.col("_vb") + at_point * at_point * F.col("_vi") + 2 * at_point * F.col("_vbi"))).alias("std_error"),
-        "df",
+        F.transform(
+            F.array(*points),
+            lambda point: F.struct(
+                point["level"].alias("level"),
+                point["at"].alias("at"),
+                slope(point["at"]).alias("slope"),
+                F.sqrt(s2 * variance(point["at"])).alias("std_error"),
+                dof.alias("df"),
+            ),
+        ).alias("_rows"),
     )
-    out = out.withColumn("t", ratio(slope, se)).withColumn("p_value", t_p_value("t", "df"))
-    out = out.withColumn("ci_z_low", slope - NORMAL_95 * se).withColumn("ci_z_high", slope + NORMAL_95 * se)
-    out = with_holm(out, keys).drop("term_index")
+    rows = rows.withColumn("_t", F.transform("_rows", lambda r: ratio(r["slope"], r["std_error"])))
+    rows = rows.withColumn("_tails", t_table(F.col("_t"), F.transform("_rows", lambda r: r["df"].cast("double")), 0.975))
+    rows = rows.withColumn("_holm", holm_values(F.col("_tails.p")))
+
+    def full(r: Column, i: Column) -> Column:
+        return F.struct(
+            *[r[c].alias(c) for c in ("level", "at", "slope", "std_error", "df")],
+            F.get("_t", i).alias("t"),
+            F.get("_tails.p", i).alias("p_value"),
+            (r["slope"] - NORMAL_95 * r["std_error"]).alias("ci_z_low"),
+            (r["slope"] + NORMAL_95 * r["std_error"]).alias("ci_z_high"),
+            F.get("_holm", i).alias("p_adj"),
+        )
+
+    out = rows.select(*keys, F.inline(F.transform("_rows", full)))
     return out.withColumn("report", slope_sentence("slope", "ci_z_low", "ci_z_high", "p_value"))
 
 
@@ -373,9 +396,11 @@ def leave_one_out(
     joined = group_join(rows, table, keys, "n", hot_rows)
     x = [F.lit(1.0), *[F.col(n) for n in names]]
     width = len(x)
-    fitted = sum((F.col("_coef")[i] * v for i, v in enumerate(x)), F.lit(0.0))
+    # an aliased term takes no part; a group without a fit has no error
+    entry = lambda name, i: F.when(F.col(name).isNotNull(), F.coalesce(F.col(name)[i], F.lit(0.0)))
+    fitted = sum((entry("_coef", i) * v for i, v in enumerate(x)), F.lit(0.0))
     leverage = sum(
-        (F.col("_cov")[i * width + j] * x[i] * x[j] for i in range(width) for j in range(width)), F.lit(0.0)
+        (entry("_cov", i * width + j) * x[i] * x[j] for i in range(width) for j in range(width)), F.lit(0.0)
     )
     left_out = ratio(F.col("_y") - fitted, 1 - leverage)
     return joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(left_out * left_out).alias("loo_mse"))

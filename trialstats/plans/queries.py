@@ -760,7 +760,7 @@ def _moderated_three(spark, sf):
 
 @query
 def moderated_coefficients(spark, sf):
-    table_ = ols.with_holm(ols.coefficients(_moderated_three(spark, sf), "step2", ["vars"]), ["vars"])
+    table_ = ols.coefficients(_moderated_three(spark, sf), "step2", ["vars"], holm=True)
     return table_.select("vars", "term", "estimate", "std_error", "p_value", "p_adj")
 
 
@@ -773,7 +773,7 @@ def moderated_compare(spark, sf):
 @query
 def moderated_regression(spark, sf):
     fits = A.moderated_regression(_subjects(spark, sf), sorted(INSTRUMENTS))
-    return ols.with_holm(ols.coefficients(fits, "step2", ["vars"]), ["vars"])
+    return ols.coefficients(fits, "step2", ["vars"], holm=True)
 
 
 @query
