@@ -26,17 +26,18 @@ from pyspark.sql import functions as F
 
 from trialstats.llm import common
 
-DEGREE = 28
+DEGREE = 32
 #: Of the nodes that have a node as neighbour, so many (by hash) meet its neighbours; the search graph has as many back edges.
-BACK = 20
+BACK = 24
 RUN = 192
 PROJECTIONS = 4
-DESCENTS = 4
-OFFERS = 6
+DESCENTS = 7
+OFFERS = 8
 ENTRIES = 256
-BEAM = 96
+BEAM = 128
 ROUNDS = 8
 BEST = 32
+BROADCAST_BYTES = 32 << 20
 EDGE = "src long, dst long, near float, fresh boolean"
 
 
@@ -151,26 +152,25 @@ def _back(edges: DataFrame, count: int) -> DataFrame:
 def graph(codes: DataFrame, degree: int = DEGREE, descents: int = DESCENTS) -> DataFrame:
     """(src, dst, near, fresh, place): about the ``degree`` nearest of every node of ``codes`` (id, code)."""
     first = codes.first()
-    rng = np.random.default_rng(9)
-    edges = None
-    for _ in range(PROJECTIONS if first else 0):
-        axes = rng.normal(size=(2, len(first["code"]) // 2)).astype(np.float32)
-
-        def placed(batches: Iterator[pa.RecordBatch], axes=axes) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = _matrix(batch.column("code").to_pylist()) @ axes.T if batch.num_rows else np.zeros((0, 2))
-                cell = pa.array(np.floor(x[:, 0] * 2).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns, cell, pa.array(x[:, 1].astype(np.float64))], ["id", "code", "cell", "along"])
-
-        rows = codes.mapInArrow(placed, "id long, code binary, cell long, along double")
-        runs = rows.repartitionByRange("cell", "along", "id").sortWithinPartitions("cell", "along", "id").mapInArrow(_runs, EDGE)
-        edges = runs if edges is None else edges.unionByName(runs)
-    if edges is None:
+    if first is None:
         return codes.sparkSession.createDataFrame([], EDGE + ", place int")
+    axes = np.random.default_rng(9).normal(size=(len(first["code"]) // 2, 2 * PROJECTIONS)).astype(np.float32)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every node once per projection: a cell along one axis, and a place in it along another."""
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("code").to_pylist()) @ axes
+                for k in range(PROJECTIONS):
+                    cell = pa.array(np.floor(x[:, 2 * k] * 2).astype(np.int64) + 1000 * k)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, cell, pa.array(x[:, 2 * k + 1].astype(np.float64))], ["id", "code", "cell", "along"])
+
+    rows = codes.mapInArrow(placed, "id long, code binary, cell long, along double")
+    edges = rows.repartitionByRange("cell", "along", "id").sortWithinPartitions("cell", "along", "id").mapInArrow(_runs, EDGE)
     known = common.written(_best(edges, degree), "graph")
     for _ in range(descents):
-        least = known.groupBy(F.col("src").alias("id")).agg(F.min("near").alias("near"), F.count("*").alias("n"))
-        members = codes.join(least, "id").select("id", "code", F.when(F.col("n") >= degree, F.col("near")).otherwise(-2.0).cast("float").alias("least"))
+        least = known.filter(F.col("place") == degree).select(F.col("src").alias("id"), "near")
+        members = codes.join(least, "id", "left").select("id", "code", F.coalesce("near", F.lit(-2.0)).cast("float").alias("least"))
         forth = known.select(F.col("src").alias("node"), F.col("dst").alias("id"), "fresh")
         back = _back(known, BACK).select(F.col("dst").alias("node"), F.col("src").alias("id"), "fresh")
         meetings = forth.unionByName(back).join(members, "id").repartition("node").sortWithinPartitions("node")
@@ -227,12 +227,16 @@ def search(known: DataFrame, codes: DataFrame, queries: DataFrame, best: int = B
 
     def kept(rows: DataFrame) -> DataFrame:
         once = rows.repartition("query").groupBy("query", "id").agg(F.max("near").alias("near"), F.max("old").alias("old"))
-        return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= BEAM)
+        best = once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= BEAM)
+        full = F.when(F.max("place").over(Window.partitionBy("query")) >= BEAM, F.min("near").over(Window.partitionBy("query")))
+        return best.withColumn("least", F.coalesce(full, F.lit(-2.0)).cast("float"))
 
+    asked = queries.select("query", "qcode")
+    if (8 + 2 * entries.shape[1]) * asked.count() <= BROADCAST_BYTES:
+        asked = F.broadcast(asked)
     state = common.written(kept(state.withColumn("old", F.lit(False))), "beam")
     for _ in range(ROUNDS):
-        worst = state.groupBy("query").agg(F.when(F.count("*") >= BEAM, F.min("near")).otherwise(-2.0).cast("float").alias("least"))
-        frontier = state.filter("NOT old").join(queries.select("query", "qcode"), "query").join(worst, "query")
+        frontier = state.filter("NOT old").select("query", "id", "least").join(asked, "query")
         beside = frontier.select("query", "qcode", "least", F.col("id").alias("node")).join(adjacency, "node")
         new = beside.select("query", "qcode", "least", "ids", "codes").mapInArrow(_expanded, found).withColumn("old", F.lit(False))
         state = common.written(kept(new.unionByName(state.select("query", "id", "near", F.lit(True).alias("old")))), "beam")
