@@ -15,6 +15,8 @@ ordered by text hash. An empty table gives no rows. Columns other than the id an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,19 +110,20 @@ def _borders(ids: DataFrame) -> DataFrame:
     return joined.select(F.col("group").alias("from_group"), F.col("next.id").alias("id"), F.col("next.mark").alias("mark"))
 
 
-def with_next(rows: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
-    """``rows`` with ``next_<column>`` of the next row by descending id; after the last comes the first.
+def with_next(rows: DataFrame, id_column: str, text: str, more: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """``more(rows)`` with ``next_<column>`` of the next row by descending id; after the last comes the first.
 
     Rows meet their neighbours in groups of 2^GROUP_BITS ids, which one shuffle makes. A group's last row finds its
-    neighbour in a copy of the next group's first row. ``rows`` is read three times: for the ids, the copies, itself.
+    neighbour in a copy of the next group's first row. ``more`` is applied once, to rows and copies together, so that
+    its work isn't done again for the ids and the copies.
     """
     number = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
-    rows = rows.withColumn("id", number).withColumn("mark", F.xxhash64(*columns)).withColumn("group", F.shiftright("id", GROUP_BITS))
+    rows = rows.withColumn("id", number).withColumn("mark", F.xxhash64(text)).withColumn("group", F.shiftright("id", GROUP_BITS))
     borders = common.written(_borders(rows.select("id", "mark", "group")), "borders")
     told = F.broadcast(borders) if 24 * borders.count() <= BROADCAST_BYTES else borders
     copies = rows.drop("group").join(told, ["id", "mark"]).withColumnRenamed("from_group", "group").withColumn("copy", F.lit(1))
     near = Window.partitionBy("group").orderBy("copy", F.desc("id"), F.desc("mark"))
-    both = rows.withColumn("copy", F.lit(0)).unionByName(copies)
+    both = more(rows.withColumn("copy", F.lit(0)).unionByName(copies))
     for c in columns:
         both = both.withColumn(f"next_{c}", F.lead(c).over(near))
     return both.filter("copy = 0").drop("copy", "group", "mark", "id")
@@ -133,8 +136,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     document by descending id.
     """
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    signed = with_fingerprint(plain, "text", "signature")
-    rows = with_next(signed, "doc_id", ["text", "signature"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = with_next(plain, "doc_id", "text", lambda df: with_fingerprint(df, "text", "signature"), ["text", "signature"])
+    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
     rows = with_fingerprint(rows.drop("text", "next_text"), "edited", "edited_signature")
