@@ -182,14 +182,9 @@ class Chunks:
         return out
 
 
-_CHUNKS: dict[tuple[str, str], Chunks] = {}
-
-
 def chunks_of(path: str, pattern: str) -> Chunks:
     """One per Python worker, vocabulary and pattern."""
-    if (path, pattern) not in _CHUNKS:
-        _CHUNKS[path, pattern] = Chunks(path, pattern)
-    return _CHUNKS[path, pattern]
+    return common.kept(("chunks", path, pattern), lambda: Chunks(path, pattern))
 
 
 def decode(ids: bytes, tokens: list[bytes]) -> bytes:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,22 @@ BATCH_BYTES = 4 << 20
 MASK64 = (1 << 64) - 1
 
 
+_KEPT: list = []
+
+
+def kept(key: tuple, make: Callable):
+    """An object that a Python process keeps between tasks, one at a time: another key's goes first, with its memory."""
+    if not _KEPT or _KEPT[0] != key:
+        _KEPT.clear()
+        _KEPT.extend((key, make()))
+    return _KEPT[1]
+
+
+def forget() -> None:
+    """Drop what an earlier operator has kept in this process."""
+    _KEPT.clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

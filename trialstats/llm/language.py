@@ -166,6 +166,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet | No
 
 def _predicted(model: ByteNet | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         for batch in batches:
             for some in common.slices(batch, limit=2 << 20):
                 texts = some.column("text").to_pylist()

@@ -58,16 +58,6 @@ class Ids:
         return [known[x] for x in chunks]
 
 
-_IDS: dict[str, Ids] = {}
-
-
-def ids_of(path: str) -> Ids:
-    """One per Python worker and file."""
-    if path not in _IDS:
-        _IDS[path] = Ids(path)
-    return _IDS[path]
-
-
 def token_bytes(texts: pa.Array, coder) -> Iterator[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers."""
     offsets, codes, chunks = common.chunk_codes(texts)
@@ -121,7 +111,7 @@ def _packed_locally(path: str, capacity: int, end: int):
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, counter = ids_of(path), [0]
+        coder, counter = common.kept(("ids", path), lambda: Ids(path)), [0]
         part = TaskContext.get().partitionId()
         rows: list[tuple] = []
         for batch in batches:
