@@ -28,7 +28,7 @@ from trialstats.llm import common
 WINDOW = 13
 #: Words of the runs whose hashes compete to be the minimiser.
 RUN = 5
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Rows of documents with removals: their ids are broadcast up to this many bytes, and joined by shuffle beyond.
 BROADCAST_BYTES = 32 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -75,6 +75,7 @@ def _sent(window: int, run: int, buckets: int):
     """Per slice of documents: packed strings by bucket, and spans already known to repeat."""
 
     def run_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for some in common.slices(batch, limit=SLICE_BYTES):
@@ -185,6 +186,7 @@ def _found(window: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         expand = zstandard.ZstdDecompressor().decompress
         held, blobs = None, []
         for batch in batches:
