@@ -59,6 +59,29 @@ def test_edges_over_many_parts(spark, tokenizer):
     checked(out, tokenizer, rows, 128, slack=0.05)
 
 
+def by_lengths(spark, tokenizer, lengths, parts):
+    """Rows and their frame: one text per wanted number of ids, rows in order over ``parts`` partitions."""
+    rows = [(i, " cat" * (n - 1)) for i, n in enumerate(lengths)]
+    assert all(len(tokenizer.encode(" cat" * (n - 1)).ids) == n - 1 for n in set(lengths))
+    return rows, spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("group", [None, 128])
+def test_lengths_that_differ_by_partition_meet(spark, tokenizer, monkeypatch, group):
+    if group:
+        monkeypatch.setattr(packing, "GROUP", group)
+    rows, frame = by_lengths(spark, tokenizer, [600] * 400 + [400] * 400, 2)
+    out = packing.pack(frame, capacity=1000).collect()
+    assert checked(out, tokenizer, rows, 1000) <= (404 if group else 400)
+
+
+def test_bins_that_nothing_fits_stay(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 64)
+    rows, frame = by_lengths(spark, tokenizer, [600] * 300, 3)
+    out = packing.pack(frame, capacity=1000).collect()
+    assert checked(out, tokenizer, rows, 1000, slack=0.7) == 300
+
+
 def test_empty_and_clashing_names(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     frame = spark.sql("select 1L doc_id, 'a' text, 'x' seq, 'y' shift, 'z' fill, 1 part")

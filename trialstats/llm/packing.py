@@ -1,9 +1,9 @@
 """Best-fit packing of tokenized documents into sequences: hierarchical residual packing.
 
 Every task tokenizes its documents and packs them best-fit, largest first. Bins that are nearly full are final.
-The pieces in the emptiest other bins travel on: groups of tasks pack theirs by best-fit again, round by round,
-until one group is left. A round carries a bounded number of bins per group, so the last one is small whatever the
-input's size.
+The pieces of all other bins travel on: they are dealt by hash, anew in each round, over groups of about GROUP pieces,
+so that sizes from all tasks meet in each, and every group packs its pieces by best-fit again. Rounds go on until one
+group has held all that was left, or until a round gives no fewer bins than it was given; such a round is dropped.
 
 Nulls, empty texts: the end id alone. Repeated rows and ids: packed once per row; ``row`` tells them apart. An
 empty table gives no rows. Columns other than the id and the text are not read.
@@ -30,11 +30,10 @@ CAPACITY = 1024
 END = 2
 #: Bins with at most this many free places are final.
 NEARLY_FULL = 8
-#: The emptiest bins that a group hands to the next round, and how many groups meet there.
-CARRIED = 64
-FAN_IN = 16
+#: Pieces that meet in a group of a round, on average: this bounds a task's memory, not what is carried.
+GROUP = 1 << 14
 CACHED = 1_000_000
-PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, seq long, shift long, carry boolean, part long"
+PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, seq long, shift long, carry boolean"
 
 
 class Ids:
@@ -126,45 +125,50 @@ def _packed_locally(path: str, capacity: int, end: int):
         bins, shifts, fills = best_fit(sizes, capacity)
         yield pa.RecordBatch.from_arrays(
             [pa.array(columns[x], pa.int32() if x == "piece" else pa.int64()) for x in names]
-            + [pa.array(x) for x in ((part << 33) + bins, shifts, _carried(fills, capacity)[bins], np.full(len(sizes), part))],
-            [*names, "seq", "shift", "carry", "part"],
+            + [pa.array(x) for x in ((part << 33) + bins, shifts, _carried(fills, capacity)[bins])],
+            [*names, "seq", "shift", "carry"],
         )
 
     return run
 
 
 def _carried(fills: np.ndarray, capacity: int) -> np.ndarray:
-    """Which bins a group hands on: the emptiest CARRIED, of those that aren't nearly full."""
-    out = np.zeros(len(fills), bool)
-    out[np.argsort(fills, kind="stable")[:CARRIED]] = True
-    return out & (fills < capacity - NEARLY_FULL)
+    """Which bins a group hands on: all that aren't nearly full."""
+    return fills < capacity - NEARLY_FULL
 
 
-def _merged(capacity: int, above: int):
+def _merged(capacity: int, turn: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "row", "piece"], ascending=[False, True, True], ignore_index=True)
         bins, shifts, fills = best_fit(group["length"].to_numpy(np.int64), capacity)
-        part = int(group["part"].iloc[0]) // FAN_IN
-        group["part"], group["seq"], group["shift"] = part, (above << 56) + (part << 33) + bins, shifts
+        group["seq"], group["shift"] = (1 << 62) + (turn << 50) + (int(group["part"].iloc[0]) << 24) + bins, shifts
         group["carry"] = _carried(fills, capacity)[bins]
-        return group
+        return group[["row", "piece", "length", "seq", "shift", "carry"]]
 
     return run
 
 
 def _moves(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Where the carried pieces end up: (row, piece, to, by). One round per FAN_IN-fold of tasks."""
-    schema = "part long, row long, piece int, length long, seq long, shift long, carry boolean"
-    names = ["part", "row", "piece", "length", "seq", "shift", "carry"]
-    parts, above = pieces.agg(F.max("part")).first()[0] or 0, 0
-    level, done = pieces.filter("carry").select(names), pieces.select(names).limit(0)
-    while parts:
-        parts, above = parts // FAN_IN, above + 1
-        merged = level.groupBy(F.floor(F.col("part") / FAN_IN).alias("above")).applyInPandas(_merged(capacity, above), schema)
-        merged = common.written(merged, "merged")
-        level = merged.filter("carry")
-        done = done.unionByName(merged.filter(~F.col("carry")) if parts else merged)
-    return done.select("row", "piece", F.col("seq").alias("to"), F.col("shift").alias("by"))
+    """Where the carried pieces end up: (row, piece, to, by). Rounds go on as long as they lower the number of bins."""
+    names = ["row", "piece", "length", "seq", "shift"]
+    # a bin has one piece at place 0
+    size = [F.count("*"), F.count(F.when(F.col("shift") == 0, 1)), F.coalesce(F.sum("length"), F.lit(0))]
+    level, done = pieces.filter("carry").select(names), []
+    rows, bins, total = level.agg(*size).first()
+    groups = turn = 0
+    while bins > -(-total // capacity) and groups != 1:
+        turn, groups = turn + 1, -(-rows // GROUP)
+        part = F.pmod(F.xxhash64(F.lit(turn), "row", "piece"), F.lit(groups)).alias("part")
+        packed = level.select(part, *names).groupBy("part").applyInPandas(_merged(capacity, turn), "row long, piece int, length long, seq long, shift long, carry boolean")
+        packed = common.written(packed, "merged")
+        if packed.agg(*size).first()[1] >= bins:
+            break
+        done.append(packed.filter(~F.col("carry")).select(names))
+        level = packed.filter("carry").select(names)
+        rows, bins, total = level.agg(*size).first()
+    for some in done:
+        level = level.unionByName(some)
+    return level.select("row", "piece", F.col("seq").alias("to"), F.col("shift").alias("by"))
 
 
 def pack(
