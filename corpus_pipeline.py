@@ -41,11 +41,16 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6. Of rows with one id, and of rows without one, each stays or goes with its class."""
-    classes = minhash.classes(docs.select("doc_id", "text"))
-    gone = common.written(classes.filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    """Operator 6 over numbered rows: one row of each class stays, that with the smallest id; a null id is the largest."""
+    rows = common.written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    classes = minhash.classes(rows, id_column="row", carry=["doc_id"])
+    place = F.struct(F.col("carried.doc_id").isNull().alias("none"), "carried.doc_id", F.col("doc_id").alias("row"))
+    classes = common.written(classes.select("class_id", place.alias("place")), "classes")
+    firsts = classes.groupBy("class_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = classes.join(firsts, "class_id").filter("place.row <> first.row").select("place.row")
+    gone = common.written(gone, "gone")
     told = F.broadcast(gone) if 8 * gone.count() <= BROADCAST_BYTES else gone
-    return docs.select(*COLUMNS).join(told, "doc_id", "left_anti").select(*COLUMNS)
+    return rows.join(told, "row", "left_anti").select(*COLUMNS)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

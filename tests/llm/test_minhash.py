@@ -37,6 +37,32 @@ def test_groups_whose_base_comes_last_and_chains(spark):
     assert got(spark, rows) == brute.near_classes(rows)
 
 
+def template_rows(families, seed=11):
+    """Documents of one template, most of them unlike each other, every family with a second that is just near the first."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(240)]
+    rows = []
+    for i in range(families):
+        one = list(base)
+        for at in range(rng.randrange(16), 240, 32):
+            one[at] = f"x{i}_{at}"
+        two = list(one)
+        for at in rng.sample(range(240), 5):
+            two[at] = f"y{i}_{at}"
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_near_pairs_among_documents_of_one_template(spark):
+    rows = template_rows(80)
+    want = brute.near_classes(rows)
+    assert len(set(want.values())) == 80
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = minhash.classes(frame, bands=4, rows=1).collect()  # few components, so that buckets are large
+    assert {r.doc_id: r.class_id for r in out} == want
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "a  b\n"), (6, "a c"), (7, "w " * 5000), (8, "w " * 4900), (9, "w " * 900)]
     assert got(spark, rows) == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 9: 9}

@@ -77,3 +77,12 @@ def test_run_equals_stages_and_odd_tables(spark, sf_dir, tmp_path, steps):
         got = pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert {r.doc_id for r in got} == ({2} if data else set())
     assert isinstance(steps[0][1], pd.DataFrame)
+
+
+def test_one_row_of_a_class_stays_whatever_its_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(None, text), (None, text), (5, text), (5, text), (3, text + " more"), (6, "some other text"), (6, "a third text of its own"), (None, "no id"), (None, "no id"), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.without_near_duplicates(spark, docs.repartition(3), "").collect()
+    want = [(3, text + " more"), (6, "some other text"), (6, "a third text of its own"), (None, "no id"), (8, ""), (9, None)]
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted(want, key=repr)

@@ -8,9 +8,11 @@ it with probability equal to their weighted Jaccard similarity. Points are made
 which nearly all components are filled; documents with an unfilled one get a later limit.
 
 Candidates. Equal texts are one class first. Bands of components are hashed; in each bucket every class meets the
-bucket's most connected class (the one in the largest buckets), never all others. A class whose similarity to that
-one turns out too low meets, in a sort of the bucket by the rest of its signature, the next classes on both sides. The
-number of pairs is linear in the bucket.
+bucket's most connected class (the one in the largest buckets). Where that leaves a bucket in several components, all
+its classes go through an exact join: shingles are ordered by the number of these classes that have them, rarest first,
+and two similar classes must share one near the start of both lists. All similar pairs of different components are
+found, whatever the bucket's size; of a family of documents just below the similarity, only own shingles are that near
+the start, so its pairs are never made.
 
 Verification is exact: the multisets' overlap, smaller counts over larger counts. Verified pairs are joined into
 classes by connected components.
@@ -38,10 +40,10 @@ SHINGLE = 5
 ROWS = 5
 BANDS = 26
 SIMILARITY = 0.8
-#: Neighbours in the sorted bucket that a class unlike its bucket's centre meets.
-NEXT = 3
+#: Slack for comparing counts with fractions of counts.
+EPSILON = 1e-6
 BROADCAST_BYTES = 32 << 20
-SIGNED = "id long, high long, low long, bands array<long>, rest binary"
+SIGNED = "id long, high long, low long, bands array<long>"
 _SEEDS = np.random.default_rng(20240907).integers(1, 1 << 63, 64, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _HALF = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,7 +133,6 @@ def _signed(length: int, bands: int, rows: int):
         for j in range(rows):
             keys += bits[:, j::rows] * _SEEDS[30 + j]
         keys = common.mixed(keys + np.arange(bands, dtype=np.uint64) * _HALF).view(np.int64)
-        short = (common.mixed(bits) >> np.uint64(56)).astype(np.uint8)
         place = np.empty(len(same), np.int64)
         place[once] = np.arange(len(once))
         at = place[same]
@@ -141,8 +142,8 @@ def _signed(length: int, bands: int, rows: int):
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands), pa.array(keys[at].ravel()))
         null_list = pa.nulls(len(at), lists.type)
         return pa.RecordBatch.from_arrays(
-            [some.column("id"), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pc.if_else(empty, null_list, lists), pa.array([short[i].tobytes() for i in at], pa.binary())],
-            ["id", "high", "low", "bands", "rest"],
+            [some.column("id"), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pc.if_else(empty, null_list, lists)],
+            ["id", "high", "low", "bands"],
         )
 
     return run
@@ -186,18 +187,51 @@ def _verify(pairs: DataFrame, texts: DataFrame, length: int, least: float) -> Da
     return common.written(found, "verified")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and rest of the signature: pairs of near neighbours of which one is unlike the centre."""
-    key, last = None, []
-    for batch in batches:
-        pairs = []
-        for k, id_, unlike in zip(*(batch.column(x).to_pylist() for x in ("key", "id", "unlike")), strict=True):
-            if k != key:
-                key, last = k, []
-            pairs += [(min(x, id_), max(x, id_)) for x, u in last if u or unlike]
-            last = [*last[1 - NEXT :], (id_, unlike)] if NEXT > 1 else [(id_, unlike)]
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _tokens(length: int):
+    """One row per shingle occurrence: id, its number of them, and a hash that tells a text's occurrences apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in common.slices(batch):
+                offsets, codes, distinct, _ = common.word_codes(some.column("text"))
+                text, hashed, count = shingles(offsets, common.hashes(distinct)[codes], length)
+                again = common.ragged(np.zeros(len(text), np.int64), count).astype(np.uint64)
+                text, tokens = np.repeat(text, count), common.mixed(np.repeat(hashed, count) + again * _HALF).view(np.int64)
+                size = np.bincount(text, minlength=some.num_rows)
+                ids = some.column("id").take(pa.array(text, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size[text], pa.int64()), pa.array(tokens, pa.int64())], ["id", "size", "token"])
+
+    return run
+
+
+def _across(named: DataFrame, texts: DataFrame, length: int, least: float) -> DataFrame:
+    """(a, b) of different components in ``named`` (id, label) that may be similar: none that is similar is left out.
+
+    Tokens that one class alone has come first in its list and can't match. Similar lists of m and n tokens share at
+    least ``least / (1 + least) * (m + n)``, so their first common token stands no nearer to either end. That bounds its
+    place in the shorter list (``early``) more than in the longer one.
+    """
+    told = F.broadcast(named) if 16 * named.count() <= BROADCAST_BYTES else named
+    texts = texts.join(told, "id").dropDuplicates(["id"]).select("id", "text")
+    tokens = common.written(texts.mapInArrow(_tokens(length), "id long, size long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
+    by_id = Window.partitionBy("id")
+    own = F.col("size") - F.count("*").over(by_id)
+    placed = tokens.join(often, "token").withColumn("left", F.col("size") - own - F.row_number().over(by_id.orderBy("often", "token")) + 1)
+    placed = placed.filter(F.col("left") >= least * F.col("size") - EPSILON).join(named, "id").select("id", "label", "size", "token", "left")
+    placed = common.written(placed.withColumn("early", F.col("left") >= 2 * least / (1 + least) * F.col("size") - EPSILON), "placed")
+    # the largest component at a token isn't joined with itself
+    counts = placed.groupBy("token", "label").agg(F.count("*").alias("n"), F.max("early").alias("early"))
+    main = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.max("early").alias("any"))
+    main = main.filter("labels > 1 AND any").select("token", F.col("main.label").alias("main"))
+    meeting = common.written(placed.join(main, "token"), "meeting")
+    one = meeting.filter("early").select("token", "main", *(F.col(c).alias(f"{c}_") for c in ("id", "label", "size", "left")))
+    close = F.expr(
+        f"label <> label_ AND (size_ < size OR size_ = size AND id_ < id) AND least(left, left_) >= {least / (1 + least)!r}D * (size + size_) - {EPSILON!r}D"
+    )
+    small = one.filter("label_ <> main").drop("main").join(meeting.drop("main", "early"), "token")
+    large = one.filter("label_ = main").drop("main").join(meeting.filter("label <> main").drop("main", "early"), "token")
+    return small.unionByName(large).filter(close).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
 
 
 def classes(
@@ -215,24 +249,22 @@ def classes(
     number = F.coalesce(F.col(id_column).cast("long"), -1 - F.abs(F.xxhash64(text) % (1 << 62)))
     plain = docs.select(number.alias("id"), text.alias("text"))
     signed = common.written(plain.mapInArrow(_signed(length, bands, rows), SIGNED), "signed")
-    exact = signed.filter("bands IS NOT NULL").groupBy("high", "low").agg(F.min("id").alias("copy_of"), F.first("bands").alias("bands"), F.first("rest").alias("rest"))
+    exact = signed.filter("bands IS NOT NULL").groupBy("high", "low").agg(F.min("id").alias("copy_of"), F.first("bands").alias("bands"))
     exact = common.written(exact, "exact")
-    banded = exact.select(F.col("copy_of").alias("id"), F.posexplode("bands").alias("band", "key"), "rest")
-    banded = banded.select("id", "key", F.expr(f"substring(concat(rest, rest), {rows} * (band + 1) + 1, 24)").alias("rest"))
+    banded = exact.select(F.col("copy_of").alias("id"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     many = common.written(banded.join(shared, "key"), "many")
     reach = many.groupBy("id").agg(F.sum("n").alias("reach"))
     reached = common.written(many.join(reach, "id"), "reached")
     centres = reached.groupBy("key").agg(F.max(F.struct("reach", (-F.col("id")).alias("id"))).alias("top")).select("key", (-F.col("top.id")).alias("centre"))
-    starred = common.written(reached.join(centres, "key").select("key", "id", "rest", "n", "centre"), "starred")
+    starred = common.written(reached.join(centres, "key").select("key", "id", "n", "centre"), "starred")
     spokes = starred.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
     first = _verify(spokes, plain, length, similarity)
-    told = first.select("a", "b", "near")
-    judged = starred.filter("n > 2").withColumn("a", F.least("id", "centre")).withColumn("b", F.greatest("id", "centre"))
-    judged = judged.join(told, ["a", "b"], "left").select("key", "id", "rest", (~F.coalesce("near", F.lit(True))).alias("unlike"))
-    mixed = judged.groupBy("key").agg(F.max("unlike").alias("mixed")).filter("mixed").select("key")
-    ordered = judged.join(mixed, "key", "left_semi").repartitionByRange("key", "rest", "id").sortWithinPartitions("key", "rest", "id")
-    met = ordered.select("key", "id", "unlike").mapInArrow(_neighbours, "a long, b long").join(told.select("a", "b"), ["a", "b"], "left_anti")
+    labels = components(first.filter("near"))
+    labelled = starred.filter("n > 2").select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    named = common.written(labelled.join(mixed, "key", "left_semi").select("id", "label").distinct(), "named")
+    met = _across(named, plain, length, similarity).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _verify(met, plain, length, similarity)
     links = first.unionByName(second).filter("near")
     labels = components(links)
