@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialstats.llm import bpe, language, lines, lm, minhash, neighbours, ordered, packing, quality, substrings
+from trialstats.llm import bpe, language, lexical, lines, lm, minhash, neighbours, ordered, packing, periodic, quality, substrings, urlfilter
 from trialstats.llm.common import documents, remainder
 
 DIGEST = "sha2(cast({} as binary), 256)"
@@ -74,6 +74,43 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.expr(DIGEST.format("kept")).alias("kept_sha256"))
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: from word a on, every tenth document (by crc32 of its id) repeats the p words that start there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, periodic.words("text")).alias("words"))
+    cut = cut.withColumn("n", F.coalesce(F.size("words"), F.lit(-1))).withColumn("a", F.col("g") % F.greatest("n", F.lit(1)))
+    cut = cut.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    source = lambda i: F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i).cast("int")
+    edited = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", source(i))), " ")
+    return cut.select("doc_id", F.when(F.col("n") > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.collapse(_with_planted_runs(documents(spark, sf_dir)), ["doc_id"])
+    printed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.withColumn("top", periodic.longest_run("runs")).select(
+        "carried.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(printed.cast("binary"), 256).alias("runs_sha256"),
+        F.expr(DIGEST.format("kept")).alias("collapsed_sha256"),
+    )
+
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, ["page_id"]).select("carried.page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_packing": op2_packing,
@@ -85,6 +122,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_lm_score": op9_lm_score,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_url_filter": op12_url_filter,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
@@ -128,4 +168,30 @@ ORACLES = {
                sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN gone USING (doc_id)
     """,
+    "op13_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS row,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        sized AS (SELECT doc_id, row, w, len(w) AS n FROM d WHERE len(w) > 0),
+        whole AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sized),
+        tfs AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM sized) GROUP BY row, term),
+        dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM dfs, whole),
+        scores AS (
+            SELECT item_id, row, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l)))) AS score
+            FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sized USING (row), whole
+            GROUP BY item_id, row),
+        ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+            FROM scores JOIN sized USING (row) WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 50
+    """,
 }
