@@ -4,6 +4,9 @@ The rows are reduced once to counts, means and centred cross-products of the out
 model uses. Each model is then solved from its own sub-matrix, so nested models, their comparison and
 several outcomes share one scan and one shuffle. Cross-products come from ``covar_samp``, which centres
 as it merges, so large means do not cancel.
+
+Cross-products square the condition number of a design. Where its columns are nearly dependent, ``method="qr"``
+reduces the rows to triangular factors instead (``functions.factors``): one scan and one shuffle as well, in Python.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from trialstats.functions.columns import ColumnLike, as_col, ratio
 from trialstats.functions.distributions import f_p_value, t_table
+from trialstats.functions.factors import group_factors, solve_factor
 from trialstats.functions.linalg import solve_least_squares
 from trialstats.functions.text import (
     coefficient_sentence,
@@ -55,13 +59,15 @@ class Term:
 
 
 def fit_models(
-    df: DataFrame, outcome: ColumnLike, models: Mapping[str, Sequence[Term]], keys: Sequence[str] = ()
+    df: DataFrame, outcome: ColumnLike, models: Mapping[str, Sequence[Term]], keys: Sequence[str] = (), method: str = "moments"
 ) -> DataFrame:
     """One row per group with a struct column per model: ``coef, unscaled_cov, rss, means, sds, terms, kinds``.
 
     Also has ``n``, ``tss`` and ``sd_y``. Rows with a missing value in any column a model uses drop out, of
-    all models alike, as nested comparison needs.
+    all models alike, as nested comparison needs. ``method`` is ``moments`` or ``qr``.
     """
+    if method not in ("moments", "qr"):
+        raise ValueError(f"no method {method}")
     terms: list[Term] = []
     for model in models.values():
         terms += [t for t in model if t.name not in {u.name for u in terms}]
@@ -69,6 +75,8 @@ def fit_models(
     design = df.select(
         *keys, *[t.column.alias(n) for t, n in zip(terms, names, strict=False)], as_col(outcome).cast("double").alias("_y")
     ).dropna(how="any", subset=names)
+    if method == "qr":
+        return _fit_factors(design, names, terms, models, keys)
     width = len(names)
     upper = {
         (i, j): (F.var_samp(names[i]) if i == j else F.covar_samp(names[i], names[j])).alias(f"_c{i}_{j}")
@@ -105,6 +113,36 @@ def fit_models(
     )
 
 
+def _fit_factors(
+    design: DataFrame, names: Sequence[str], terms: Sequence[Term], models: Mapping[str, Sequence[Term]], keys: Sequence[str]
+) -> DataFrame:
+    """``fit_models`` from one triangular factor per group; each model's columns are a selection of the factor's."""
+    width = len(names)
+    out = group_factors(design, keys, names)
+
+    def length(i: int) -> Column:
+        """Length of a centred column: what is above the factor's diagonal, and it."""
+        cells = [F.pow(F.col("factor")[j * width + i], 2) for j in range(i + 1)]
+        return F.sqrt(sum(cells[1:], cells[0]))
+
+    dof = F.sqrt(F.col("n") - 1)
+    for model, members in models.items():
+        index = [next(i for i, t in enumerate(terms) if t.name == m.name) for m in members]
+        out = out.withColumn(model, solve_factor("n", "means", "factor", F.array(*[F.lit(i) for i in [*index, width - 1]])))
+        out = out.withColumn(
+            model,
+            F.struct(
+                f"{model}.*",
+                F.array(*[F.col("means")[i] for i in index]).alias("means"),
+                F.array(*[ratio(length(i), dof) for i in index]).alias("sds"),
+                F.array(*[F.lit(t.name) for t in members]).alias("terms"),
+                F.array(*[F.lit(t.kind) for t in members]).alias("kinds"),
+            ),
+        )
+    last = length(width - 1)
+    return out.select(*keys, "n", F.pow(last, 2).alias("tss"), ratio(last, dof).alias("sd_y"), *models)
+
+
 def _size(model: str) -> Column:
     return F.size(F.col(f"{model}.terms"))
 
@@ -380,6 +418,7 @@ def leave_one_out(
     terms: Sequence[Term],
     keys: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
+    method: str = "moments",
 ) -> DataFrame:
     """Leave-one-out mean squared error per group in two passes, without refitting.
 
@@ -391,16 +430,22 @@ def leave_one_out(
     rows = df.select(
         *keys, *[t.column.alias(n) for t, n in zip(terms, names, strict=True)], as_col(outcome).cast("double").alias("_y")
     ).dropna(how="any", subset=[*names, "_y"])
-    fits = fit_models(rows, "_y", {"m": [Term.numeric(n) for n in names]}, keys)
-    table = fits.select(*keys, "n", F.col("m.coef").alias("_coef"), F.col("m.unscaled_cov").alias("_cov"))
+    fits = fit_models(rows, "_y", {"m": [Term.numeric(n) for n in names]}, keys, method)
+    known = F.col("m.unscaled_cov") if method == "moments" else F.struct("n", "m.means", "m.white")
+    table = fits.select(*keys, "n", F.col("m.coef").alias("_coef"), known.alias("_cov"))
     joined = group_join(rows, table, keys, "n", hot_rows)
     x = [F.lit(1.0), *[F.col(n) for n in names]]
     width = len(x)
     # an aliased term takes no part; a group without a fit has no error
     entry = lambda name, i: F.when(F.col(name).isNotNull(), F.coalesce(F.col(name)[i], F.lit(0.0)))
     fitted = sum((entry("_coef", i) * v for i, v in enumerate(x)), F.lit(0.0))
-    leverage = sum(
-        (entry("_cov", i * width + j) * x[i] * x[j] for i in range(width) for j in range(width)), F.lit(0.0)
-    )
+    if method == "moments":
+        leverage = sum(
+            (entry("_cov", i * width + j) * x[i] * x[j] for i in range(width) for j in range(width)), F.lit(0.0)
+        )
+    else:  # squares of independent columns: nothing cancels
+        away = [v - F.col("_cov.means")[i] for i, v in enumerate(x[1:])]
+        turned = [sum((F.col("_cov.white")[i * (width - 1) + j] * v for j, v in enumerate(away)), F.lit(0.0)) for i in range(width - 1)]
+        leverage = sum((v * v for v in turned), 1 / F.col("_cov.n"))
     left_out = ratio(F.col("_y") - fitted, 1 - leverage)
     return joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(left_out * left_out).alias("loo_mse"))

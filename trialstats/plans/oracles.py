@@ -676,6 +676,16 @@ ORACLES["loocv_press"] = f"""WITH {TWO_SCALED}, left_out AS (
   FROM lineitem l JOIN two ON l.l_returnflag = two.l_returnflag)
 SELECT l_returnflag, count(*) AS n, {r6('avg(e * e)')} AS loo_mse FROM left_out GROUP BY l_returnflag"""
 
+# The two nearly equal columns span what quantity and discount span: fit those, which are far apart, and turn the slopes.
+TURNED = two_predictors("two", "(SELECT *, round(l_discount * 100) / 1048576e0 AS bit FROM lineitem)", "l_returnflag", "(l_extendedprice / 1000)", "l_quantity", "bit")
+ORACLES["ols_near_dependent"] = f"""WITH {TURNED}, turned AS (
+  SELECT *, rss / (n - 3) AS s2 FROM two), rows_ AS (
+  SELECT l_returnflag, 'shifted' AS term, bb AS b, sqrt(s2 * vb) AS se, n, rss, syy FROM turned
+  UNION ALL SELECT l_returnflag, 'quantity', ba - bb, sqrt(s2 * (va + vb - 2 * vab)), n, rss, syy FROM turned)
+SELECT l_returnflag, term, {r6('b / 1048576')} AS estimate, {r6('se / 1048576')} AS std_error, {r6('b / se')} AS statistic,
+  {r6('1 - rss / syy')} AS r_squared, {r6('((syy - rss) / 2) / (rss / (n - 3))')} AS f_value FROM rows_"""
+ORACLES["loocv_near_dependent"] = ORACLES["loocv_press"]
+
 ORACLES["leave_one_out_missing_group"] = f"""SELECT CASE WHEN l_returnflag <> 'A' THEN l_returnflag END AS grp, n, loo_mse
 FROM ({ORACLES["loocv_press"]})"""
 

@@ -728,6 +728,26 @@ def simple_slopes_sd(spark, sf):
     return out.select("l_returnflag", "level", "at", "slope", "std_error")
 
 
+def _near_terms():
+    """Quantity, and quantity plus the discount in millionths: two columns that differ by a 1e-7 of their length."""
+    percent = F.round(F.col("l_discount") * 100)
+    return [ols.Term.numeric("quantity", "l_quantity"), ols.Term.numeric("shifted", F.col("l_quantity") + percent / (1 << 20))]
+
+
+@query
+def ols_near_dependent(spark, sf):
+    """Coefficients and fit of a design whose columns are nearly one, by triangular factors."""
+    fits = ols.fit_models(table(spark, sf, "lineitem"), F.col("l_extendedprice") / 1000, {"m": _near_terms()}, ["l_returnflag"], method="qr")
+    terms = ols.coefficients(fits, "m", ["l_returnflag"]).select("l_returnflag", "term", *[(F.col(c) / (1 << 20)).alias(c) for c in ("estimate", "std_error")], "statistic")
+    return terms.filter("term <> '(Intercept)'").join(ols.fit_stats(fits, "m", ["l_returnflag"]).select("l_returnflag", "r_squared", "f_value"), "l_returnflag")
+
+
+@query
+def loocv_near_dependent(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    return ols.leave_one_out(lines, F.col("l_extendedprice") / 1000, _near_terms(), ["l_returnflag"], method="qr")
+
+
 @query
 def loocv_press(spark, sf):
     return ols.leave_one_out(table(spark, sf, "lineitem"), F.col("l_extendedprice") / 1000, _two_terms(), ["l_returnflag"])
