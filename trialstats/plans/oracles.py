@@ -353,6 +353,14 @@ FROM (SELECT cond, subj, count(*) AS n FROM pre_post WHERE pre = 0 AND cond IN (
 ORACLES["tally_by_flag"] = f"""SELECT l_returnflag, {r6('avg(n)')} AS mean, {r6('stddev_samp(n)')} AS sd
 FROM (SELECT l_returnflag, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_returnflag"""
 
+ORACLES["robust_prices"] = f"""WITH med AS (SELECT l_returnflag AS g, median(l_extendedprice) AS m FROM lineitem GROUP BY l_returnflag)
+SELECT l_returnflag, {r6('avg(l_extendedprice)')} AS mean, {r6('median(l_extendedprice)')} AS median, {r6('stddev_samp(l_extendedprice)')} AS sd,
+  {r6('1.4826e0 * median(abs(l_extendedprice - m))')} AS mad, min(l_extendedprice) AS min, max(l_extendedprice) AS max
+FROM lineitem JOIN med ON l_returnflag = g GROUP BY l_returnflag"""
+
+ORACLES["median_by_subject"] = f"""SELECT l_suppkey, l_linestatus, count(*) AS n, {r6('median(l_extendedprice * (1 - l_discount))')} AS median
+FROM lineitem GROUP BY l_suppkey, l_linestatus"""
+
 ORACLES["robust_summary"] = f"""{TO_SKIPPED}, med AS (SELECT skipped, median(n) AS m FROM completed GROUP BY skipped)
 SELECT c.skipped, {r6('avg(n)')} AS mean, {r6('median(n)')} AS median, {r6('stddev_samp(n)')} AS sd,
   {r6('1.4826e0 * median(abs(n - m))')} AS mad, min(n) AS min, max(n) AS max

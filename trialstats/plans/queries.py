@@ -27,7 +27,7 @@ from trialstats.functions.columns import (
 )
 from trialstats.functions.distributions import f_p_value, t_cdf, t_p_value
 from trialstats.functions.text import format_p, format_p_cell
-from trialstats.operators import clean, linking, ols, paired, pca, reshape, summarise
+from trialstats.operators import clean, linking, ols, paired, pca, reshape, selection, summarise
 from trialstats.operators.adjust import holm_adjust, lag_difference
 from trialstats.plans import analyses as A
 from trialstats.sources.logs import EXCLUDED_2
@@ -358,6 +358,17 @@ def robust_summary(spark, sf):
     return A.skipped_summary(trials(spark, sf))
 
 
+@query
+def robust_prices(spark, sf):
+    """Median and its deviation where nearly every value of a group is another."""
+    return selection.robust_summary(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice")
+
+
+@query
+def median_by_subject(spark, sf):
+    return selection.medians(table(spark, sf, "lineitem"), ["l_suppkey", "l_linestatus"], F.col("l_extendedprice") * (1 - F.col("l_discount")))
+
+
 @query
 def two_level_table(spark, sf):
     return A.recognition_table(trials(spark, sf))
