@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trialstats.functions.columns import correlation, ratio
 from trialstats.functions.linalg import decompose_correlations
+from trialstats.functions.products import pair_moments
 from trialstats.operators.linking import HOT_ROWS, group_join
 
 
@@ -21,9 +22,16 @@ def _complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(how="any", subset=list(columns))
 
 
-def fit_pca(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+#: Columns from which the correlations come from blocked matrix products.
+WIDE = 12
+
+
+def fit_pca(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), wide: int = WIDE) -> DataFrame:
     """One row per group: n, means, sds, corr (flattened), variances, loadings (one array per component)."""
     columns = list(columns)
+    if len(columns) >= wide:
+        stats = _wide_stats(_complete_rows(df, columns), columns, keys)
+        return stats.withColumn("_fit", decompose_correlations("corr")).select("*", "_fit.*").drop("_fit")
     upper = {(i, j): correlation(columns[i], columns[j]) for i in range(len(columns)) for j in range(i + 1, len(columns))}
 
     def cell(i: int, j: int) -> Column:
@@ -41,6 +49,24 @@ def fit_pca(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     return stats.withColumn("_fit", decompose_correlations("corr")).select("*", "_fit.*").drop("_fit")
 
 
+def _wide_stats(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """n, means, sds and corr of complete rows from pair moments; p^2 numbers of a group meet in its one row."""
+    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(ratio("sxy", F.sqrt("sxx") * F.sqrt("syy")))
+    both = F.array_distinct(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    cells = pair_moments(rows, columns, keys).select(
+        *keys, "n", F.col("mean_x").alias("mean"), F.sqrt(ratio("sxx", F.col("n") - 1)).alias("sd"), r.alias("r"), F.explode(both).alias("at")
+    )
+    ordered = lambda value, where=None: F.transform(F.array_sort(F.collect_list(F.when(where, value) if where is not None else value)), lambda c: c["v"])
+    own = F.col("at.i") == F.col("at.j")
+    out = cells.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        ordered(F.struct("at.i", F.col("mean").alias("v")), own).alias("means"),
+        ordered(F.struct("at.i", F.col("sd").alias("v")), own).alias("sds"),
+        ordered(F.struct("at.i", "at.j", F.col("r").alias("v"))).alias("corr"),
+    )
+    return out.filter("n IS NOT NULL")
+
+
 def importance(fit: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per component: standard deviation, share of variance, cumulative share."""
     total = F.aggregate("variances", F.lit(0.0), lambda acc, v: acc + v)

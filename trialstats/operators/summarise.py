@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trialstats.functions.columns import correlation, ratio, strict_avg, strict_sd, strict_se, strict_sum
 from trialstats.functions.distributions import t_p_value
+from trialstats.functions.products import pair_moments
 from trialstats.operators.linking import null_safe_join, one_row
 from trialstats.sources.tables import written
 
@@ -136,10 +137,21 @@ def _pair_table(df: DataFrame, columns: Sequence[str], keys: Sequence[str], stat
     return df.groupBy(*keys).agg(cells.alias("_pairs")).select(*keys, F.inline("_pairs"))
 
 
-def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+#: Columns from which pairs come from blocked matrix products; the expressions of one aggregate grow with their square.
+WIDE = 12
+
+
+def _wide_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Moments of every pair x before y, with the columns' names."""
+    name = lambda place: F.get(F.array(*[F.lit(c) for c in columns]), F.col(place))
+    return pair_moments(df, columns, keys).filter("i < j").withColumns({"x": name("i"), "y": name("j")})
+
+
+def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), wide: int = WIDE) -> DataFrame:
     """Pearson correlation of every column pair over its complete rows, with n and p.
 
-    All pairs come from one aggregate over one scan.
+    All pairs come from one aggregate over one scan; from ``wide`` columns on, from blocked matrix products, which also
+    take NaN as missing.
     """
 
     def stats(a: str, b: str) -> list[Column]:
@@ -149,15 +161,24 @@ def correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
             correlation(a, b).alias("r"),
         ]
 
-    out = _pair_table(df, columns, keys, stats)
+    if len(columns) < wide:
+        out = _pair_table(df, columns, keys, stats)
+    else:
+        r = F.when(F.col("n") > 1, ratio("sxy", F.sqrt("sxx") * F.sqrt("syy")))
+        out = _wide_pairs(df, columns, keys).select(*keys, "x", "y", "n", r.alias("r"))
     dof = F.col("n") - 2
     t = F.col("r") * F.sqrt(ratio(dof, 1 - F.col("r") * F.col("r")))
     usable = (dof > 0) & (F.abs(F.col("r")) < 1)
     return out.withColumn("t", F.when(usable, t)).withColumn("p_value", t_p_value(F.col("t"), dof))
 
 
-def pair_regressions(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Fitted line of every column pair (y on x): slope, intercept and r squared."""
+def pair_regressions(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), wide: int = WIDE) -> DataFrame:
+    """Fitted line of every column pair (y on x): slope, intercept and r squared; wide tables as in ``correlations``."""
+    if len(columns) >= wide:
+        slope = F.when(F.col("n") > 1, ratio("sxy", "sxx"))
+        r2 = F.when(F.col("n") > 1, ratio(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy")))
+        intercept = F.col("mean_y") - slope * F.col("mean_x")
+        return _wide_pairs(df, columns, keys).select(*keys, "x", "y", "n", slope.alias("slope"), intercept.alias("intercept"), r2.alias("r2"))
 
     def stats(a: str, b: str) -> list[Column]:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()

@@ -7,6 +7,7 @@ come from a grid, and Holm ranks are plain windows.
 
 from __future__ import annotations
 
+from trialstats.plans.queries import WIDE_COLUMNS
 from trialstats.sources.logs import EXCLUDED_2
 from trialstats.sources.roles import PRE_ENDS, SQL_ITEMS, SQL_TRIALS
 
@@ -436,6 +437,17 @@ ORACLES["pair_regression"] = " UNION ALL ".join(
     for a, b in _column_pairs(LINE_COLUMNS)
 )
 
+WIDE_TABLE = "(SELECT l_returnflag, " + ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in WIDE_COLUMNS.items()) + " FROM lineitem)"
+ORACLES["corr_wide"] = f"""WITH pairs_ AS ({_correlations(WIDE_TABLE, tuple(WIDE_COLUMNS), 'l_returnflag')}),
+tested AS (SELECT *, CASE WHEN n > 2 AND abs(r) < 1 - 1e-9 THEN r * sqrt((n - 2) / (1 - r * r)) END AS t, n - 2 AS df FROM pairs_)
+SELECT l_returnflag, x, y, n, {r6('r')} AS r, {r6('t')} AS t, {r6(t_two_sided('t', 'df'))} AS p_value FROM tested"""
+ORACLES["pair_regression_wide"] = " UNION ALL ".join(
+    f"SELECT l_returnflag, '{a}' AS x, '{b}' AS y, CAST(regr_count({b}, {a}) AS BIGINT) AS n, "
+    f"{r6(f'regr_slope({b}, {a})')} AS slope, "
+    f"{r6(f'regr_intercept({b}, {a})')} AS intercept, {r6(f'regr_r2({b}, {a})')} AS r2 FROM {WIDE_TABLE} GROUP BY l_returnflag"
+    for a, b in _column_pairs(tuple(WIDE_COLUMNS))
+)
+
 LINK_COLUMNS = ("bdi", "rrs", "stais", "stait", "intrusion", "item_recog")
 ORACLES["symptom_correlations"] = f"""{TO_LINKS}, pairs_ AS ({_correlations('links', LINK_COLUMNS, '')})
 SELECT x, y, n, {r6('r')} AS r FROM pairs_"""

@@ -412,6 +412,30 @@ def pair_regression(spark, sf):
     return summarise.pair_regressions(table(spark, sf, "lineitem"), [*MEASURED, "l_tax"], ["l_returnflag"])
 
 
+WIDE_COLUMNS = {f"m{i}": text for i, text in enumerate([
+    "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "nullif(l_quantity, 10) * (1 + l_tax)", "nullif(l_linenumber, 3)", "nullif(l_suppkey, 7)",
+    *[f"l_{a} * l_{b}" for a, b in (("quantity", "discount"), ("quantity", "tax"), ("discount", "tax"), ("linenumber", "quantity"))],
+    "CASE WHEN l_linenumber < 3 THEN l_extendedprice * (1 - l_discount) END", "CASE WHEN l_linenumber < 5 THEN l_extendedprice * (1 + l_tax) END",
+    "CASE WHEN l_quantity > 20 THEN l_tax * l_linenumber END",
+])}
+
+
+def _wide(spark, sf):
+    return table(spark, sf, "lineitem").selectExpr("l_returnflag", *[f"CAST({v} AS DOUBLE) AS {k}" for k, v in WIDE_COLUMNS.items()])
+
+
+@query
+def corr_wide(spark, sf):
+    """Pairwise-complete correlations of a table too wide for one expression per pair."""
+    return summarise.correlations(_wide(spark, sf), [*WIDE_COLUMNS], ["l_returnflag"])
+
+
+@query
+def pair_regression_wide(spark, sf):
+    return summarise.pair_regressions(_wide(spark, sf), [*WIDE_COLUMNS], ["l_returnflag"])
+
+
 @query
 def symptom_correlations(spark, sf):
     return summarise.correlations(_links(spark, sf), [*INSTRUMENTS, "intrusion", "item_recog"]).drop("p_value", "t")
