@@ -101,6 +101,18 @@ def test_chunks_join_to_the_whole_text(tokenizer):
 
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     coder = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
-    for text, ids in zip(texts, packing.token_bytes(pa.array(texts), coder), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    for some in (texts[:1000], texts[1000:], texts[:10], []):
+        ends, ids = packing.token_ids(pa.array(some, pa.string()), coder, 2)
+        for text, a, b in zip(some, ends[:-1], ends[1:], strict=True):
+            assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
     assert common.slices
+
+
+def test_chunks_are_found_again_after_the_kept_ones_went(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "CACHED", 30)
+    coder = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(8):
+        text = " ".join(f"w{k * 7 + i}" for i in range(20 if k < 6 else 80))
+        assert packing.token_ids(pa.array([text]), coder, 2)[1].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]

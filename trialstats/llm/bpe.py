@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.llm import common
-from trialstats.llm.packing import token_bytes
 
 CACHED = 1_000_000
 KEPT_PAIRS = 1_000_000
@@ -203,7 +202,7 @@ def _coded(path: str, pattern: str, digests: bool):
         for batch in batches:
             for some in common.slices(batch):
                 counts, ids, decoded = [], [], []
-                for coded in token_bytes(common.texts_of(some), chunks):
+                for coded in common.token_bytes(common.texts_of(some), chunks):
                     counts.append(len(coded) // 4)
                     ids.append(told(coded))
                     decoded.append(told(decode(coded, tokens)))

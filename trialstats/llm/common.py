@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +32,53 @@ _KEPT: list = []
 def kept(key: tuple, make: Callable):
     """An object that a Python process keeps between tasks, one at a time: another key's goes first, with its memory."""
     if not _KEPT or _KEPT[0] != key:
-        _KEPT.clear()
+        forget()
         _KEPT.extend((key, make()))
     return _KEPT[1]
 
 
 def forget() -> None:
-    """Drop what an earlier operator has kept in this process."""
+    """Drop what an earlier operator has kept in this process, and give its free memory back to the system."""
     _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Lists that note the tables written while they are here.
+_NOTES: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of all tables written inside the block."""
+    paths: list[str] = []
+    _NOTES.append(paths)
+    try:
+        yield paths
+    finally:
+        _NOTES.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables whose readers are done, through the file system Spark uses."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a parquet table in the cluster's shared folder: lineage ends here, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/trialstats-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/trialstats-{uuid.uuid4().hex}"
+    for paths in _NOTES:
+        paths.append(folder)
+    path = f"{folder}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -99,14 +132,22 @@ def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+def spaced_parts(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Texts cut at every space that must start a token: (offsets per text, parts, which texts have another space and stay whole).
+
+    A part but the first of its text stands behind a space. A text that stays whole has one empty part.
+    """
+    odd = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False)
+    return *_flat(pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")), odd
+
+
 def chunk_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Texts cut before every space that must start a token, as (offsets per text, codes, distinct chunks).
 
     Under the byte-level pattern a space that follows a visible character, or precedes one, always starts a
     match, so the ids of a text are its chunks' ids in a row. A text with any other space is one chunk.
     """
-    odd = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False)
-    offsets, parts = _flat(pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " "))
+    offsets, parts, odd = spaced_parts(texts)
     codes, distinct = _coded(parts)
     chunks = [" " + x for x in distinct.to_pylist()]
     heads = parts.take(pa.array(offsets[:-1])).to_pylist()
@@ -116,6 +157,20 @@ def chunk_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return offsets, codes, chunks + heads
 
 
+def token_bytes(texts: pa.Array, coder) -> Iterator[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers; ``coder.of`` gives those of chunks."""
+    offsets, codes, chunks = chunk_codes(texts)
+    known = coder.of(chunks)
+    lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    flat = np.frombuffer(b"".join(known), "<u4")
+    starts = np.cumsum(lengths) - lengths
+    counts = lengths[codes]
+    ids = flat[ragged(starts[codes], counts)]
+    ends = np.concatenate([[0], np.cumsum(counts)])[offsets]
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield ids[a:b].tobytes()
+
+
 def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
     """Words (runs without ASCII white space): (offsets per text, codes, distinct words, all words)."""
     offsets, parts = _flat(pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts))

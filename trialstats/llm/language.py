@@ -164,7 +164,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet | No
     return ByteNet(classes).fit(windows[order], np.array(labels)[order])
 
 
-def _predicted(model: ByteNet | None):
+def _predicted(model: ByteNet | None, text_back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.forget()
         for batch in batches:
@@ -181,13 +181,18 @@ def _predicted(model: ByteNet | None):
                     scores[at] = p.max(1)
                     for i, c in zip(at, p.argmax(1), strict=True):
                         langs[i] = model.classes[c]
-                names = [x for x in some.schema.names if x != "text"]
+                names = [x for x in some.schema.names if text_back or x != "text"]
                 yield pa.RecordBatch.from_arrays([*(some.column(x) for x in names), pa.array(langs), pa.array(scores)], [*names, "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: ByteNet | None, carry: list[str], text_column: str = "text") -> DataFrame:
-    """lang_pred and score of every text, beside a struct ``carried`` of the columns in ``carry``. No other column is an input."""
-    plain = docs.select(F.struct(*(F.col(c) for c in carry)).alias("carried"), F.col(text_column).cast("string").alias("text"))
-    return plain.mapInArrow(_predicted(model), f"carried {plain.schema['carried'].dataType.simpleString()}, lang_pred string, score double")
+def predict(docs: DataFrame, model: ByteNet | None, carry: list[str], text_column: str = "text", text_back: bool = False) -> DataFrame:
+    """lang_pred and score of every text, beside a struct ``carried`` of the columns in ``carry``. No other column is an input.
+
+    ``text_back`` gives the texts back as ``text``: they travel to Python once, not once more inside ``carried``.
+    """
+    plain = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("carried"), F.col(text_column).cast("string").alias("text"))
+    kind = plain.schema["carried"].dataType.simpleString()
+    told = plain.mapInArrow(_predicted(model, text_back), f"carried {kind}, {'text string, ' if text_back else ''}lang_pred string, score double")
+    return told.withColumn("carried", F.col("carried").dropFields("_")) if carry else told

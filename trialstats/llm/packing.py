@@ -12,13 +12,16 @@ empty table gives no rows. Columns other than the id and the text are not read.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,50 +36,88 @@ NEARLY_FULL = 8
 #: Pieces that meet in a group of a round, on average: this bounds a task's memory, not what is carried.
 GROUP = 1 << 14
 CACHED = 1_000_000
+SLICE_BYTES = 8 << 20
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, seq long, shift long, carry boolean"
 
 
 class Ids:
-    """Ids of chunks by the tokenizer, kept for chunks met before (at most CACHED of them)."""
+    """Ids of chunks by the tokenizer: those met before are kept as one array, and found again without Python strings."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def of(self, chunks: list[str]) -> list[bytes]:
-        known = self.known
-        new = [x for x in dict.fromkeys(chunks) if x not in known]
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list(dict.fromkeys(chunks))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.update((x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(some, coded, strict=True))
-        return [known[x] for x in chunks]
-
-
-def token_bytes(texts: pa.Array, coder) -> Iterator[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers."""
-    offsets, codes, chunks = common.chunk_codes(texts)
-    known = coder.of(chunks)
-    lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
-    flat = np.frombuffer(b"".join(known), "<u4")
-    starts = np.cumsum(lengths) - lengths
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids)."""
+        lengths, parts = [], []
+        for i in range(0, len(texts), 4096):
+            coded = [x.ids for x in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            parts.append(np.fromiter(chain.from_iterable(coded), "<u4", int(lengths[-1].sum())))
+        return np.concatenate([np.zeros(0, np.int64), *lengths]), np.concatenate([np.zeros(0, "<u4"), *parts])
+
+    def places(self, chunks: pa.Array) -> np.ndarray:
+        """Where distinct ``chunks``, each behind a space, are in ``lengths``; new ones are encoded, and kept up to CACHED."""
+        if len(self.lengths) > len(self.known):  # those of the last call that were one too many to keep
+            self.lengths = self.lengths[: len(self.known)]
+            self.flat = self.flat[: int(self.lengths.sum())]
+        at = pc.index_in(chunks, self.known)
+        new = chunks.filter(pc.is_null(at))
+        out = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            out[out < 0] = np.arange(len(self.known), len(self.known) + len(new))
+            lengths, flat = self.encoded([" " + x for x in new.to_pylist()])
+            self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+            # frequent chunks come early: what is beyond the bound is encoded whenever it comes
+            self.known = pa.concat_arrays([self.known, new.slice(0, max(0, CACHED - len(self.known)))])
+        return out
+
+
+def token_ids(texts: pa.Array, coder: Ids, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets per text, ids of all texts), with the end id behind each text.
+
+    A text is cut before every space that must start a token; its first cut, or the whole of a text with any other
+    space, is encoded by itself and not kept.
+    """
+    offsets, parts, odd = common.spaced_parts(texts)
+    heads = parts.take(pa.array(offsets[:-1])).to_pylist()
+    for i in np.flatnonzero(odd):
+        heads[i] = texts[int(i)].as_py()
+    rest = np.ones(len(parts), bool)
+    rest[offsets[:-1]] = False
+    coded = parts.filter(pa.array(rest)).dictionary_encode()
+    places = coder.places(coded.dictionary)
+    own, ids = coder.encoded(heads)
+    base = len(coder.lengths)
+    lengths = np.concatenate([coder.lengths, own, [1]])
+    flat = np.concatenate([coder.flat, ids, np.array([end], "<u4")])
+    codes = np.empty(len(parts), np.int64)
+    codes[rest] = places[coded.indices.to_numpy(zero_copy_only=False)]
+    codes[offsets[:-1]] = base + np.arange(len(heads))
+    codes = np.insert(codes, offsets[1:], base + len(heads))
     counts = lengths[codes]
-    ids = flat[common.ragged(starts[codes], counts)]
-    ends = np.concatenate([[0], np.cumsum(counts)])[offsets]
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        yield ids[a:b].tobytes()
+    ends = np.append(0, np.cumsum(counts))[offsets + np.arange(len(offsets))]
+    return ends, flat[common.ragged((np.cumsum(lengths) - lengths)[codes], counts)]
 
 
-def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
-    """(start, length, crc32) of each piece. A longer document gives whole pieces behind a first that may be shorter."""
-    total = len(ids) // 4
-    first = total % capacity or capacity
-    cuts = [0, total] if total <= capacity else [0, *range(first, total + 1, capacity)]
-    return [(a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+def pieces_of(offsets: np.ndarray, ids: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
+    """text, piece, start, length, ids_crc32 of each piece. A longer text gives whole pieces behind a first that may be shorter."""
+    totals = np.diff(offsets)
+    many = np.maximum(1, -(-totals // capacity))
+    text = np.repeat(np.arange(len(totals)), many)
+    piece = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    first = np.where(totals > 0, (totals - 1) % capacity + 1, 0)[text]
+    start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+    length = np.where(piece > 0, capacity, first)
+    data, at = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), (offsets[:-1][text] + start) * 4
+    crc = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)), np.int64, len(at))
+    return {"text": text, "piece": piece, "start": start, "length": length, "ids_crc32": crc}
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,27 +148,25 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _packed_locally(path: str, capacity: int, end: int):
-    last = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, counter = common.kept(("ids", path), lambda: Ids(path)), [0]
         part = TaskContext.get().partitionId()
-        rows: list[tuple] = []
+        names = ["row", "piece", "start", "length", "ids_crc32"]
+        held: list[dict[str, np.ndarray]] = []
+        docs: list[pa.Array] = [pa.array([], pa.int64())]
         for batch in batches:
-            for some in common.slices(batch):
-                numbers = common.row_ids(some.num_rows, counter).tolist()
-                for row, doc, ids in zip(numbers, some.column("doc_id").to_pylist(), token_bytes(common.texts_of(some), coder), strict=True):
-                    rows += [(row, doc, k, *x) for k, x in enumerate(pieces_of(ids + last, capacity))]
-        names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
-        columns = dict(zip(names, zip(*rows, strict=True) if rows else [()] * 6, strict=True))
-        del rows
-        sizes = np.array(columns["length"], np.int64)
-        bins, shifts, fills = best_fit(sizes, capacity)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[x], pa.int32() if x == "piece" else pa.int64()) for x in names]
-            + [pa.array(x) for x in ((part << 33) + bins, shifts, _carried(fills, capacity)[bins])],
-            [*names, "seq", "shift", "carry"],
-        )
+            for some in common.slices(batch, limit=SLICE_BYTES):
+                pieces = pieces_of(*token_ids(common.texts_of(some), coder, end), capacity)
+                text = pieces.pop("text")
+                docs.append(some.column("doc_id").take(pa.array(text)))
+                held.append(pieces | {"row": common.row_ids(some.num_rows, counter)[text]})
+        columns = {x: np.concatenate([np.zeros(0, np.int64), *(h[x] for h in held)]) for x in names}
+        del held
+        bins, shifts, fills = best_fit(columns["length"], capacity)
+        arrays = {x: pa.array(columns[x], pa.int32() if x == "piece" else pa.int64()) for x in names}
+        arrays |= {"doc_id": pa.concat_arrays(docs), "seq": pa.array((part << 33) + bins), "shift": pa.array(shifts), "carry": pa.array(_carried(fills, capacity)[bins])}
+        order = ["row", "doc_id", *names[1:], "seq", "shift", "carry"]
+        yield pa.RecordBatch.from_arrays([arrays[x] for x in order], order)
 
     return run
 
