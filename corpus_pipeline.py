@@ -4,6 +4,10 @@ Language: documents go whose language can't be told (no letter) or is told with
 Lines: lines that stand in an earlier document, up to one word, go; documents of which nothing but white space is left
 go with them, unless they were blank before. Near duplicates: the smallest id of each class stays. Substrings: passages
 of 13 words that an earlier document has go; emptied documents go with them. Packing: sequences of at most 1024 ids.
+
+The table has the columns of COLUMNS; ``source`` and ``n_chars`` are missing where it lacks them, and further columns are left behind by
+the first stage. Null ids and repeated rows are rows like others, except that near duplicates keep one row of a class, and that
+rows of one id don't take each other's passages. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ def _documents(rows: DataFrame, text: str, changed: Column) -> DataFrame:
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1, learnt from the documents' own labels."""
     model = language.train(docs.select("text", "lang"))
-    told = language.predict(docs, model, COLUMNS)
-    return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("carried.*")
+    told = language.predict(docs, model, [c for c in COLUMNS if c != "text"], text_back=True)
+    kept = told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col("text" if c == "text" else f"carried.{c}").alias(c) for c in COLUMNS])
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +68,32 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs).drop("row")
 
 
+#: Tables that the last stage but the packing wrote for itself. Its result is written before the next stage begins.
+_OWN: list[str] = []
+
+
+def _alone(stage):
+    """The stage, once the tables that the stage before wrote for itself are gone: their results have been written."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = set(docs.inputFiles())
+        common.discard(spark, [p for p in _OWN if not any(p in name for name in read)])
+        _OWN.clear()
+        with common.noted() as paths:
+            out = stage(spark, docs, sf_dir)
+        if stage is not packed:
+            _OWN.extend(paths)
+        return out
+
+    return run
+
+
 STAGES = [
-    ("language", by_language),
-    ("lines", without_repeated_lines),
-    ("near duplicates", without_near_duplicates),
-    ("substrings", without_repeated_passages),
-    ("packing", packed),
+    ("language", _alone(by_language)),
+    ("lines", _alone(without_repeated_lines)),
+    ("near duplicates", _alone(without_near_duplicates)),
+    ("substrings", _alone(without_repeated_passages)),
+    ("packing", _alone(packed)),
 ]
 #: Neither the trained net nor the tokenizer can be said in SQL; tests hold each stage against plain Python.
 ORACLE_SQL = None
@@ -77,6 +102,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; what a stage returns is written and read again."""
     docs = common.documents(spark, sf_dir)
+    docs = docs.withColumns({c: F.lit(None).cast(kind) for c, kind in (("source", "string"), ("n_chars", "long")) if c not in docs.columns})
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)
