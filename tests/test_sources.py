@@ -157,3 +157,37 @@ def test_a_bad_cell_is_an_error_unless_asked_for(spark, tmp_path):
         logs.read_glob(spark, str(tmp_path), "*.csv", schema).collect()
     got = logs.read_by_name(spark, str(tmp_path), "*.csv", schema, mode="PERMISSIVE")
     assert rows(got.select("value", "subjID")) == [(None, 7)]
+
+
+def test_quoted_line_breaks_and_many_columns(spark, tmp_path):
+    names = [f"c{i}" for i in range(200)]
+    write(tmp_path, "1_wide_x.csv", ",".join(["subjID", *names]), ",".join(["1", *map(str, range(200))]))
+    write(tmp_path, "2_wide_x.csv", "c199,note,subjID", '7,"two\nlines, a ""quote""",2', "", ' , " kept ",2')
+    schema = logs.log_schema("subjID int, c199 int, note string, c0 double")
+    got = logs.read_by_name(spark, str(tmp_path), "*.csv", schema, file_columns={"who": logs.subject_from_file()})
+    assert rows(got) == [(1, 199, None, 0.0, 1), (2, 7, 'two\nlines, a "quote"', None, 2), (2, None, "kept", None, 2)]
+
+
+def test_bad_rows(spark, tmp_path):
+    write(tmp_path, "1_p_x.csv", "subjID,a", "1,2", "1,2,3", "1")
+    schema = logs.log_schema("subjID int, a int")
+    with pytest.raises(Exception, match="a bad row: 1,2,3"):
+        logs.read_by_name(spark, str(tmp_path), "*.csv", schema).collect()
+    got = logs.read_by_name(spark, str(tmp_path), "*.csv", schema, mode="PERMISSIVE", bad_column="bad")
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, 2, "1,2,3"), (1, 2, None), (1, None, "1")]
+
+
+def test_a_phase_without_a_layout_takes_its_files(spark, tmp_path):
+    write(tmp_path, "1_TNT_two.csv", "subjID,block,RT,TNTcond,age", "1,0,0.5,t,20", "1,1,,nt,20")
+    write(tmp_path, "2_TNT_two.csv", "block,subjID,intrusion,RT", "2,2,1,3")
+    write(tmp_path, "3_TNT_two.csv", "block,subjID,intrusion,RT", "9,3,1,3")
+    df = logs.second_design(str(tmp_path), "two").load(spark, "TNT")
+    assert dict(df.dtypes) == {"subjID": "int", "block": "int", "RT": "double", "TNTcond": "string", "intrusion": "int"}
+    assert rows(df.select("subjID", "block", "RT", "intrusion")) == [(1, 0, 0.5, None), (1, 1, None, None), (2, 2, 3.0, 1)]
+
+
+def test_many_small_files_in_few_tasks(spark, tmp_path):
+    for i in range(3000):
+        (tmp_path / f"{i}_p_x.csv").write_text(f"subjID,a\n{i},{i % 7}\n")
+    df = logs.read_by_name(spark, str(tmp_path), "*_p_x.csv", logs.log_schema("subjID int, a int"))
+    assert df.rdd.getNumPartitions() == 3 and df.selectExpr("sum(subjID)", "sum(a)").first()[0] == 3000 * 2999 // 2

@@ -16,9 +16,11 @@ from pyspark.sql import types as T
 
 from trialstats.operators.clean import drop_columns, exclude
 from trialstats.operators.linking import bind_rows
+from trialstats.sources.cells import file_headers, file_rows
 
 SUBJECT = "subjID"
-MOST_FIELDS = 64  # of a log file
+#: Bytes of logs that a task reads, and what opening a file counts for beside its size.
+TASK_BYTES, FILE_BYTES = 64 << 20, 64 << 10
 
 
 def log_schema(ddl: str) -> T.StructType:
@@ -73,36 +75,74 @@ def read_glob(
     return df.select("*", *[value.alias(name) for name, value in (file_columns or {}).items()])
 
 
+def _whole_files(spark: SparkSession, directory: str, pattern: str, names: str | None, recursive: bool) -> DataFrame:
+    """Files as they are, dealt over as many tasks as their bytes and number ask for."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(directory)
+    if names is not None:
+        files = files.filter(file_name().rlike(f"^(?:{names})$"))
+    count, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()  # from the listing, no file is read
+    return files.coalesce(max(1, -(-(size + FILE_BYTES * count) // TASK_BYTES)))
+
+
 def read_by_name(
-    spark: SparkSession, directory: str, pattern: str, schema: T.StructType, names: str | None = None, mode: str = "FAILFAST"
+    spark: SparkSession,
+    directory: str,
+    pattern: str,
+    schema: T.StructType | None,
+    names: str | None = None,
+    mode: str = "FAILFAST",
+    recursive: bool = False,
+    file_columns: Mapping[str, Column] | None = None,
+    bad_column: str | None = None,
 ) -> DataFrame:
     """As ``read_glob`` for files with headers whose columns stand in any order, bound by name, file by file.
 
-    Each file is read whole, being one subject's log, and its first line names the fields of the others. Fields hold
-    no line breaks. Columns that a file lacks are missing in its rows; other columns are not read.
+    Each file is read whole, being one subject's log, through Spark's readers; its first line names the others' cells. Quoted
+    cells may hold line breaks, and a file may have any number of columns. Columns that a file lacks are missing in its rows;
+    other columns are not read. A row with more or fewer cells than its header, and a cell that doesn't fit its type, are errors;
+    with ``mode="PERMISSIVE"`` a bad cell is missing, and ``bad_column`` has the text of a bad row.
+
+    Without a ``schema``, the columns are all that any file names, in the order of their first place, with the narrowest of
+    int, double and string that fits all cells.
     """
-    files = spark.read.option("pathGlobFilter", pattern).text(directory, wholetext=True)
-    if names is not None:
-        files = files.filter(file_name().rlike(f"^(?:{names})$"))
-    rows = F.split(F.regexp_replace("value", "\\r", ""), "\n")
-    lines = files.select(rows.alias("rows")).select(F.get("rows", 0).alias("head"), F.posexplode("rows").alias("place", "line"))
-    lines = lines.filter((F.col("place") > 0) & (F.trim("line") != ""))
-    fields = [f"_{i}" for i in range(MOST_FIELDS)]
-    ddl = ", ".join(f"{f} string" for f in fields)
-    cells = lines.select(F.from_csv("head", ddl).alias("h"), F.from_csv("line", ddl).alias("v"))
-    pairs = F.array(*[F.struct(F.trim(F.col(f"h.{f}")).alias("k"), F.trim(F.col(f"v.{f}")).alias("v")) for f in fields])
-    cells = cells.select(F.map_from_entries(F.filter(pairs, lambda e: e["k"].isNotNull())).alias("cells"))
-
-    def typed(column: T.StructField) -> Column:
-        text = F.try_element_at("cells", F.lit(column.name))
+    files = _whole_files(spark, directory, pattern, names, recursive)
+    columns = schema.names if schema is not None else _named(files)
+    extra = {k: v.alias(k) for k, v in (file_columns or {}).items()}
+    told = files.select(F.struct(F.lit(0).alias("_"), *extra.values()).alias("file"), "content")
+    kind = told.schema["file"].dataType.simpleString()
+    rows = told.mapInArrow(file_rows(list(columns)), f"file {kind}, place int, cells array<string>, bad string")
+    if mode == "FAILFAST":
+        rows = rows.withColumn("cells", F.when(F.col("bad").isNull(), F.col("cells")).otherwise(F.raise_error(F.concat(F.lit("a bad row: "), F.col("bad")))))
+    if schema is None:
+        schema = _narrowest(rows, columns)
+
+    def typed(place: int, column: T.StructField) -> Column:
+        text = F.get("cells", F.lit(place))
         value = text.try_cast(column.dataType)
         if mode == "FAILFAST":
-            bad = (text != "") & value.isNull()
             told = F.concat(F.lit(f"{column.name} holds a bad {column.dataType.simpleString()}: "), text)
-            value = F.when(bad, F.raise_error(told)).otherwise(value)
-        return F.when(text != "", value).alias(column.name)
+            value = F.when(text.isNotNull() & value.isNull(), F.raise_error(told)).otherwise(value)
+        return F.when(text.isNotNull(), value).alias(column.name)
+
+    bad = [F.col("bad").alias(bad_column)] if bad_column else []
+    return rows.select(*[typed(i, f) for i, f in enumerate(schema.fields)], *[F.col(f"file.{k}") for k in extra], *bad)
 
-    return cells.select(*[typed(f) for f in schema.fields])
+
+def _named(files: DataFrame) -> list[str]:
+    """All column names of the files' headers; files of one layout count once."""
+    layouts = files.select("content").mapInArrow(file_headers, "names array<string>").distinct()
+    places = layouts.select(F.posexplode("names").alias("place", "name")).filter("name <> ''").groupBy("name").agg(F.min("place").alias("place"))
+    return [r["name"] for r in places.orderBy("place", "name").collect()]
+
+
+def _narrowest(rows: DataFrame, columns: Sequence[str]) -> T.StructType:
+    """One pass over the cells: for each column, whether all that aren't missing are whole numbers, or numbers."""
+    kinds = [T.IntegerType(), T.DoubleType()]
+    fits = [[F.count(cell) == F.count(cell.try_cast(k)) for k in kinds] for cell in (F.get("cells", F.lit(i)) for i in range(len(columns)))]
+    said = rows.agg(F.count(F.lit(1)), *[f for pair in fits for f in pair]).first()[1:]
+    return T.StructType(
+        [T.StructField(c, next((k for k, ok in zip(kinds, said[2 * i : 2 * i + 2], strict=True) if ok), T.StringType())) for i, c in enumerate(columns)]
+    )
 
 
 def read_files(
@@ -129,8 +169,12 @@ class Dataset:
     headerless: frozenset[str] = field(default_factory=frozenset)
 
     def load(self, spark: SparkSession, phase: str, drop: bool = True) -> DataFrame:
-        """All subjects' files of one phase, without the excluded subjects."""
-        pattern, schema = f"[0-9]*_{phase}_{self.name}.csv", self.schemas[phase]
+        """All subjects' files of one phase, without the excluded subjects.
+
+        A phase without a layout takes its columns and their types from its files. ``drop`` leaves out those of the
+        dataset's dropped columns that the phase has.
+        """
+        pattern, schema = f"[0-9]*_{phase}_{self.name}.csv", self.schemas.get(phase)
         # digits directly before the phase; a phase may be a glob of alternatives, {a,b}-c
         exact = re.sub(r"\\\{(.*?)\\\}", lambda m: f"(?:{m[1].replace(',', '|')})", re.escape(phase))
         names = rf"\d+_{exact}_{re.escape(self.name)}\.csv"
@@ -139,7 +183,8 @@ class Dataset:
         else:
             df = read_by_name(spark, self.directory, pattern, schema, names)
         df = exclude(df, SUBJECT, self.excluded)
-        return drop_columns(df, self.drop) if drop else df
+        gone = self.drop if schema is not None else [c for c in self.drop if c in df.columns]
+        return drop_columns(df, gone) if drop else df
 
     def load_tagged(
         self, spark: SparkSession, phases: Mapping[str, str], tag: str = "time", drop: bool = True
