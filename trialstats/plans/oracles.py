@@ -336,6 +336,11 @@ ORACLES["pair_by_key_complete"] = "SELECT l_suppkey, count(*) AS n, max(l_quanti
 
 ORACLES["rate_by_condition"] = f"""{TO_HITS} SELECT cond, subj, {r6('hit_rate')} AS hit_rate FROM hits WHERE cond IN ('b', 'nt')"""
 
+HITS_EVERY = HITS.replace(" AND times = 2", "")
+TO_EVERY = with_ctes(SQL_TRIALS, FIRST_PER_CELL, PRE_POST, HITS_EVERY, HITS_WIDE)
+ORACLES["rate_every_item"] = f"""{TO_EVERY} SELECT cond, subj, {r6('hit_rate')} AS hit_rate FROM hits WHERE cond IN ('b', 'nt')"""
+ORACLES["paired_t_every_item"] = paired(TO_EVERY, "hits_wide", "nt", "b", alternative="less")
+
 ORACLES["score_sum"] = f"""{ITEM} SELECT subj, ques, CAST(sum(value) AS BIGINT) AS score FROM items GROUP BY subj, ques"""
 
 ORACLES["score_reverse_keyed"] = f"""{ITEM} SELECT subj, ques,

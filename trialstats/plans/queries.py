@@ -318,6 +318,19 @@ def rate_by_condition(spark, sf):
     return _hits(spark, sf)
 
 
+@query
+def rate_every_item(spark, sf):
+    """As ``rate_by_condition``, but a passed item that wasn't tested again makes its subject's rate missing."""
+    return A.hit_rate(trials(spark, sf), A.PAIRED, order_by=ORDER)
+
+
+@query
+def paired_t_every_item(spark, sf):
+    """As ``paired_t_long`` on the rates of ``rate_every_item``: subjects with a missing rate drop out of the pairs."""
+    rates = A.hit_rate(trials(spark, sf), A.PAIRED, order_by=ORDER)
+    return paired.paired_t_long(rates, ["subj"], "cond", "hit_rate", A.PAIRED, alternative="less")
+
+
 @query
 def score_sum(spark, sf):
     return summarise.score(items(spark, sf), ["subj", "ques"])
@@ -518,6 +531,7 @@ def _links(spark, sf):
 
 
 def _hits(spark, sf, conds=A.PAIRED):
+    """Rates over the items tested at both times: the filter ``seen_twice`` is the feature. ``*_every_item`` have none."""
     return A.hit_rate(trials(spark, sf), conds, order_by=ORDER, seen_twice=True)
 
 
