@@ -116,3 +116,13 @@ def test_chunks_are_found_again_after_the_kept_ones_went(tokenizer, monkeypatch)
     for k in range(8):
         text = " ".join(f"w{k * 7 + i}" for i in range(20 if k < 6 else 80))
         assert packing.token_ids(pa.array([text]), coder, 2)[1].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_chunks_encoded_as_one_text_have_their_own_ids():
+    coder = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    chunks = [" a", " don't", " ", " \u00a0x", " x\u2003", " \n", " \u4f60\u597d", " <|endoftext|>", " a\tb", " 12,5", " e\u0301", " \x1cq", " " + "ab" * 3000]
+    for part in (chunks, [c for c in chunks if c.strip() and not c[-1].isspace()], [" ", " \n"], []):
+        lengths, ids = coder.joined(part)
+        expected_lengths, expected = coder.encoded(part)
+        assert lengths.tolist() == expected_lengths.tolist()
+        assert ids.tolist() == expected.tolist()

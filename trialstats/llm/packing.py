@@ -36,6 +36,8 @@ NEARLY_FULL = 8
 #: Pieces that meet in a group of a round, on average: this bounds a task's memory, not what is carried.
 GROUP = 1 << 14
 CACHED = 1_000_000
+#: Chunks that are encoded as one text.
+JOINED = 4096
 SLICE_BYTES = 8 << 20
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, seq long, shift long, carry boolean"
 
@@ -47,6 +49,9 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a byte-level token has one character per byte
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.widths = np.array([len(name or "") for name in names], np.int64)
         self._forget()
 
     def _forget(self) -> None:
@@ -62,6 +67,33 @@ class Ids:
             parts.append(np.fromiter(chain.from_iterable(coded), "<u4", int(lengths[-1].sum())))
         return np.concatenate([np.zeros(0, np.int64), *lengths]), np.concatenate([np.zeros(0, "<u4"), *parts])
 
+    def joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encoded`` of chunks that start with a space, many as one text: a chunk ends where so many bytes of ids end.
+
+        A space between two visible characters starts a match, so the ids are those of the chunks apart. Chunks
+        whose next or last character is white space are encoded apart.
+        """
+        plain = np.fromiter((len(x) > 1 and not x[1].isspace() and not x[-1].isspace() for x in chunks), bool, len(chunks))
+        if not plain.all():
+            sides = [self.joined([x for x, p in zip(chunks, plain, strict=True) if p])] if plain.any() else []
+            sides.append(self.encoded([x for x, p in zip(chunks, plain, strict=True) if not p]))
+            counts = np.concatenate([lengths for lengths, _ in sides])
+            order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), kind="stable")
+            starts = np.cumsum(counts) - counts
+            return counts[order], np.concatenate([ids for _, ids in sides])[common.ragged(starts[order], counts[order])]
+        lengths, parts = [], []
+        for i in range(0, len(chunks), JOINED):
+            part = chunks[i : i + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(x.encode()) for x in part), np.int64, len(part)))
+            reached = np.cumsum(self.widths[ids])
+            at = np.searchsorted(reached, ends)
+            if len(reached) == 0 or reached[-1] != ends[-1] or (reached[at] != ends).any():
+                raise ValueError("the tokenizer does not start a match at every space between visible characters")
+            lengths.append(np.diff(at + 1, prepend=0))
+            parts.append(ids)
+        return np.concatenate([np.zeros(0, np.int64), *lengths]), np.concatenate([np.zeros(0, "<u4"), *parts])
+
     def places(self, chunks: pa.Array) -> np.ndarray:
         """Where distinct ``chunks``, each behind a space, are in ``lengths``; new ones are encoded, and kept up to CACHED."""
         if len(self.lengths) > len(self.known):  # those of the last call that were one too many to keep
@@ -72,7 +104,7 @@ class Ids:
         out = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(new):
             out[out < 0] = np.arange(len(self.known), len(self.known) + len(new))
-            lengths, flat = self.encoded([" " + x for x in new.to_pylist()])
+            lengths, flat = self.joined([" " + x for x in new.to_pylist()])
             self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
             # frequent chunks come early: what is beyond the bound is encoded whenever it comes
             self.known = pa.concat_arrays([self.known, new.slice(0, max(0, CACHED - len(self.known)))])
