@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trialstats.functions.columns import ColumnLike, as_col
+from trialstats.functions.digits import fixed
 
 # Report formats.
 PAIRED_FORMAT = "_t_(%d) = %.2f, %s, _dz_ = %.2f, 95%% CI [%.2f, %.2f]"
@@ -19,7 +22,7 @@ CELL_BELOW, CELL_ABOVE = "< .001", "> .999"
 
 
 def _three_digits(p: Column) -> Column:
-    return F.substring(F.format_string("%.3f", F.bround(p, 3)), 2, 4)
+    return F.substring(fixed(p, 3), 2, 4)
 
 
 def format_p(p: ColumnLike) -> Column:
@@ -28,7 +31,7 @@ def format_p(p: ColumnLike) -> Column:
     return (
         F.when(p.isNull(), None)
         .when(p < 0.001, F.lit(P_BELOW))
-        .when(F.bround(p, 3) >= 1, F.lit(P_ABOVE))
+        .when(fixed(p, 3) == "1.000", F.lit(P_ABOVE))
         .otherwise(F.concat(F.lit(P_EQUAL), _three_digits(p)))
     )
 
@@ -45,8 +48,11 @@ def format_p_cell(p: ColumnLike) -> Column:
 
 
 def _sentence(pattern: str, *values: ColumnLike) -> Column:
+    """The pattern with its values, doubles rounded as C rounds them; a missing double reads NA."""
     columns = [as_col(v) for v in values]
-    return F.when(columns[0].isNotNull(), F.format_string(pattern, *columns))
+    kinds = re.findall(r"%(%|d|s|\.2f)", pattern)
+    shown = [F.coalesce(fixed(c, 2), F.lit("NA")) if k == ".2f" else c for k, c in zip((k for k in kinds if k != "%"), columns, strict=True)]
+    return F.when(columns[0].isNotNull(), F.format_string(pattern.replace("%.2f", "%s"), *shown))
 
 
 def paired_sentence(df: ColumnLike, t: ColumnLike, p: ColumnLike, dz: ColumnLike, low: ColumnLike, high: ColumnLike):

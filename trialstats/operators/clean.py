@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialstats.functions import digits as digits_
+
 from trialstats.functions.columns import not_in
 
 NO_KEY_SPLITS = 10_000
@@ -43,8 +45,8 @@ def map_columns_of_type(df: DataFrame, data_type: type[T.DataType], fn: Callable
 
 
 def round_doubles(df: DataFrame, digits: int = 2) -> DataFrame:
-    """Round every double column half to even."""
-    return map_columns_of_type(df, T.DoubleType, lambda c: F.bround(c, digits))
+    """Round every double column by its exact binary value, half to even."""
+    return map_columns_of_type(df, T.DoubleType, lambda c: digits_.rounded(c, digits))
 
 
 def compute_consuming(df: DataFrame, used: Sequence[str], **computed: Column) -> DataFrame:

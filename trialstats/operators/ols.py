@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions.columns import ColumnLike, as_col, ratio
+from trialstats.functions.digits import rounded
 from trialstats.functions.distributions import f_p_value, t_table
 from trialstats.functions.factors import group_factors, solve_factor
 from trialstats.functions.linalg import solve_least_squares
@@ -248,9 +249,9 @@ def report_table(fits: DataFrame, model: str | Sequence[str], keys: Sequence[str
     return table.select(
         *by,
         "term",
-        F.bround("estimate", digits).alias("estimate"),
+        rounded("estimate", digits).alias("estimate"),
         interval("ci_z_low", "ci_z_high").alias("ci"),
-        F.bround("beta", digits).alias("beta"),
+        rounded("beta", digits).alias("beta"),
         format_p_cell("p_value").alias("p_value"),
         format_p_cell("p_adj").alias("p_adj"),
     )

@@ -26,6 +26,7 @@ from trialstats.functions.columns import (
     strict_sum,
 )
 from trialstats.functions.distributions import t_p_value
+from trialstats.functions.digits import rounded
 from trialstats.functions.text import format_p_cell
 from trialstats.operators import ols, pca
 from trialstats.operators.linking import bind_rows, join_all, pair_by_key, unique_lookup
@@ -314,7 +315,7 @@ def recognition_table(
     stats = stats.withColumnsRenamed({"correct_mean": "mean", "correct_sd": "sd"})
     long = pivot_longer(stats, ["time", "cond"], ["mean", "sd"], "index")
     wide = pivot_wider(long, ["time", "index"], "cond", "value", conds, other=other)
-    return wide.select("time", "index", *[F.bround(c, digits).alias(c) for c in conds])
+    return wide.select("time", "index", *[rounded(c, digits).alias(c) for c in conds])
 
 
 def rating_table(pairs: DataFrame, conds: Sequence[str] = RATED) -> DataFrame:

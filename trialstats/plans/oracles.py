@@ -223,6 +223,14 @@ FROM trials"""
 ORACLES["recode_label"] = f"""SELECT CASE l_linenumber WHEN 1 THEN 'val' WHEN 2 THEN 'aro' ELSE CAST(l_linenumber AS VARCHAR) END AS dim,
   count(*) AS n, {r6('sum(l_quantity)')} AS quantity FROM lineitem GROUP BY ALL"""
 
+ROUNDED = {
+    "amount": "l_extendedprice * l_discount * 2.5::DOUBLE",
+    "eighths": "(l_quantity - 25) / 8::DOUBLE",
+    "near": "l_quantity + l_discount / 2::DOUBLE",
+}
+ORACLES["round_exact"] = "SELECT l_orderkey, l_linenumber, " + ", ".join(
+    f"printf('%.2f', {c}) AS {n}_text, CAST(printf('%.2f', {c}) AS DOUBLE) + 0e0 AS {n}" for n, c in ROUNDED.items()
+) + " FROM lineitem"
 ORACLES["round_doubles"] = f"""{TO_SUBSTITUTES} SELECT cond, round_even(avg(hit_rate), 2) AS hit_rate_mean,
   round_even(stddev_samp(hit_rate), 2) AS hit_rate_sd FROM substitutes GROUP BY cond"""
 
@@ -482,9 +490,9 @@ stepped AS (
 SELECT l_suppkey, family, {r6('p')} AS p_value, {r6('least(1, max(v) OVER (PARTITION BY family ORDER BY p ROWS UNBOUNDED PRECEDING))')} AS p_adj
 FROM stepped"""
 
-THREE = "substr(printf('%.3f', round_even(p, 3)), 2)"
+THREE = "substr(printf('%.3f', p), 2)"
 ORACLES["format_p"] = f"""WITH {SUPPLIER_TESTS} SELECT l_suppkey, x, y,
-  CASE WHEN p < 0.001 THEN '_p_ < .001' WHEN round_even(p, 3) >= 1 THEN '_p_ > .999' ELSE '_p_ = ' || {THREE} END AS text,
+  CASE WHEN p < 0.001 THEN '_p_ < .001' WHEN printf('%.3f', p) = '1.000' THEN '_p_ > .999' ELSE '_p_ = ' || {THREE} END AS text,
   CASE WHEN p < 0.001 THEN '< .001' WHEN p > 0.999 THEN '> .999' ELSE {THREE} END AS cell FROM p_values"""
 
 # Trial pipelines ---------------------------------------------------------------------------------
@@ -654,8 +662,8 @@ ORACLES["ols_ci"] = f"""{TWO_COEFFICIENTS} SELECT l_returnflag, term, {r6('estim
 
 
 def p_text(p: str) -> str:
-    three = f"substr(printf('%.3f', round_even({p}, 3)), 2)"
-    return f"CASE WHEN {p} < 0.001 THEN '_p_ < .001' WHEN round_even({p}, 3) >= 1 THEN '_p_ > .999' ELSE '_p_ = ' || {three} END"
+    three = f"substr(printf('%.3f', {p}), 2)"
+    return f"CASE WHEN {p} < 0.001 THEN '_p_ < .001' WHEN printf('%.3f', {p}) = '1.000' THEN '_p_ > .999' ELSE '_p_ = ' || {three} END"
 
 
 ORACLES["ols_sentences"] = f"""{TWO_COEFFICIENTS}, sds AS (SELECT l_returnflag AS g, stddev_samp(l_extendedprice) AS sdy,
@@ -683,7 +691,7 @@ adjusted AS (SELECT *, least(1, max(v) OVER (PARTITION BY {{by}} ORDER BY p ROWS
 def p_cell(p: str) -> str:
     return (
         f"CASE WHEN {p} IS NULL THEN NULL WHEN {p} < 0.001 THEN '< .001' WHEN {p} > 0.999 THEN '> .999' "
-        f"ELSE substr(printf('%.3f', round_even({p}, 3)), 2) END"
+        f"ELSE substr(printf('%.3f', {p}), 2) END"
     )
 
 
@@ -957,3 +965,36 @@ full_ AS (
 SELECT l_returnflag, n, {r6('m')} AS mean_diff, {r6('s')} AS sd_diff, {r6('t')} AS t, df, {r6('dz')} AS dz, {r6('p')} AS p_value,
   {r6('dz_low')} AS dz_low, {r6('dz_high')} AS dz_high,
   printf('_t_(%d) = %.2f, %s, _dz_ = %.2f, 95%% CI [%.2f, %.2f]', df, t, {p_text('p')}, dz, dz_low, dz_high) AS report FROM full_"""
+
+LEVEL_LINES = """WITH slopes AS (SELECT l_returnflag AS f, regr_intercept(l_extendedprice / 1000, l_quantity) AS a,
+  regr_slope(l_extendedprice / 1000, l_quantity) AS b FROM lineitem GROUP BY f),
+l AS (SELECT max(CASE f WHEN 'A' THEN a END) AS a1, max(CASE f WHEN 'N' THEN a END) AS a2, max(CASE f WHEN 'R' THEN a END) AS a3,
+  max(CASE f WHEN 'A' THEN b END) AS b1, max(CASE f WHEN 'N' THEN b END) AS b2, max(CASE f WHEN 'R' THEN b END) AS b3 FROM slopes)"""
+
+
+def level_terms(terms: dict[str, str], beta: bool = False) -> str:
+    """A row per term of a model by levels, from each level's own line; no term has a standardised slope."""
+    rows = [
+        f"SELECT {i} AS term_index, '{t}' AS term, {r6(c)} AS estimate" + (f", {r6(c) if i else 'NULL::DOUBLE'} AS beta" if beta else "") + " FROM l"
+        for i, (t, c) in enumerate(terms.items())
+    ]
+    return f"{LEVEL_LINES} " + " UNION ALL ".join(rows)
+
+
+ORACLES["formula_three_levels"] = level_terms(
+    {"(Intercept)": "a1", "flagN": "a2 - a1", "flagR": "a3 - a1", "quantity": "b1", "flagN:quantity": "b2 - b1", "flagR:quantity": "b3 - b1"}
+)
+MEAN_A, MEAN_B = "(a1 + a2 + a3) / 3", "(b1 + b2 + b3) / 3"
+ORACLES["formula_sum_coding"] = level_terms(
+    {
+        "(Intercept)": MEAN_A,
+        "flag1": f"a1 - {MEAN_A}",
+        "flag2": f"a2 - {MEAN_A}",
+        "quantity": MEAN_B,
+        "flag1:quantity": f"b1 - {MEAN_B}",
+        "flag2:quantity": f"b2 - {MEAN_B}",
+    }
+)
+ORACLES["formula_no_margin"] = level_terms(
+    {"(Intercept)": "a1", "flagN": "a2 - a1", "flagR": "a3 - a1", "flagA:quantity": "b1", "flagN:quantity": "b2", "flagR:quantity": "b3"}, beta=True
+)

@@ -25,9 +25,11 @@ from trialstats.functions.columns import (
     strict_avg,
     strict_sd,
 )
+from trialstats.functions.digits import fixed
+from trialstats.functions.digits import rounded as exactly
 from trialstats.functions.distributions import f_p_value, t_cdf, t_p_value
 from trialstats.functions.text import format_p, format_p_cell
-from trialstats.operators import clean, linking, ols, paired, pca, reshape, selection, summarise
+from trialstats.operators import clean, formulas, linking, ols, paired, pca, reshape, selection, summarise
 from trialstats.operators.adjust import holm_adjust, lag_difference
 from trialstats.plans import analyses as A
 from trialstats.sources.logs import EXCLUDED_2
@@ -91,7 +93,19 @@ def drop_columns(spark, sf):
 def round_range(spark, sf):
     lines = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus")
     means = lines.agg(*[F.avg(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
-    return clean.map_columns(means, clean.column_range(means, "l_extendedprice", "l_tax"), lambda c: F.bround(c, 2))
+    return clean.map_columns(means, clean.column_range(means, "l_extendedprice", "l_tax"), lambda c: exactly(c, 2))
+
+
+@query
+def round_exact(spark, sf):
+    """Amounts and eighths to two decimals, as text and as numbers: many are exact halves, many just beside one."""
+    lines = table(spark, sf, "lineitem")
+    amount, eighths = F.col("l_extendedprice") * F.col("l_discount") * 2.5, (F.col("l_quantity") - 25) / 8
+    near = F.col("l_quantity") + F.col("l_discount") / 2
+    cells = {"amount": amount, "eighths": eighths, "near": near}
+    return lines.select(
+        "l_orderkey", "l_linenumber", *[fixed(c, 2).alias(f"{n}_text") for n, c in cells.items()], *[exactly(c, 2).alias(n) for n, c in cells.items()]
+    )
 
 
 @query
@@ -791,6 +805,29 @@ def ols_near_dependent(spark, sf):
     return terms.filter("term <> '(Intercept)'").join(ols.fit_stats(fits, "m", ["l_returnflag"]).select("l_returnflag", "r_squared", "f_value"), "l_returnflag")
 
 
+def _by_flag(spark, sf, formula: str, coding: str):
+    model = formulas.parse(formula, {"flag": formulas.Factor(("A", "N", "R"), coding, "l_returnflag")})
+    lines = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").alias("quantity"))
+    return ols.coefficients(ols.fit_models(lines, model.outcome, {"m": model.terms}), "m").select("term_index", "term", "estimate", "beta")
+
+
+@query
+def formula_three_levels(spark, sf):
+    """A factor of three levels crossed with a number, against the first level."""
+    return _by_flag(spark, sf, "price ~ flag * quantity", "treatment").drop("beta")
+
+
+@query
+def formula_sum_coding(spark, sf):
+    return _by_flag(spark, sf, "price ~ flag * quantity", "sum").drop("beta")
+
+
+@query
+def formula_no_margin(spark, sf):
+    """Without the number's own term, each level has its slope."""
+    return _by_flag(spark, sf, "price ~ (flag + quantity):flag", "treatment")
+
+
 @query
 def loocv_near_dependent(spark, sf):
     lines = table(spark, sf, "lineitem")
