@@ -25,12 +25,12 @@ def test_expansion():
 
 
 @pytest.mark.parametrize("text", ["a ~", "~ a", "y ~ a +", "y ~ (a", "y ~ a)", "y ~ a b", "y ~ a - 1", "y ~ 2", "y ~ a ? b", "y + z ~ a", "y ~ y", "y"])
-def test_bad_formulas(text):
+def test_bad_formulas(spark, text):
     with pytest.raises(ValueError):
         parse(text)
 
 
-def test_marginality():
+def test_marginality(spark):
     g = {"g": Factor(("a", "b", "c"))}
     assert _names("y ~ g * x", g) == ["gb", "gc", "x", "gb:x", "gc:x"]
     assert _names("y ~ g + g:x", g) == ["gb", "gc", "ga:x", "gb:x", "gc:x"]
@@ -79,7 +79,7 @@ def test_codings_against_least_squares(spark, coding):
     assert out.df.iloc[0] == len(known) - 8
 
 
-def test_two_codings_of_one_name():
+def test_two_codings_of_one_name(spark):
     g = {"g": Factor(("a", "b", "c"), "sum")}
     formulas.models({"one": "y ~ g + x", "two": "y ~ g * x"}, g)
     clash = {"g": Factor((1, 2, 3), "sum")}  # full columns are named as the contrasts are

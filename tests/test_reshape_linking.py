@@ -168,3 +168,29 @@ def test_lag_difference_follows_the_named_order(spark):
     df = spark.createDataFrame([("v", 2, 0.5), ("v", 1, 0.2), ("a", 1, 0.1)], "d string, step int, r double")
     got = {(r.d, r.step): r["diff"] for r in lag_difference(df, "r", "step", ["d"]).collect()}
     assert got == {("v", 1): None, ("v", 2): pytest.approx(0.3), ("a", 1): None}
+
+
+def test_complete_with_many_levels_in_blocks(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("s"), F.when(F.col("id") > 0, F.col("id")).alias("level"))
+    whole = rows.groupBy("s", "level").count()
+    for block, size in ((4096, 32 << 20), (100, 32 << 20), (100, 0)):  # one block; several, broadcast or not
+        monkeypatch.setattr(reshape, "LEVEL_BLOCK", block)
+        monkeypatch.setattr(reshape, "LEVEL_BYTES", size)
+        out = reshape.complete_counts(rows, ["s"], "level")
+        assert out.count() == 9000 == out.select("s", "level").distinct().count()
+        assert out.filter("n > 0").exceptAll(whole).count() == 0
+        assert out.agg(F.sum("n")).first()[0] == 3000
+        assert out.filter("level IS NULL").count() == 3
+    assert reshape.complete_counts(rows.limit(0), ["s"], "level").count() == 0
+
+
+def test_a_missing_key_is_a_key_in_every_join(spark):
+    left = spark.sql("SELECT * FROM VALUES (1, 'a'), (NULL, 'b') AS t(k, v)")
+    right = spark.sql("SELECT * FROM VALUES (1, 'c'), (NULL, 'd') AS t(k, w)")
+    assert values(linking.pair_by_key(left, right, ["k"])) == [(1, "a", "c"), (None, "b", "d")]
+    assert values(linking.pair_by_key(left, right, ["k"], "drop")) == [(1, "a", "c"), (None, "b", "d")]
+    assert values(linking.join_all(left, [right.filter("k IS NULL")], ["k"])) == [(1, "a", None), (None, "b", "d")]
+    same = right.withColumnRenamed("w", "v")
+    assert values(linking.join_suffixed(left.filter("k = 1"), same, ["k"], "right")) == [(1, "a", "c"), (None, None, "d")]
+    with pytest.raises(PySparkException):
+        linking.pair_by_key(left, right.filter("k = 1"), ["k"]).collect()

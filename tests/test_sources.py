@@ -1,5 +1,8 @@
 """Per-subject CSV logs: globs, headers, headerless files, ids from names, exports."""
 
+import io
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +194,33 @@ def test_many_small_files_in_few_tasks(spark, tmp_path):
         (tmp_path / f"{i}_p_x.csv").write_text(f"subjID,a\n{i},{i % 7}\n")
     df = logs.read_by_name(spark, str(tmp_path), "*_p_x.csv", logs.log_schema("subjID int, a int"))
     assert df.rdd.getNumPartitions() == 3 and df.selectExpr("sum(subjID)", "sum(a)").first()[0] == 3000 * 2999 // 2
+
+
+def _joined(path):
+    return "".join(p.read_text() for p in sorted(path.glob("part-*")))
+
+
+def test_ordered_csv_is_one_file_in_parts(spark, tmp_path, request):
+    rows = spark.range(5000).select((F.lit(4999) - F.col("id")).alias("subj"), F.when(F.col("id") % 7 > 0, F.col("id") / 4).alias("a b"))
+    rows = rows.withColumn("text", F.when(F.col("subj") == 3, 'say "x",\nthen y').otherwise(F.lit("  z")))
+    out = tmp_path / "table.csv"
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tables.export_ordered_csv(rows.repartition(6), str(out), ["subj"], missing="NA")
+    back = pd.read_csv(io.StringIO(_joined(out)))
+    known = rows.orderBy("subj").toPandas()
+    pd.testing.assert_frame_equal(back, known)
+    assert len(list(out.glob("part-*"))) > 1
+    assert _joined(out).splitlines()[0] == "subj,a b,text"
+    tables.export_ordered_csv(rows.limit(0), str(out), ["subj"])
+    assert _joined(out) == "subj,a b,text\n"
+
+
+def test_ordered_csv_that_fails_leaves_what_was_there(spark, tmp_path):
+    out = tmp_path / "table.csv"
+    tables.export_ordered_csv(spark.range(3), str(out), ["id"])
+    bad = spark.range(100).select(F.when(F.col("id") == 77, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        tables.export_ordered_csv(bad, str(out), ["id"])
+    assert _joined(out) == "id\n0\n1\n2\n"
+    assert [p.name for p in tmp_path.iterdir()] == ["table.csv"]

@@ -69,6 +69,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(other, matches, how).drop(*[f"_of_{k}" for k in keys])
 
 
+def join_by(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join of any kind in which a missing key equals a missing key: keys, then the other columns of both sides."""
+    other = right.select(*[F.col(c).alias(f"_of_{c}") if c in keys else c for c in right.columns])
+    matches = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    joined = left.join(other, matches, how)
+    rest = [c for frame in (left, right) for c in frame.columns if c not in keys]
+    return joined.select(*[F.coalesce(F.col(k), F.col(f"_of_{k}")).alias(k) for k in keys], *rest)
+
+
 def one_row(table: DataFrame) -> DataFrame:
     """The table, which must have one row at most; two are looked at."""
     two = table.limit(2)
@@ -152,9 +161,9 @@ def inherit_column(
 
 
 def join_all(base: DataFrame, others: Sequence[DataFrame], keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Chain of joins of per-key summaries on the same key."""
+    """Chain of joins of per-key summaries on the same key; a missing key is a key."""
     for other in others:
-        base = base.join(other, list(keys), how)
+        base = join_by(base, other, keys, how)
     return base
 
 
@@ -167,8 +176,8 @@ def pair_by_key(
     fail on unequal lengths); ``"drop"`` keeps common keys only.
     """
     if on_missing == "drop":
-        return left.join(right, list(keys), "inner")
-    joined = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), list(keys), "full")
+        return join_by(left, right, keys, "inner")
+    joined = join_by(left.withColumn("_l", F.lit(True)), right.withColumn("_r", F.lit(True)), keys, "full")
     both = F.when(F.col("_l") & F.col("_r"), True).otherwise(F.raise_error(F.lit("key present on one side only")))
     return joined.filter(both).drop("_l", "_r")
 
@@ -181,7 +190,7 @@ def join_suffixed(
     for name in shared:
         left = left.withColumnRenamed(name, name + suffixes[0])
         right = right.withColumnRenamed(name, name + suffixes[1])
-    return left.join(right, list(keys), how)
+    return join_by(left, right, keys, how)
 
 
 def bind_rows(frames: Sequence[DataFrame]) -> DataFrame:

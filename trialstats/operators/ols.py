@@ -69,9 +69,7 @@ def fit_models(
     """
     if method not in ("moments", "qr"):
         raise ValueError(f"no method {method}")
-    terms: list[Term] = []
-    for model in models.values():
-        terms += [t for t in model if t.name not in {u.name for u in terms}]
+    terms = _all_terms(models)
     names = [f"_x{i}" for i in range(len(terms))] + ["_y"]
     design = df.select(
         *keys, *[t.column.alias(n) for t, n in zip(terms, names, strict=False)], as_col(outcome).cast("double").alias("_y")
@@ -87,6 +85,21 @@ def fit_models(
     moments = design.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(names)], *upper.values()
     )
+    return models_from_moments(moments, models, keys)
+
+
+def _all_terms(models: Mapping[str, Sequence[Term]]) -> list[Term]:
+    terms: list[Term] = []
+    for model in models.values():
+        terms += [t for t in model if t.name not in {u.name for u in terms}]
+    return terms
+
+
+def models_from_moments(moments: DataFrame, models: Mapping[str, Sequence[Term]], keys: Sequence[str] = ()) -> DataFrame:
+    """``fit_models`` of groups that are reduced already: ``n``, means ``_m<i>`` and covariances ``_c<i>_<j>`` (i <= j) of the terms
+    in the order in which the models first name them, and of the outcome behind them."""
+    terms = _all_terms(models)
+    width = len(terms) + 1
     dof = F.col("n") - 1
     out = moments
     for model, members in models.items():

@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.operators.linking import null_safe_join
+from trialstats.sources.tables import written
 
 Level = str | int | tuple
+LEVEL_BLOCK = 4096
+LEVEL_BYTES = 32 << 20
 
 
 def _condition(names: Sequence[str], level: Level) -> Column:
@@ -145,14 +148,13 @@ def complete_counts(
 ) -> DataFrame:
     """Rows per id and level, with 0 for combinations that do not occur.
 
-    Levels that occur nowhere are left out; without ``levels`` they are those of the data. With them the zero-filled
-    table comes from one conditional aggregate, and rows of other levels are an error unless ``other="drop"``.
+    Levels that occur nowhere are left out; without ``levels`` they are those of the data, however many: these are written
+    and dealt into blocks of about LEVEL_BLOCK, and each id meets each block. With them the zero-filled table comes from one conditional aggregate, and rows of other levels are an error unless ``other="drop"``.
     """
     seen = df.select(level).distinct()
     if levels is None:
         counts = df.groupBy(*ids, level).agg(F.count(F.lit(1)).alias(count))
-        listed = seen.agg(F.collect_list(F.struct(level)).alias("_levels"))  # the columns of the result, so few
-        every = df.select(*ids).distinct().join(F.broadcast(listed)).select(*ids, F.inline("_levels"))
+        every = _every_level(df.select(*ids).distinct(), written(seen), ids, level)
         filled = null_safe_join(every, counts, [*ids, level], "left")
         return filled.select(*ids, level, F.coalesce(count, F.lit(0)).alias(count))
     cells = F.array(
@@ -162,3 +164,15 @@ def complete_counts(
     # at most one row per listed level
     known = F.broadcast(seen.filter(F.col(level).isin(list(levels))))
     return wide.select(*ids, F.inline("_cells")).join(known, level, "left_semi").select(*ids, level, count)
+
+
+def _every_level(groups: DataFrame, seen: DataFrame, ids: Sequence[str], level: str) -> DataFrame:
+    """Each group's keys with each level of a written table. A task holds one block of levels at a time."""
+    measured = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum(16 + F.coalesce(F.length(F.col(level).cast("string")), F.lit(0))), F.lit(0))).first()
+    number = max(1, -(-measured[0] // LEVEL_BLOCK))
+    block = F.pmod(F.xxhash64(level), F.lit(number)).cast("int")
+    blocks = seen.groupBy(block.alias("_block")).agg(F.collect_list(F.struct(level)).alias("_levels"))
+    if measured[1] <= LEVEL_BYTES:
+        blocks = F.broadcast(blocks)
+    met = groups.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).join(blocks, "_block")
+    return met.select(*ids, F.inline("_levels"))

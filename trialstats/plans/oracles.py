@@ -998,3 +998,12 @@ ORACLES["formula_sum_coding"] = level_terms(
 ORACLES["formula_no_margin"] = level_terms(
     {"(Intercept)": "a1", "flagN": "a2 - a1", "flagR": "a3 - a1", "flagA:quantity": "b1", "flagN:quantity": "b2", "flagR:quantity": "b3"}, beta=True
 )
+
+STATE_VALUES = {"quantity": "l_quantity", "discount": "l_discount", "price": "l_extendedprice / 1000"}
+ORACLES["state_summary"] = "SELECT l_suppkey, count(*) AS n, " + ", ".join(
+    f"{r6(f'avg({c})')} AS {n}_mean, {r6(f'stddev_samp({c})')} AS {n}_sd, {r6(f'stddev_samp({c}) / sqrt(count(*))')} AS {n}_se"
+    for n, c in STATE_VALUES.items()
+) + " FROM lineitem GROUP BY l_suppkey"
+ORACLES["state_regression"] = f"""WITH s AS (SELECT l_suppkey, count(*) - 2 AS df, regr_intercept(l_extendedprice / 1000, l_quantity) AS a,
+  regr_slope(l_extendedprice / 1000, l_quantity) AS b FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, '(Intercept)' AS term, {r6('a')} AS estimate, df FROM s UNION ALL SELECT l_suppkey, 'quantity', {r6('b')}, df FROM s"""

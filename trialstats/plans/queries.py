@@ -29,7 +29,7 @@ from trialstats.functions.digits import fixed
 from trialstats.functions.digits import rounded as exactly
 from trialstats.functions.distributions import f_p_value, t_cdf, t_p_value
 from trialstats.functions.text import format_p, format_p_cell
-from trialstats.operators import clean, formulas, linking, ols, paired, pca, reshape, selection, summarise
+from trialstats.operators import clean, formulas, linking, ols, paired, pca, reshape, selection, states, summarise
 from trialstats.operators.adjust import holm_adjust, lag_difference
 from trialstats.plans import analyses as A
 from trialstats.sources.logs import EXCLUDED_2
@@ -828,6 +828,36 @@ def formula_no_margin(spark, sf):
     return _by_flag(spark, sf, "price ~ (flag + quantity):flag", "treatment")
 
 
+BATCHES = 3
+
+
+def _merged_state(spark, sf):
+    """Lines of each supplier as a state, from batches by order number that are merged."""
+    lines = table(spark, sf, "lineitem")
+    values = {"quantity": "l_quantity", "discount": "l_discount", "price": F.col("l_extendedprice") / 1000}
+    out = None
+    for batch in range(BATCHES):
+        new = states.state_of(lines.filter(F.col("l_orderkey") % BATCHES == batch), ["l_suppkey"], values)
+        out = new if out is None else states.merge(out, new, ["l_suppkey"], len(values))
+    return out, list(values)
+
+
+@query
+def state_summary(spark, sf):
+    """Mean, deviation and standard error per supplier, without reading all lines at once."""
+    state, names = _merged_state(spark, sf)
+    return states.summary(state, ["l_suppkey"], names)
+
+
+@query
+def state_regression(spark, sf):
+    """A regression per supplier from the merged states."""
+    state, names = _merged_state(spark, sf)
+    moments = states.moments(state, ["l_suppkey"], [names.index(c) for c in ("quantity", "price")])
+    fits = ols.models_from_moments(moments, {"m": [ols.Term.numeric("quantity")]}, ["l_suppkey"])
+    return ols.coefficients(fits, "m", ["l_suppkey"]).select("l_suppkey", "term", "estimate", "df")
+
+
 @query
 def loocv_near_dependent(spark, sf):
     lines = table(spark, sf, "lineitem")

@@ -41,3 +41,38 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 def export_csv(df: DataFrame, path: str) -> None:
     """Write a wide table as CSV with a header per part file, for an outside statistics program."""
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) as Spark sees them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(conf), place
+
+
+def export_ordered_csv(df: DataFrame, path: str, order_by: Sequence[str], missing: str = "") -> None:
+    """Write one CSV table whose parts, in the order of their names, are in key order under one header.
+
+    Joined in that order the parts are one file, as an outside program reads it; nothing goes through the driver. The header
+    is a row of its own that sorts before all others. Everything is written beside ``path`` and takes its place at
+    the end, so a failed task leaves what was there and nothing else. (Where renaming a folder isn't one step, as
+    in object stores, that holds up to the rename.) Rows of equal keys come in any order.
+    """
+    spark = df.sparkSession
+    options = {"nullValue": missing, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    keys = [f"_k{i}" for i in range(len(order_by))]
+    text = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), options).alias("_line")
+    rows = df.select(F.lit(1).alias("_part"), *[F.col(c).alias(k) for c, k in zip(order_by, keys, strict=True)], text)
+    names = F.to_csv(F.struct(*[F.lit(c).alias(f"c{i}") for i, c in enumerate(df.columns)]), options)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    head = spark.range(1).select(F.lit(0).alias("_part"), *[F.lit(None).cast(kinds[k]).alias(k) for k in keys], names.alias("_line"))
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    files, source = _files(spark, staged)
+    try:
+        written(rows).unionByName(head).orderBy("_part", *keys).select("_line").write.text(staged)
+        _, target = _files(spark, path)
+        files.delete(target, True)
+        if not files.rename(source, target):
+            raise OSError(f"{staged} could not be renamed to {path}")
+    finally:
+        files.delete(source, True)
