@@ -12,8 +12,8 @@ def wanted(rows, shortest):
         kept, own = [], (t or "").split("\n")
         for line in own:
             w = brute.words(line)
-            near = len(w) >= shortest and any(abs(len(x) - len(w)) <= 1 and brute.edits(x, w) <= 1 for x in seen)
-            if len(w) >= shortest:
+            near = w in seen or len(w) >= shortest and any(len(x) >= shortest and abs(len(x) - len(w)) <= 1 and brute.edits(x, w) <= 1 for x in seen)
+            if w:
                 seen.append(w)
             if not near:
                 kept.append(line)
@@ -53,6 +53,28 @@ def test_hot_line_families_and_a_very_long_line(spark):
     assert got(spark, rows) == wanted(rows, 5)
 
 
+def test_lines_of_two_hundred_thousand_words(spark):
+    rng = random.Random(3)
+    words = [rng.choice(["ab", "cd", "ef"]) for _ in range(200_000)]
+    other = words[:77_777] + ["new"] + words[77_778:]
+    shorter = words[:150_000] + words[150_001:]
+    far = ["new"] + words[1:-1] + ["new"]
+    rows = [(d, "x\n" + " ".join(w)) for d, w in enumerate([words, other, shorter, far, words])]
+    out = {d: (n, removed, kept) for d, n, removed, kept in got(spark, rows)}
+    assert [out[d][1] for d in range(5)] == [0, 2, 2, 1, 2] and out[3][2] == rows[3][1][2:] and out[1][2] == ""
+
+
+def test_many_lines_in_one_document(spark):
+    rows = [(1, "\n".join(f"line {i % 30_000}" for i in range(60_000)))]
+    [(_, n, removed, kept)] = got(spark, rows)
+    assert (n, removed) == (60_000, 30_000) and kept == "\n".join(f"line {i}" for i in range(30_000))
+
+
+def test_short_lines_go_only_as_exact_copies(spark):
+    rows = [(1, "All rights reserved.\n\u6771\u4eac"), (2, "All rights  reserved.\n\nAll rights"), (3, "All rights\n\u6771\u4eac\n \n")]
+    assert got(spark, rows) == wanted(rows, 5) == [(1, 2, 0, rows[0][1]), (2, 3, 1, "\nAll rights"), (3, 4, 2, " \n")]
+
+
 def test_shuffle_path_and_clashing_names(spark, monkeypatch):
     monkeypatch.setattr(lines, "BROADCAST_BYTES", -1)
     frame = spark.sql("select 1L doc_id, 'a b c d e' text, 'x' id, 'y' pos, 'z' words union all select 2L, 'a b c d f', 'x', 'y', 'z'")

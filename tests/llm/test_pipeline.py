@@ -39,10 +39,11 @@ def test_lines(steps):
         kept = []
         for line in text.split("\n"):
             w = tuple(brute.words(line))
-            near = False
-            if len(w) >= 5:
-                near = w in seen or any(brute.edits(x, w) <= 1 for n in (-1, 0, 1) for x in by_length.get((len(w) + n, w[:2]), []) + by_length.get((len(w) + n, w[-2:]), []))
+            near = w in seen
+            if w:
                 seen.add(w)
+            if len(w) >= 5:
+                near = near or any(brute.edits(x, w) <= 1 for n in (-1, 0, 1) for x in by_length.get((len(w) + n, w[:2]), []) + by_length.get((len(w) + n, w[-2:]), []))
                 by_length.setdefault((len(w), w[:2]), []).append(w)
                 by_length.setdefault((len(w), w[-2:]), []).append(w)
             if not near:

@@ -9,14 +9,16 @@ Two exact steps come first. Equal lines are one, found by hash with map-side com
 documents costs one row per task. And as one edit leaves the first or the last half of a line untouched, only lines
 that share a half with another line, at a length that one edit allows, emit their variants.
 
-Lines with fewer than SHORTEST words are never removed: too little text to tell a copy. Defined results: a null text is
+Lines with fewer than SHORTEST words go if an earlier line has the same words; one edit says little about them, so they
+neither have nor are near lines. Lines without a word are never removed. A line of any length takes time in proportion to
+its words: variants come from running sums over one row per word. Defined results: a null text is
 empty and has one empty line. Rows with the same id and text are one document. A null id counts as the largest. An
 empty table gives no rows. Other columns are only carried.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialstats.llm import common
@@ -48,17 +50,38 @@ def _halves(words: str) -> list[Column]:
     return out
 
 
-def _chain(words: Column) -> Column:
-    """Running hash of the first 0, 1, 2, ... words."""
-    return F.aggregate(words, F.array(F.lit(0).cast("long")), lambda acc, w: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), w))))
+def _halved(hash64: Column) -> list[Column]:
+    """The low and high 31 bits: sums of them over any line stay within a long."""
+    return [hash64.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(hash64, 33)]
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """A row per key: the line without word i, for each i; and the line cut at i, which such a variant of another may equal."""
-    chained = lines.withColumn("ahead", _chain(F.col("words"))).withColumn("behind", _chain(F.reverse("words"))).withColumn("n", F.size("words"))
-    without = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64(i, F.get("ahead", i), F.get("behind", F.col("n") - 1 - i)))
-    whole = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.xxhash64(i, F.get("ahead", i), F.get("behind", F.col("n") - i)))
-    return chained.select(*PLACE, *LINE, F.explode(F.array_distinct(F.concat(without, whole))).alias("key"))
+    """A row per key: the line without word i, for each i; and the line cut at i, which such a variant of another may equal.
+
+    A sequence's hash is the sum of its words' hashes by place, so one running sum per line gives all variants: words
+    ahead of the missing one keep their place, those behind it move up. Lines of any length cost the same per word.
+    """
+    words = lines.select(*PLACE, *LINE, F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    here, moved = _halved(F.xxhash64("word", "i")), _halved(F.xxhash64("word", F.col("i") - 1))
+    line = Window.partitionBy(*LINE)
+    ahead = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.select("*", *(c.alias(f"here{k}") for k, c in enumerate(here)), *(c.alias(f"moved{k}") for k, c in enumerate(moved)))
+    none = F.lit(0).cast("long")
+    summed = words.select(
+        *PLACE,
+        *LINE,
+        "n",
+        "i",
+        *(F.sum(f"here{k}").over(line).alias(f"all{k}") for k in (0, 1)),
+        *(
+            (F.sum(f"moved{k}").over(line) - F.col(f"moved{k}") + F.coalesce(F.sum(F.col(f"here{k}") - F.col(f"moved{k}")).over(ahead), none)).alias(f"without{k}")
+            for k in (0, 1)
+        ),
+    )
+    cut = F.xxhash64("i", "all0", "all1")
+    end = F.when(F.col("i") == F.col("n") - 1, F.array(F.xxhash64("n", "all0", "all1"))).otherwise(F.array().cast("array<long>"))
+    keys = F.concat(F.array(F.xxhash64("i", "without0", "without1"), cut), end)
+    return summed.select(*PLACE, *LINE, F.explode(keys).alias("key"))
 
 
 def _one_edit(a: str, b: str) -> Column:
@@ -80,6 +103,7 @@ def _small(df: DataFrame, size: int) -> DataFrame:
 
 def _near_lines(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
     """(one, two) of every distinct line that is one edit from an earlier one."""
+    firsts = firsts.filter("long")
     halves = firsts.select(*LINE, F.explode(F.array_distinct(F.array("h0", "h1", "h2", "h3"))).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     hopeful = halves.join(shared, "half", "left_semi").select(*LINE).distinct()
@@ -110,24 +134,25 @@ def remove_lines(
         F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry or [])).alias("carried"),
     )
     plain = keyed.select("id", "mark", "text")
-    words = _exploded(plain).filter(F.size("words") >= shortest)
-    hashed = words.select(*PLACE, F.xxhash64("words").alias("one"), F.xxhash64(F.lit(1), "words").alias("two"), *(h.alias(f"h{i}") for i, h in enumerate(_halves("words"))))
+    words = _exploded(plain).filter(F.size("words") > 0)
+    hashed = words.select(*PLACE, (F.size("words") >= shortest).alias("long"), F.xxhash64("words").alias("one"), F.xxhash64(F.lit(1), "words").alias("two"), *(h.alias(f"h{i}") for i, h in enumerate(_halves("words"))))
     lines = common.written(hashed, "lines")
     place = F.min(F.struct(*PLACE)).alias("first")
-    firsts = lines.groupBy(*LINE).agg(place, F.count("*").alias("n"), *(F.min(f"h{i}").alias(f"h{i}") for i in range(4)))
-    firsts = common.written(firsts.select(*LINE, "first.*", "n", "h0", "h1", "h2", "h3"), "firsts")
+    firsts = lines.groupBy(*LINE).agg(place, F.count("*").alias("n"), F.max("long").alias("long"), *(F.min(f"h{i}").alias(f"h{i}") for i in range(4)))
+    firsts = common.written(firsts.select(*LINE, "first.*", "n", "long", "h0", "h1", "h2", "h3"), "firsts")
     near = common.written(_near_lines(plain, firsts).withColumn("near", F.lit(True)), "near")
     repeated = firsts.join(near, LINE, "left").filter("n > 1 OR near").select(*LINE, F.struct(*PLACE).alias("first"), "near")
-    gone = lines.select(*PLACE, *LINE).join(repeated, LINE).filter(F.col("near").isNotNull() | (F.struct(*PLACE) != F.col("first")))
+    repeated = common.written(repeated, "repeated")
+    gone = lines.select(*PLACE, *LINE).join(_small(repeated, 64 * repeated.count()), LINE).filter(F.col("near").isNotNull() | (F.struct(*PLACE) != F.col("first")))
     gone = common.written(gone.groupBy("id", "mark").agg(F.collect_set("pos").alias("gone")), "gone")
     size = gone.agg(F.sum(24 + 4 * F.size("gone"))).first()[0] or 0
-    rows = keyed.join(_small(gone, size), ["id", "mark"], "left")
-    split = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains("gone", i)), "\n"))
+    rows = keyed.join(_small(gone, size), ["id", "mark"], "left").withColumn("own_lines", F.split("text", "\n"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("own_lines") - 1), "gone")  # by hash, in order
+    left = F.array_join(F.transform(places, lambda i: F.get("own_lines", i)), "\n")
     return rows.select(
         F.col("own").alias("doc_id"),
         "carried",
-        F.size(split).cast("long").alias("n_lines"),
+        F.size("own_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        kept.alias("kept"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("kept"),
     )

@@ -134,14 +134,13 @@ ORACLES = {
                    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
             FROM documents),
         worded AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines),
-        long AS (SELECT * FROM worded WHERE len(w) >= 5),
-        firsts AS (SELECT w, min(struct_pack(d := doc_id, p := pos)) AS f FROM long GROUP BY w),
+        firsts AS (SELECT w, min(struct_pack(d := doc_id, p := pos)) AS f FROM worded WHERE len(w) >= 1 GROUP BY w),
         halves AS (
             SELECT w, f, unnest([
                 'f' || array_to_string(w[1:len(w) // 2], ' '), 'f' || array_to_string(w[1:(len(w) - 1) // 2], ' '),
                 'l' || array_to_string(w[len(w) - len(w) // 2 + 1:], ' '),
                 'l' || array_to_string(w[len(w) - (len(w) - 1) // 2 + 1:], ' ')]) AS half
-            FROM firsts),
+            FROM firsts WHERE len(w) >= 5),
         pairs AS (
             SELECT DISTINCT x.w AS a, y.w AS b FROM halves x JOIN halves y USING (half)
             WHERE y.f < x.f AND abs(len(x.w) - len(y.w)) <= 1),
@@ -151,7 +150,7 @@ ORACLES = {
                OR (len(a) = len(b) + 1 AND len(list_filter(range(1, len(a) + 1), lambda i: list_concat(a[1:i - 1], a[i + 1:]) = b)) > 0)
                OR (len(b) = len(a) + 1 AND len(list_filter(range(1, len(b) + 1), lambda i: list_concat(b[1:i - 1], b[i + 1:]) = a)) > 0)),
         told AS (
-            SELECT worded.*, len(w) >= 5 AND (w IN (SELECT w FROM near) OR struct_pack(d := doc_id, p := pos) <> f) AS gone
+            SELECT worded.*, len(w) >= 1 AND (w IN (SELECT w FROM near) OR struct_pack(d := doc_id, p := pos) <> f) AS gone
             FROM worded LEFT JOIN firsts USING (w))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(gone, false)) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256
