@@ -61,10 +61,12 @@ def _variants(lines: DataFrame) -> DataFrame:
     A sequence's hash is the sum of its words' hashes by place, so one running sum per line gives all variants: words
     ahead of the missing one keep their place, those behind it move up. Lines of any length cost the same per word.
     """
-    words = lines.select(*PLACE, *LINE, F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    # whole lines are shuffled, eight bytes a word; their words' rows are already where the sums need them
+    words = lines.repartition(*LINE).select(*PLACE, *LINE, F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     here, moved = _halved(F.xxhash64("word", "i")), _halved(F.xxhash64("word", F.col("i") - 1))
-    line = Window.partitionBy(*LINE)
-    ahead = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy(*LINE).orderBy("i")
+    ahead = line.rowsBetween(Window.unboundedPreceding, -1)
+    line = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     words = words.select("*", *(c.alias(f"here{k}") for k, c in enumerate(here)), *(c.alias(f"moved{k}") for k, c in enumerate(moved)))
     none = F.lit(0).cast("long")
     summed = words.select(
