@@ -30,6 +30,26 @@ def save_facts(df: DataFrame, path: str, partition_by: Sequence[str] = ("expt",
     rows.write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 
+def save_bucketed(
+    df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None, hot_factor: float = 4.0
+) -> bool:
+    """Write a fact table to the catalog, one sorted file per bucket of ``keys``; whether it was bucketed.
+
+    Summaries and pivots by the keys (or by more columns, the keys among them), and lookups with
+    ``na_matches="never"`` between tables of the same buckets, then read ``spark.table(name)`` without an exchange of
+    rows. A bucket is one task, so a key must not outgrow it: when one holds more than ``hot_factor`` even buckets
+    of rows, the table is written plain, and its summaries combine on the map side as always. Missing keys are
+    a key. ``path`` places the files outside the warehouse.
+    """
+    rows = written(df)
+    per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    most, total = per_key.agg(F.max("_rows"), F.sum("_rows")).first()
+    even = (most or 0) * buckets <= hot_factor * (total or 0)
+    writer = (rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys) if even else rows.write).mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return even
+
+
 def save_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
