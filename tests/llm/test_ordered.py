@@ -40,6 +40,17 @@ def test_edges_and_small_groups(spark, monkeypatch):
         assert {r.doc_id: r.edited for r in ordered.fingerprints(frame).collect()} == edited(rows)
 
 
+def test_ids_far_apart(spark):
+    rng = random.Random(6)
+    ids = [-(1 << 62), *(rng.randrange(-(1 << 60), 1 << 60) for _ in range(600)), *(i << 21 for i in range(300))]
+    rows = [(d, " ".join(rng.choice("abcd") for _ in range(6))) for d in ids]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.edited for r in ordered.fingerprints(frame).collect()} == edited(rows)
+    borders = ordered._borders(frame.selectExpr("doc_id id", "xxhash64(text) mark", f"shiftright(doc_id, {ordered.GROUP_BITS}) group"))
+    text = borders._jdf.queryExecution().executedPlan().toString()
+    assert borders.count() >= 600 and text.count("Exchange SinglePartition") == 1  # of one row per range
+
+
 def test_one_row_no_row_null_ids_and_names(spark):
     assert ordered.fingerprints(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     one = ordered.fingerprints(spark.sql("select 1L doc_id, 'abcd' text, 'x' id, 'y' mark, 'z' copy")).first()

@@ -97,15 +97,23 @@ def printed(signature: str) -> Column:
 def _borders(ids: DataFrame) -> DataFrame:
     """For each group of neighbouring ids the row that follows its last one, descending: (from_group, id, mark).
 
-    Groups are ranked within groups of groups, so no task sorts more than a 2^-20th of the rows, ids being unique.
+    Groups are ranked within groups of groups, and these within ranges of even size, so no task sorts more than its
+    range, however far apart ids are; one row per range is ranked in one task.
     """
     groups = common.written(ids.groupBy("group").agg(F.max(F.struct("id", "mark")).alias("head")), "groups")
     wide = F.shiftright("group", GROUP_BITS)
     over = Window.partitionBy("wide").orderBy(F.desc("group"))
     inner = groups.withColumn("wide", wide).withColumn("next", F.lead("head").over(over))
     wides = groups.withColumn("wide", wide).groupBy("wide").agg(F.max_by("head", "group").alias("head"))
-    every = Window.orderBy(F.desc("wide"))
-    outer = wides.withColumn("after", F.coalesce(F.lead("head").over(every), F.first("head").over(every))).drop("head")
+    # ids far apart make a group of groups of every row: these are ranked by ranges, and one row per range crosses over
+    wides = wides.repartitionByRange(F.desc("wide")).withColumn("part", F.spark_partition_id())
+    wides = common.written(wides, "wides")
+    every = Window.orderBy("part")
+    parts = wides.groupBy("part").agg(F.max_by("head", "wide").alias("head"))
+    parts = parts.select("part", F.coalesce(F.lead("head").over(every), F.first("head").over(every)).alias("beyond"))
+    inside = Window.partitionBy("part").orderBy(F.desc("wide"))
+    outer = wides.withColumn("after", F.lead("head").over(inside)).join(parts, "part")
+    outer = outer.select("wide", F.coalesce("after", "beyond").alias("after"))
     joined = inner.join(outer, "wide").withColumn("next", F.coalesce("next", "after"))
     return joined.select(F.col("group").alias("from_group"), F.col("next.id").alias("id"), F.col("next.mark").alias("mark"))
 
