@@ -123,3 +123,38 @@ def test_gradients(small):
         p[at] = old
         assert abs((up - down) / 2e-2 - g[at]) < 0.03 * abs(g[at]) + 1e-3, name
     model.tables = None
+
+
+def test_every_training_text_is_learnt_whole(spark, monkeypatch):
+    """No sample: each window of each training text is learnt once a pass, and neighbours are counted over all of them."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef gh", "Xyz"]) for _ in range(rng.choice([0, 5, 900])))) for i in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = pa.array([t for _, t in rows])
+    coder = lm.subwords_of(PATH)
+    offsets, codes, distinct, _ = common.word_codes(texts, lower=True)
+    stream, starts = lm.sequences(offsets, codes, *coder.of(distinct.to_pylist()), coder.end)
+    windows = int((-(-np.diff(starts) // lm.STRIDE)).sum())
+    counts = frame.selectExpr("explode(split(lower(text), ' ')) word").filter("word <> ''").groupBy("word").agg({"*": "count"}).toDF("word", "c")
+    for least, passes in ((0, 1), (3 * len(stream) / lm.STRIDE - 1, 3)):
+        monkeypatch.setattr(lm, "LEAST_WINDOWS", least)
+        assert lm.train(frame, counts, len(rows), PATH).windows_learnt == passes * windows
+    totals = np.bincount(stream, minlength=coder.end + 1).astype(float)
+    met = np.zeros(lm._beside(stream, totals).size)
+    one = frame.coalesce(1).orderBy("doc_id").select("text")
+    for r in one.mapInArrow(lm._neighbours(PATH, totals), "cell long, n long").collect():
+        met[r.cell] += r.n
+    assert met.sum() > 1.9 * len(stream) and met.tolist() == lm._beside(stream, totals).ravel().tolist()
+
+
+def test_words_encoded_together_equal_words_alone():
+    rng = random.Random(8)
+    letters = "abcdeZ019'_-.!,éßжक्中́  \x85\x1c😀𐍈"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(9000)} | {"x" * 500, "'s", "I'll", "　"})
+    words = [w for w in words if brute.words(w) == [w]]
+    coder = lm.Subwords(PATH)
+    ids, first, counts = coder.of(words)
+    again = coder.of(words)
+    assert again[0].tolist() == ids.tolist()
+    for w, a, n in zip(words, first, counts, strict=True):
+        assert ids[a : a + n].tolist() == coder.coder.encode_ordinary(" " + w), repr(w)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -22,6 +23,8 @@ from trialstats.session import shared_dir
 WHITE = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: A space that is no token start: white space on its left, and white space or the end on its right.
 UNCUT = f"[{WHITE}] ([{WHITE}]|$)"
+#: The same for Python's ``re``.
+WHITE_CLASS = "[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), WHITE) + "]"
 BATCH_BYTES = 4 << 20
 MASK64 = (1 << 64) - 1
 

@@ -6,9 +6,11 @@ ever gathered in one place.
 
 Attention model. A text is its words' subword ids and an end. The next id's probability is that of its class, given
 the ids before, times that of the id within its class. The second factor comes from the counts of all training words;
-the first from one layer of causal self-attention with learnt weights by distance, trained in numpy on a bounded
-sample of training texts. Texts are scored in windows of OVERLAP + STRIDE ids, of which the last STRIDE are scored:
-every id once, with at least OVERLAP ids before it where the text has so many.
+the first from one layer of causal self-attention with learnt weights by distance. Classes come from which ids stand
+beside an id in all training texts. The layer learns from every id of every training text: in rounds, each over a share of the texts
+by hash, every task takes numpy steps from the same weights over its texts, and the mean of the tasks' weights opens the
+next round. Texts are learnt and scored in windows of OVERLAP + STRIDE ids, of which the last STRIDE count: every id
+once, with at least OVERLAP ids before it where the text has so many.
 
 Defined results: a null text is empty and scores its end. Without training rows the word model's score is 0 and every
 id is equally likely. Repeated rows give equal rows. Other columns are not read, whatever their names.
@@ -16,6 +18,7 @@ id is equally likely. Repeated rows give equal rows. Other columns are not read,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +27,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,22 +36,31 @@ from trialstats.llm.bpe import read_ranks
 
 #: Words whose counts travel to every task: at most this many, whatever the corpus.
 HEAD = 1 << 17
-#: Bound of the sample that the attention model learns from: at most twice so many pieces of texts, and code points of each.
-SAMPLE = 3200
-PIECE = 1200
 OVERLAP = 8
 STRIDE = 24
 WIDTH = 16
 HIDDEN = 24
-#: Classes, in GROUPS groups of as many: the most frequent ids alone, then clusters, then two for ids that the sample
-#: lacks. A class's probability is its group's times its own within the group, so 2 * GROUPS terms are summed per id.
+#: Classes, in GROUPS groups of as many: the most frequent ids alone, then clusters, then two for ids that training texts
+#: hold less than three times. A class's probability is its group's times its own within the group, so 2 * GROUPS terms are summed per id.
 GROUPS = 16
 ALONE = 128
 CLUSTERS = GROUPS * GROUPS - ALONE - 2
 ROWS = 4096
-EPOCHS = 4
-LEAST_STEPS = 1200
+#: Ids whose places beside others tell classes.
+MARKS = 96
+#: The weights of all tasks are averaged so often, each time after a share of the training texts; together the shares are all.
+ROUNDS = 4
+#: Windows of one step, and those held and mixed at once.
+STEP = 256
+MIXED = 1 << 15
+#: Tables with fewer windows are gone over several times; a task has a share of windows that makes it worth its own weights.
+LEAST_WINDOWS = 1200 * 128
+LEAST_OF_TASK = 50_000
+RATE = 6e-3
 CACHED = 600_000
+#: New words encoded at once.
+JOINED = 4096
+TRAIN_BYTES = 2 << 20
 SOME_WINDOWS = 512
 
 
@@ -59,20 +72,34 @@ class Subwords:
         self.coder = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
         self.known: dict[str, bytes] = {}
+        self.sizes = np.zeros(self.end, np.int64)
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
+        self.odd = re.compile(common.WHITE_CLASS).search
+
+    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of distinct words. Words without white space are encoded as joined texts, and the ids cut where a word's bytes end."""
+        plain = []
+        for w in words:
+            if self.odd(w):
+                yield w, np.array(self.coder.encode_ordinary(" " + w), "<u4").tobytes()
+            else:
+                plain.append(w)
+        for lo in range(0, len(plain), JOINED):
+            some = plain[lo : lo + JOINED]
+            ids = np.array(self.coder.encode_ordinary(" " + " ".join(some)), "<u4")
+            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+            cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="right")).tolist()
+            blob = ids.tobytes()
+            yield from zip(some, map(blob.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True)
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all words, first place of each word, number of each word's ids)."""
-        known, encode = self.known, self.coder.encode_ordinary
+        known = self.known
         if len(known) > CACHED:
             known.clear()
-        out = []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = np.array(encode(" " + w), "<u4").tobytes()
-                if len(w) <= 64:
-                    known[w] = ids
-            out.append(ids)
+        new = dict(self._new([w for w in words if w not in known]))
+        out = [known[w] if w in known else new[w] for w in words]
+        known.update((w, ids) for w, ids in new.items() if len(w) <= 64)
         counts = np.fromiter(map(len, out), np.int64, len(out)) // 4
         return np.frombuffer(b"".join(out), "<u4").astype(np.int64), np.cumsum(counts) - counts, counts
 
@@ -102,18 +129,30 @@ class Classes:
     rows: int
 
 
-def _beside(stream: np.ndarray, ids: np.ndarray, marks: np.ndarray, n: int) -> np.ndarray:
-    """Unit vectors: how often each of ``marks`` (and any other id) stands before and behind each of ``ids``."""
-    mark = np.full(n, len(marks))
-    mark[marks] = np.arange(len(marks))
-    place = np.full(n, -1)
-    place[ids] = np.arange(len(ids))
-    out = np.zeros((len(ids), 2 * len(marks) + 2), np.float32)
-    for here, there, shift in ((stream[1:], stream[:-1], 0), (stream[:-1], stream[1:], len(marks) + 1)):
+def _cells(stream: np.ndarray, place: np.ndarray, mark: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The cells (row of an id, column of a mark before or behind it) that a stream's neighbours fall in."""
+    for here, there, shift in ((stream[1:], stream[:-1], 0), (stream[:-1], stream[1:], width // 2)):
         at = place[here] >= 0
-        np.add.at(out, (place[here[at]], mark[there[at]] + shift), 1)
-    out = np.sqrt(out)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        yield place[here[at]] * width + mark[there[at]] + shift
+
+
+def _placed(totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(ids met three times by frequency, each id's row among them or -1, its mark, the number of columns)."""
+    ranked = np.argsort(-totals, kind="stable")
+    known = ranked[: int((totals >= 3).sum())]
+    place, mark = np.full(len(totals), -1), np.full(len(totals), MARKS)
+    place[known] = np.arange(len(known))
+    mark[ranked[:MARKS]] = np.arange(MARKS)
+    return known, place, mark, 2 * MARKS + 2
+
+
+def _beside(stream: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """How often each mark (and any other id) stands before and behind each known id, in one stream."""
+    known, place, mark, width = _placed(totals)
+    out = np.zeros(len(known) * width, np.float32)
+    for cells in _cells(stream, place, mark, width):
+        np.add.at(out, cells, 1)
+    return out.reshape(len(known), width)
 
 
 def _clusters(vectors: np.ndarray, weight: np.ndarray, seed: int) -> np.ndarray:
@@ -128,19 +167,20 @@ def _clusters(vectors: np.ndarray, weight: np.ndarray, seed: int) -> np.ndarray:
     return (vectors @ centres.T).argmax(1)
 
 
-def classed(stream: np.ndarray, totals: np.ndarray, spaced: np.ndarray, seed: int = 3) -> Classes:
-    """Classes from a sample's neighbours (k-means on which frequent ids stand beside an id), weights from ``totals``."""
-    n = len(totals)
-    seen = np.bincount(stream, minlength=n)
-    ranked = np.argsort(-seen, kind="stable")
+def classed(stream: np.ndarray | None, totals: np.ndarray, spaced: np.ndarray, seed: int = 3, beside: np.ndarray | None = None) -> Classes:
+    """Classes from neighbours (k-means on which frequent ids stand beside an id), weights from ``totals``.
+
+    ``beside`` holds the neighbours' counts; they are those in ``stream`` by default.
+    """
+    known = _placed(totals)[0]
     size = GROUPS * GROUPS
     of = np.where(spaced, size - 2, size - 1)
-    known = ranked[: int((seen >= 3).sum())]
     if len(known) < ALONE + CLUSTERS:
         of[known] = np.arange(len(known)) % (size - 2)
     else:
-        beside = _beside(stream, known, ranked[:96], n)
-        weight = seen[known].astype(np.float32)
+        beside = np.sqrt(_beside(stream, totals) if beside is None else beside)
+        beside /= np.maximum(np.linalg.norm(beside, axis=1, keepdims=True), 1e-9)
+        weight = totals[known].astype(np.float32)
         own = np.arange(len(known))
         own[ALONE:] = ALONE + _clusters(beside[ALONE:], weight[ALONE:], seed)
         # classes whose ids stand beside the same ids share a group
@@ -153,6 +193,7 @@ def classed(stream: np.ndarray, totals: np.ndarray, spaced: np.ndarray, seed: in
     mass = totals + 0.1
     within = np.log10(mass / np.bincount(of, mass, size)[of])
     row = ROWS + of
+    ranked = np.argsort(-totals, kind="stable")
     row[ranked[:ROWS]] = np.arange(ROWS)
     return Classes(of.astype(np.int16), within.astype(np.float32), row.astype(np.int64), size, ROWS + size + 1)
 
@@ -179,6 +220,7 @@ class Attention:
         at = np.arange(OVERLAP, OVERLAP + STRIDE)[:, None] - np.arange(OVERLAP + STRIDE)
         self.distance, self.ahead = np.maximum(at, 0), at < 0
         self.tables: tuple | None = None
+        self.windows_learnt = 0
 
     def windows(self, stream: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(input rows, ids to score or -1, text) of every window. ``end`` opens each text; the last row pads."""
@@ -194,105 +236,147 @@ class Attention:
         rows = np.where((source < -1) | (source >= sizes[text][:, None]), self.classes.rows - 1, self.classes.row[ids])
         return rows, goals, text
 
-    def fit(self, rows: np.ndarray, goals: np.ndarray, epochs: int = EPOCHS, size: int = 128, rate: float = 6e-3, seed: int = 2) -> Attention:
-        rng = np.random.default_rng(seed)
-        moments = {n: (np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))) for n in self.NAMES}
-        epochs = max(epochs, -(-LEAST_STEPS * size // max(1, len(rows))))
-        steps = max(1, epochs * -(-len(rows) // size))
-        step = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(rows))
-            for at in range(0, len(order), size):
-                step += 1
-                _, grads = self.gradients(rows[order[at : at + size]], goals[order[at : at + size]])
-                pace = rate * (1 - step / (steps + 1)) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                for n, (m, v) in moments.items():
-                    m += 0.1 * (grads[n] - m)
-                    v += 0.01 * (grads[n] ** 2 - v)
-                    getattr(self, n)[...] -= pace * m / (np.sqrt(v) + 1e-7)
+    def state(self) -> np.ndarray:
+        """All weights in a row."""
+        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+
+    def load(self, state: np.ndarray) -> Attention:
+        at = 0
+        for n in self.NAMES:
+            p = getattr(self, n)
+            p[...] = state[at : at + p.size].reshape(p.shape)
+            at += p.size
         self.tables = None
         return self
 
+    def fit(self, rows: np.ndarray, goals: np.ndarray, rate: float, moments: dict, rng: np.random.Generator) -> None:
+        """One pass over the windows in mixed order; ``moments`` carry over from pass to pass."""
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), STEP):
+            some = order[at : at + STEP]
+            _, grads = self.gradients(rows[some], goals[some])
+            moments["step"] = step = moments.get("step", 0) + 1
+            pace = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+            for n in self.NAMES:
+                m, v = moments.setdefault(n, (np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))))
+                m += 0.1 * (grads[n] - m)
+                v += 0.01 * (grads[n] ** 2 - v)
+                getattr(self, n)[...] -= pace * m / (np.sqrt(v) + 1e-7)
+        self.tables = None
+
     def gradients(self, rows: np.ndarray, goals: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy of the goals' classes, and its gradients."""
-        x = self.embed[rows]
-        mine = x[:, OVERLAP:]
-        q, k, v = mine @ self.query, x @ self.key, x @ self.value
-        a = q @ k.transpose(0, 2, 1) * WIDTH**-0.5 + self.near[self.distance]
-        a = np.where(self.ahead | (rows == self.classes.rows - 1)[:, None, :], -1e9, a)
-        a = np.exp(a - a.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
-        o = a @ v
+        n, places = rows.shape
+        x = self.embed[rows.ravel()]
+        mine = np.ascontiguousarray(x.reshape(n, places, WIDTH)[:, OVERLAP:]).reshape(-1, WIDTH)
+        q = (mine @ self.query * WIDTH**-0.5).reshape(n, -1, WIDTH)
+        k, v = (x @ self.key).reshape(n, places, WIDTH), (x @ self.value).reshape(n, places, WIDTH)
+        a = q @ k.transpose(0, 2, 1)
+        a += np.where(self.ahead, np.float32(-1e9), self.near[self.distance])
+        pads = np.flatnonzero((rows == self.classes.rows - 1).any(1))
+        a[pads] += np.where(rows[pads] == self.classes.rows - 1, np.float32(-1e9), np.float32(0))[:, None, :]
+        a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+        a /= (a.reshape(-1, places) @ np.ones(places, np.float32)).reshape(n, -1, 1)
+        o = (a @ v).reshape(-1, WIDTH)
         h = np.tanh(mine @ self.own + o @ self.seen + self.bias)
-        h, dh = h.reshape(-1, HIDDEN), np.zeros((h.size // HIDDEN, HIDDEN), np.float32)
         real = np.flatnonzero(goals.ravel() >= 0)
-        wanted = self.classes.of[goals.ravel()[real]].astype(np.int64)
+        wanted = self.classes.of[goals.ravel()[real]]
+        order = np.argsort((wanted // GROUPS).astype(np.int8), kind="stable")
+        real, wanted = real[order], wanted[order].astype(np.int64)
+        told, dtold = h[real], np.zeros((len(real), HIDDEN), np.float32)
         g = {n: np.zeros_like(getattr(self, n)) for n in ("out", "shift", "inner", "inner_shift")}
-        parts = [(real, wanted // GROUPS, self.out, self.shift, g["out"], g["shift"])]
-        for group in range(GROUPS):
-            at = wanted // GROUPS == group
-            parts.append((real[at], wanted[at] % GROUPS, self.inner[group], self.inner_shift[group], g["inner"][group], g["inner_shift"][group]))
-        loss = 0.0
+        cuts = np.searchsorted(wanted // GROUPS, np.arange(GROUPS + 1)).tolist()
+        parts = [(slice(0, len(real)), wanted // GROUPS, self.out, self.shift, g["out"], g["shift"])]
+        for group, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            parts.append((slice(lo, hi), wanted[lo:hi] % GROUPS, self.inner[group], self.inner_shift[group], g["inner"][group], g["inner_shift"][group]))
+        loss, ones = 0.0, np.ones(GROUPS, np.float32)
         for at, choice, weights, shift, d_weights, d_shift in parts:
-            z = h[at] @ weights + shift
-            p = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
-            p /= p.sum(1, keepdims=True)
-            loss -= float(np.log(p[np.arange(len(at)), choice] + 1e-12).sum())
-            p[np.arange(len(at)), choice] -= 1
-            p /= max(1, len(real))
-            d_weights += h[at].T @ p
-            d_shift += p.sum(0)
-            dh[at] += p @ weights.T
-        loss /= max(1, len(real))
-        dh = (dh * (1 - h * h)).reshape(*goals.shape, HIDDEN)
-        g |= {"own": np.einsum("bsw,bsh->wh", mine, dh), "seen": np.einsum("bsw,bsh->wh", o, dh), "bias": dh.sum((0, 1))}
+            if not len(choice):
+                continue
+            p = told[at] @ weights
+            p += shift
+            if max(p.max(), -p.min()) > 40:
+                p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p /= (p @ ones)[:, None]
+            chosen = np.arange(len(choice)) * GROUPS + choice
+            loss -= float(np.log(p.ravel()[chosen] + 1e-12).sum())
+            p.ravel()[chosen] -= 1
+            d_weights += told[at].T @ p
+            d_shift += np.ones(len(p), np.float32) @ p
+            dtold[at] += p @ weights.T
+        scale = np.float32(1 / max(1, len(real)))
+        loss *= float(scale)
+        dtold *= scale
+        for total in g.values():
+            total *= scale
+        dh = np.zeros_like(h)
+        dh[real] = dtold * (1 - told * told)
+        g |= {"own": mine.T @ dh, "seen": o.T @ dh, "bias": dh.sum(0)}
         do, dmine = dh @ self.seen.T, dh @ self.own.T
-        dv = a.transpose(0, 2, 1) @ do
-        da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
+        mean = np.einsum("ij,ij->i", do, o).reshape(n, -1, 1)
+        do = do.reshape(n, -1, WIDTH)
+        dv = (a.transpose(0, 2, 1) @ do).reshape(-1, WIDTH)
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= mean
+        ds *= a
         g["near"] = np.bincount(self.distance.ravel(), ds.sum(0).ravel(), OVERLAP + STRIDE)
-        dq, dk = ds @ k * WIDTH**-0.5, ds.transpose(0, 2, 1) @ q * WIDTH**-0.5
-        g |= {"query": np.einsum("bsw,bsx->wx", mine, dq), "key": np.einsum("btw,btx->wx", x, dk), "value": np.einsum("btw,btx->wx", x, dv)}
+        dq = (ds @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
+        dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+        g |= {"query": mine.T @ dq, "key": x.T @ dk, "value": x.T @ dv}
         dx = dk @ self.key.T + dv @ self.value.T
-        dx[:, OVERLAP:] += dmine + dq @ self.query.T
+        dx.reshape(n, places, WIDTH)[:, OVERLAP:] += (dmine + dq @ self.query.T).reshape(n, -1, WIDTH)
+        order = np.argsort(rows.ravel().astype(np.int16), kind="stable")
+        met = rows.ravel()[order]
+        heads = np.flatnonzero(np.append(True, np.diff(met) != 0))
         g["embed"] = np.zeros_like(self.embed)
-        np.add.at(g["embed"], rows.ravel(), dx.reshape(-1, WIDTH))
+        g["embed"][met[heads]] = np.add.reduceat(dx[order], heads, axis=0)
         return float(loss), g
 
     def class_logs(self, rows: np.ndarray, goals: np.ndarray) -> np.ndarray:
         """log10 probability of each goal's class (0 where there is no goal)."""
         if self.tables is None:
-            # the pad row's keys get a weight of nothing through a large negative extra component
+            # the pad row's keys get a weight of nothing through a large negative extra component; sums come from a column of ones
             extra = np.zeros((self.classes.rows, 1), np.float32)
             extra[-1] = -1e4
             ones = np.ones((self.classes.rows, 1), np.float32)
+            query, key = self.embed @ self.query * WIDTH**-0.5, self.embed @ self.key
+            near = np.where(self.ahead, np.float32(-1e4), self.near[self.distance]).astype(np.float32)
+            most = np.linalg.norm(query, axis=1).max() * np.linalg.norm(key, axis=1).max() + np.abs(self.near).max()
+            safe = most < 40  # no exponential leaves float32's range, so the maximum needn't be taken off
             self.tables = (
-                np.concatenate([self.embed @ self.query * WIDTH**-0.5, ones], 1),
-                np.concatenate([self.embed @ self.key, extra], 1),
-                self.embed @ self.value @ self.seen,
+                np.concatenate([query, ones], 1),
+                np.concatenate([key, extra], 1),
+                np.concatenate([self.embed @ self.value @ self.seen, ones], 1),
                 self.embed @ self.own + self.bias,
-                np.where(self.ahead, np.float32(-1e4), self.near[self.distance]).astype(np.float32),
+                near,
+                safe,
             )
-        query, key, value, own, near = self.tables
+        query, key, value, own, near, safe = self.tables
         mine = rows[:, OVERLAP:]
         a = query[mine] @ key[rows].transpose(0, 2, 1)
         a += near
-        a -= a.max(2, keepdims=True)
+        if not safe:
+            a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
         o = a @ value[rows]
-        o /= a.sum(2, keepdims=True)
-        o += own[mine]
-        np.tanh(o, out=o)
-        h = o.reshape(-1, HIDDEN)
+        h = o[:, :, :HIDDEN] / o[:, :, HIDDEN:]
+        h += own[mine]
+        np.tanh(h, out=h)
+        h = h.reshape(-1, HIDDEN)
         real = np.flatnonzero(goals.ravel() >= 0)
-        wanted = self.classes.of[goals.ravel()[real]].astype(np.int64)
-        order = np.argsort(wanted // GROUPS, kind="stable")
-        real, wanted = real[order], wanted[order]
-        out = np.zeros(goals.size, np.float32)
-        out[real] = _log_share(h[real] @ self.out + self.shift, wanted // GROUPS)
-        cuts = np.searchsorted(wanted // GROUPS, np.arange(GROUPS + 1))
+        wanted = self.classes.of[goals.ravel()[real]]
+        order = np.argsort((wanted // GROUPS).astype(np.int8), kind="stable")
+        real, wanted = real[order], wanted[order].astype(np.int64)
+        told = h[real]
+        group = wanted // GROUPS
+        logs = _log_share(told @ self.out + self.shift, group)
+        cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            out[real[a:b]] += _log_share(h[real[a:b]] @ self.inner[k] + self.inner_shift[k], wanted[a:b] % GROUPS)
+            logs[a:b] += _log_share(told[a:b] @ self.inner[k] + self.inner_shift[k], wanted[a:b] % GROUPS)
+        out = np.zeros(goals.size, np.float32)
+        out[real] = logs
         return (out / np.log(10)).reshape(goals.shape)
 
     def score(self, stream: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
@@ -308,8 +392,10 @@ class Attention:
 
 
 def _log_share(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True, initial=-np.inf)
-    return z[np.arange(len(z)), choice] - np.log(np.exp(z).sum(1))
+    if len(z) and max(z.max(), -z.min()) > 40:
+        z -= z.max(1, keepdims=True)
+    chosen = z.ravel()[np.arange(len(z)) * z.shape[1] + choice]
+    return chosen - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,28 +437,85 @@ def head_words(counts: DataFrame, size: int | None = None) -> DataFrame:
     return counts.filter(level >= least) if least is not None else counts.limit(0)
 
 
+def _streams(batches: Iterator[pa.RecordBatch], coder: Subwords) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for some in common.slices(batch, limit=TRAIN_BYTES):
+            offsets, codes, distinct, _ = common.word_codes(some.column("text"), lower=True)
+            yield sequences(offsets, codes, *coder.of(distinct.to_pylist()), coder.end)
+
+
+def _neighbours(path: str, totals: np.ndarray):
+    """A task's counts of marks beside known ids."""
+    known, place, mark, width = _placed(totals)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(known) * width, np.int32)
+        for stream, _ in _streams(batches, subwords_of(path)):
+            for cells in _cells(stream, place, mark, width):
+                np.add.at(out, cells, np.int32(1))
+        at = np.flatnonzero(out)
+        for lo in range(0, len(at), 100_000):
+            some = at[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some].astype(np.int64))], ["cell", "n"])
+
+    return run
+
+
+LEARNT = "slot int, n long, state binary"
+
+
+def _learnt(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    slots, n, states = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(n, pa.int64()), pa.array([x.astype("<f8").tobytes() for x in states], pa.binary())], ["slot", "n", "state"])
+
+
+def _round(path: str, classes: Classes, state: np.ndarray, passes: int, rate: float):
+    """A task's weights after its texts, times the number of its windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, coder, rng, moments = Attention(classes).load(state), subwords_of(path), np.random.default_rng(2), {}
+        held, count, total = [], 0, 0
+
+        def learn() -> None:
+            rows, goals = (np.concatenate(c) for c in zip(*held, strict=True))
+            for _ in range(passes):
+                model.fit(rows, goals, rate, moments, rng)
+
+        for stream, starts in _streams(batches, coder):
+            rows, goals, _ = model.windows(stream, starts, coder.end)
+            for lo in range(0, len(rows), MIXED):
+                held.append((rows[lo : lo + MIXED].astype(np.int16), goals[lo : lo + MIXED].astype(np.int32)))
+                count += len(held[-1][0])
+                if count >= MIXED:
+                    learn()
+                    held, count, total = [], 0, total + count
+        if count:
+            learn()
+        if total + count:
+            yield _learnt([(TaskContext.get().partitionId(), total + count, model.state().astype(np.float64) * (total + count))])
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the tasks' weights."""
+    n, total = 0, None
+    for batch in batches:
+        for k, state in zip(batch.column("n").to_pylist(), batch.column("state").to_pylist(), strict=True):
+            n += k
+            total = np.frombuffer(state, "<f8") + (0 if total is None else total)
+    if n:
+        yield _learnt([(0, n, total)])
+
+
 def train(plain: DataFrame, counts: DataFrame, documents: int, path: str) -> Attention | None:
-    """The model from training texts and the counts of all their words. Driver: SAMPLE pieces and one number per id."""
+    """The model from all training texts. Driver: one number per id, neighbours' counts, and weights of at most 16 groups of tasks.
+
+    Its ``windows_learnt`` counts the windows of all rounds.
+    """
     if not documents:
         return None
     coder = subwords_of(path)
-    # a hash of the text picks documents; pieces lie evenly over a text, the last of them at its end
-    # so few rows pass the first condition that no task sends many
-    draws = F.xxhash64("text", "doc_id", F.lit(1))
-    some = plain.filter(F.pmod(draws, F.lit(1 << 30)) < F.lit(min(1.0, 2 * SAMPLE / documents)) * (1 << 30))
-    picked = some.orderBy(draws, "doc_id").limit(SAMPLE)
-    each = -(-SAMPLE // min(SAMPLE, documents))
-    room = F.greatest(F.char_length("text") - PIECE, F.lit(0))
-    draw = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(2))  # one piece a text: its beginning or its end
-    places = F.transform(F.sequence(F.lit(1), F.lit(each)), lambda k: F.floor(room * (k / each if each > 1 else draw)).cast("int"))
-    pieces = picked.select("text", room.alias("room"), F.explode(F.array_distinct(places)).alias("place"))
-    pieces = pieces.select(F.expr(f"substring(text, place + 1, {PIECE})").alias("piece"), (F.col("place") > 0).alias("cut"), (F.col("place") >= F.col("room")).alias("last"))
-    pieces = pieces.limit(2 * SAMPLE).toPandas()
-    texts, lasts = [], pieces["last"].to_numpy(bool)
-    for piece, cut in zip(pieces["piece"], pieces["cut"], strict=True):
-        texts.append(piece.split(" ", 1)[-1] if cut else piece)
-    offsets, codes, distinct, _ = common.word_codes(pa.array(texts, pa.string()), lower=True)
-    stream, starts = sequences(offsets, codes, *coder.of(distinct.to_pylist()), coder.end)
     rows = counts.mapInArrow(_id_counts(path), "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     totals = np.zeros(coder.end + 1)
     totals[rows["id"].to_numpy()] = rows["n"].to_numpy()
@@ -380,12 +523,27 @@ def train(plain: DataFrame, counts: DataFrame, documents: int, path: str) -> Att
     spaced = np.array([t[:1] == " " for t in map(lambda b: b.decode("latin-1"), coder.coder.token_byte_values())] + [False])
     order = np.argsort([coder.coder.encode_single_token(t) for t in coder.coder.token_byte_values()])
     spaced[: len(order)] = spaced[:-1][order]
-    model = Attention(classed(stream, totals, spaced))
-    inputs, goals, text = model.windows(stream, starts, coder.end)
-    ends = starts[1:][text] - 1  # an end that the piece doesn't really have isn't learnt
-    at = starts[:-1][text][:, None] + (np.arange(len(text)) - np.searchsorted(text, text))[:, None] * STRIDE + np.arange(STRIDE)
-    goals[(at == ends[:, None]) & ~lasts[text][:, None]] = -1
-    return model.fit(inputs, goals)
+    known, _, _, width = _placed(totals)
+    beside = np.zeros(len(known) * width, np.float32)
+    if len(known) >= ALONE + CLUSTERS:
+        met = plain.select("text").mapInArrow(_neighbours(path, totals), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        beside[met["cell"].to_numpy()] = met["n"].to_numpy()
+    classes = classed(None, totals, spaced, beside=beside.reshape(len(known), width))
+    model = Attention(classes)
+    # shares of a large table make one pass in all; a small one is gone over until it has given LEAST_WINDOWS
+    windows = totals.sum() / STRIDE
+    epochs = int(max(1, -(-LEAST_WINDOWS // windows)))
+    some = plain.select("text").coalesce(int(max(1, windows // LEAST_OF_TASK)))
+    for number in range(ROUNDS):
+        shares = {(number * min(epochs, ROUNDS) + i) % ROUNDS for i in range(min(epochs, ROUNDS))}
+        told = some.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(ROUNDS)).isin(*sorted(shares)))
+        learnt = told.mapInArrow(_round(path, classes, model.state(), -(-epochs // ROUNDS), RATE * (1 - number / ROUNDS)), LEARNT)
+        merged = learnt.repartition(16, "slot").sortWithinPartitions("slot").mapInArrow(_merged, LEARNT).toPandas()
+        if len(merged):
+            n = int(merged["n"].sum())
+            model.load(sum(np.frombuffer(x, "<f8") for x in merged["state"]) / n)
+            model.windows_learnt += n * -(-epochs // ROUNDS)
+    return model
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, word string, tf long"
