@@ -2,8 +2,9 @@ import random
 
 import brute
 import pandas as pd
+import pyarrow as pa
 
-from trialstats.llm import queries, substrings
+from trialstats.llm import common, queries, substrings
 
 
 def got(spark, rows, **options):
@@ -46,3 +47,15 @@ def test_shuffle_path_equals_broadcast_path(spark, monkeypatch):
     want = got(spark, rows)
     monkeypatch.setattr(substrings, "BROADCAST_BYTES", -1)
     assert got(spark, rows) == want == brute.without_repeats(rows)
+
+
+def test_word_hashes_by_lanes():
+    rng = random.Random(2)
+    values = sorted({"".join(rng.choice("ab\0é") for _ in range(rng.randint(0, 30))) for _ in range(5000)} | {"x" * n for n in (7, 8, 9, 16, 255, 256, 257, 600)} | {"a\0", "a", "a\0\0", "x" * 599 + "y"})
+    array = pa.array(values)
+    hashes = common.lane_hashes(array)
+    assert len(set(hashes.tolist())) == len(values)
+    assert common.lane_hashes(array[777:]).tolist() == hashes[777:].tolist()
+    order = rng.sample(range(len(values)), len(values))
+    assert common.lane_hashes(pa.array([values[i] for i in order])).tolist() == hashes[order].tolist()
+    assert len(common.lane_hashes(pa.array([], pa.string()))) == 0 and len(common.lane_hashes(pa.array(["", ""]))) == 2

@@ -26,6 +26,8 @@ UNCUT = f"[{WHITE}] ([{WHITE}]|$)"
 #: The same for Python's ``re``.
 WHITE_CLASS = "[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), WHITE) + "]"
 BATCH_BYTES = 4 << 20
+#: Longest value in bytes that ``lane_hashes`` takes with the others.
+LONG = 256
 MASK64 = (1 << 64) - 1
 
 
@@ -174,14 +176,19 @@ def token_bytes(texts: pa.Array, coder) -> Iterator[bytes]:
         yield ids[a:b].tobytes()
 
 
-def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """Words (runs without ASCII white space): (offsets per text, codes, distinct words, all words)."""
-    offsets, parts = _flat(pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts))
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Words (runs without ASCII white space): (offsets per text, all words)."""
+    offsets, parts = _flat(pc.ascii_split_whitespace(texts))
     full = pc.greater(pc.binary_length(parts), 0)
     kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))]).astype(np.int64)
-    words = parts.filter(full)
+    return kept[offsets], parts.filter(full)
+
+
+def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Words (runs without ASCII white space): (offsets per text, codes, distinct words, all words)."""
+    offsets, words = words_of(pc.ascii_lower(texts) if lower else texts)
     codes, distinct = _coded(words)
-    return kept[offsets], codes, distinct, words
+    return offsets, codes, distinct, words
 
 
 def hashes(values: pa.Array) -> np.ndarray:
@@ -190,6 +197,28 @@ def hashes(values: pa.Array) -> np.ndarray:
     return np.fromiter((digest(x) for x in values.cast(pa.binary()).to_pylist()), np.uint64, len(values))
 
 
+def lane_hashes(values: pa.Array) -> np.ndarray:
+    """64-bit hash of each value, eight bytes of all values at a time; values of over LONG bytes one by one."""
+    ends = np.frombuffer(values.buffers()[1], "<i4", len(values) + 1, 4 * values.offset).astype(np.int64)
+    starts, sizes = ends[:-1], np.diff(ends)
+    out = mixed(sizes.astype(np.uint64))
+    if not len(values) or not sizes.any():
+        return out
+    data = np.concatenate([np.frombuffer(values.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0]), np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    starts = starts - ends[0]
+    at = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+    done = 0
+    while len(at):
+        spare = np.maximum(0, done + 8 - sizes[at]).astype(np.uint64) * np.uint64(8)
+        out[at] = mixed(out[at] * np.uint64(0x9E3779B97F4A7C15) ^ (lanes[starts[at] + done] << spare))
+        done += 8
+        at = at[sizes[at] > done]
+    for i in np.flatnonzero(sizes > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(values[int(i)].cast(pa.binary()).as_py())
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (finalizer of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -87,13 +87,14 @@ def _sent(window: int, run: int, buckets: int):
         return some.filter(pa.array(np.append(True, (np.diff(ids) != 0) | (np.diff(marks) != 0))))
 
     def _slice(some: pa.RecordBatch, squeeze) -> Iterator[pa.RecordBatch]:
-        offsets, codes, distinct, words = common.word_codes(some.column("text"))
-        first, count, least = super_kmers(offsets, common.hashes(distinct)[codes], window, run)
+        offsets, words = common.words_of(some.column("text"))
+        first, count, least = super_kmers(offsets, common.lane_hashes(words), window, run)
         if not len(first):
             return
         lengths = pc.binary_length(words).to_numpy() + 1  # and a space
         ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        buffer = b" ".join(words.cast(pa.binary()).to_pylist()) + b" "
+        one = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words.cast(pa.large_binary()))
+        buffer = pc.binary_join(one, pa.scalar(b" ", pa.large_binary()))[0].as_py() + b" "
         row = np.searchsorted(offsets, first, side="right") - 1
         docs = some.column("doc_id").to_numpy()[row]
         marks = some.column("mark").to_numpy()[row]
@@ -148,8 +149,8 @@ def repeats(entries: np.ndarray, packed: bytes, window: int) -> Iterator[tuple[i
     ends = np.cumsum(entries[3])
     offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
     texts = pa.StringArray.from_buffers(len(ends), offsets.buffers()[1], pa.py_buffer(packed))
-    cuts, codes, distinct, _ = common.word_codes(texts)
-    words = common.hashes(distinct)[codes]
+    cuts, words = common.words_of(texts)
+    words = common.lane_hashes(words)
     at = np.flatnonzero(_starts(cuts, len(words), window))
     one, two = (_run_hash(words, window, s)[at] for s in _SEEDS)
     entry = np.searchsorted(cuts, at, side="right") - 1
