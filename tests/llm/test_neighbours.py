@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,17 @@ def test_few_rows_and_none(spark):
     assert collected(neighbours.nearest(few, F.col("id") % 20 == 0)) == {20: [(1, 0.5), (2, 0.0)]}
     assert neighbours.nearest(few.limit(0), F.col("id") % 20 == 0).collect() == []
     assert neighbours.nearest(few.filter("vec_id = 20"), F.col("id") % 20 == 0).collect() == []
+
+
+def test_expansion_takes_few_rows_at_once():
+    rng = np.random.default_rng(7)
+    n = 2 * neighbours.TOGETHER + 3
+    queries_, sizes = rng.normal(size=(n, 5)).astype("<f2"), rng.integers(1, 6, n)
+    codes = [rng.normal(size=(k, 5)).astype("<f2") for k in sizes]
+    lists, least = [[10 * i + j for j in range(k)] for i, k in enumerate(sizes)], rng.normal(size=n).astype(np.float32)
+    columns = [pa.array(np.arange(n)), pa.array([q.tobytes() for q in queries_], pa.binary()), pa.array(least), pa.array(lists), pa.array([c.tobytes() for c in codes], pa.binary())]
+    out = list(neighbours._expanded(iter([pa.RecordBatch.from_arrays(columns, ["query", "qcode", "least", "ids", "codes"])])))
+    assert len(out) == 3
+    got = {(r["query"], r["id"]) for b in out for r in b.to_pylist()}
+    want = {(i, 10 * i + j) for i in range(n) for j in range(sizes[i]) if codes[i][j].astype(float) @ queries_[i].astype(float) > least[i]}
+    assert len(got ^ want) <= 2  # ties within float32

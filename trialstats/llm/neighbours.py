@@ -37,6 +37,8 @@ ENTRIES = 256
 BEAM = 128
 ROUNDS = 8
 BEST = 32
+#: Queries beside a node that are expanded at once: each brings all its neighbours' codes.
+TOGETHER = 256
 BROADCAST_BYTES = 32 << 20
 EDGE = "src long, dst long, near float, fresh boolean"
 
@@ -184,17 +186,17 @@ def graph(codes: DataFrame, degree: int = DEGREE, descents: int = DESCENTS) -> D
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Queries beside a node's neighbours: those nearer than the query's worst so far."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes = _matrix(batch.column("qcode").to_pylist())
-        lists, blobs = batch.column("ids").to_pylist(), batch.column("codes").to_pylist()
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        row = np.repeat(np.arange(len(lists)), sizes)
-        x = np.frombuffer(b"".join(blobs), "<f2").reshape(len(row), -1).astype(np.float32)
-        near = np.einsum("ij,ij->i", x, codes[row])
-        ids = np.array([i for some in lists for i in some], np.int64)
-        at = near > batch.column("least").to_numpy()[row]
-        yield pa.RecordBatch.from_arrays([pa.array(batch.column("query").to_numpy()[row[at]]), pa.array(ids[at]), pa.array(near[at].astype(np.float32))], ["query", "id", "near"])
+        for lo in range(0, batch.num_rows, TOGETHER):
+            some = batch.slice(lo, TOGETHER)
+            codes = _matrix(some.column("qcode").to_pylist())
+            lists, blobs = some.column("ids").to_pylist(), some.column("codes").to_pylist()
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            row = np.repeat(np.arange(len(lists)), sizes)
+            x = np.frombuffer(b"".join(blobs), "<f2").reshape(len(row), -1).astype(np.float32)
+            near = np.einsum("ij,ij->i", x, codes[row])
+            ids = np.array([i for these in lists for i in these], np.int64)
+            at = near > some.column("least").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(some.column("query").to_numpy()[row[at]]), pa.array(ids[at]), pa.array(near[at].astype(np.float32))], ["query", "id", "near"])
 
 
 def _adjacency(known: DataFrame, codes: DataFrame) -> DataFrame:
