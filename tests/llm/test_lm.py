@@ -158,3 +158,41 @@ def test_words_encoded_together_equal_words_alone():
     assert again[0].tolist() == ids.tolist()
     for w, a, n in zip(words, first, counts, strict=True):
         assert ids[a : a + n].tolist() == coder.coder.encode_ordinary(" " + w), repr(w)
+
+
+def test_ids_are_made_once(spark):
+    """Words are counted, documents are counted, ids are made: later passes read the ids, not the texts."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef", "Xyz"]) for _ in range(30)), i % 7 == 2) for i in range(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "doc_id long, text string, held_out boolean"
+    assert len(lm.score(spark.createDataFrame(rows, schema).mapInArrow(told, schema)).collect()) == len(rows)
+    assert 0 < read.value <= 3 * len(rows)
+
+
+def test_ids_as_bytes_come_back():
+    for end in (300, 1 << 20):
+        stream, starts = np.array([5, end, end, 7, 8, end]), np.array([0, 2, 3, 6])
+        ids = lm.packed(stream, starts, end)
+        for part, a, b in ((ids, 0, 3), (ids.slice(1), 1, 3), (ids.slice(0, 0), 0, 0)):
+            got_stream, got_starts = lm.unpacked(part, end)
+            assert got_stream.tolist() == stream[starts[a] : starts[b]].tolist() and got_starts.tolist() == (starts[a : b + 1] - starts[a]).tolist()
+
+
+def test_every_window_is_learnt_from_ids(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 0)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["ab", "cd", "ef gh", "Xyz"]) for _ in range(rng.choice([0, 5, 400]))) for _ in range(40)]
+    coder = lm.subwords_of(PATH)
+    offsets, codes, distinct, _ = common.word_codes(pa.array(texts), lower=True)
+    stream, starts = lm.sequences(offsets, codes, *coder.of(distinct.to_pylist()), coder.end)
+    ids = spark.createDataFrame([(bytearray(x),) for x in lm.packed(stream, starts, coder.end).to_pylist()], "ids binary")
+    counts = spark.createDataFrame(list(Counter(w for t in texts for w in lowered(t)).items()), "word string, c long")
+    windows = int((-(-np.diff(starts) // lm.STRIDE)).sum())
+    assert lm.train(ids, counts, len(texts), PATH).windows_learnt == windows

@@ -10,7 +10,8 @@ the first from one layer of causal self-attention with learnt weights by distanc
 beside an id in all training texts. The layer learns from every id of every training text: in rounds, each over a share of the texts
 by hash, every task takes numpy steps from the same weights over its texts, and the mean of the tasks' weights opens the
 next round. Texts are learnt and scored in windows of OVERLAP + STRIDE ids, of which the last STRIDE count: every id
-once, with at least OVERLAP ids before it where the text has so many.
+once, with at least OVERLAP ids before it where the text has so many. Each text's ids are made once and written; neighbours,
+rounds and scores read them.
 
 Defined results: a null text is empty and scores its end. Without training rows the word model's score is 0 and every
 id is equally likely. Repeated rows give equal rows. Other columns are not read, whatever their names.
@@ -97,9 +98,12 @@ class Subwords:
         known = self.known
         if len(known) > CACHED:
             known.clear()
-        new = dict(self._new([w for w in words if w not in known]))
-        out = [known[w] if w in known else new[w] for w in words]
-        known.update((w, ids) for w, ids in new.items() if len(w) <= 64)
+        out = list(map(known.get, words))
+        if at := [i for i, ids in enumerate(out) if ids is None]:
+            new = dict(self._new([words[i] for i in at]))
+            for i in at:
+                out[i] = new[words[i]]
+            known.update((w, ids) for w, ids in new.items() if len(w) <= 64)
         counts = np.fromiter(map(len, out), np.int64, len(out)) // 4
         return np.frombuffer(b"".join(out), "<u4").astype(np.int64), np.cumsum(counts) - counts, counts
 
@@ -118,6 +122,28 @@ def sequences(offsets: np.ndarray, codes: np.ndarray, ids: np.ndarray, first: np
     return out, ends + np.arange(len(ends))
 
 
+def _kind(end: int) -> np.dtype:
+    """The smallest kind of number that holds every id."""
+    return np.dtype("<u2" if end < 1 << 16 else "<u4")
+
+
+def packed(stream: np.ndarray, starts: np.ndarray, end: int) -> pa.Array:
+    """Each text's ids as bytes."""
+    kind = _kind(end)
+    places = (starts * kind.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(stream.astype(kind).tobytes())])
+
+
+def unpacked(ids: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same as ``sequences`` gave."""
+    kind, ids = _kind(end), ids.cast(pa.binary())
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    places = np.frombuffer(ids.buffers()[1], "<i4", len(ids) + 1, 4 * ids.offset).astype(np.int64)
+    size = int(places[-1] - places[0]) // kind.itemsize
+    return np.frombuffer(ids.buffers()[2], kind, size, int(places[0])).astype(np.int64), (places - places[0]) // kind.itemsize
+
+
 @dataclass
 class Classes:
     """The class of each id, its log10 probability within the class, and its row among the input embeddings."""
@@ -199,7 +225,11 @@ def classed(stream: np.ndarray | None, totals: np.ndarray, spaced: np.ndarray, s
 
 
 class Attention:
-    """One causal attention layer over input rows, a tanh layer, and class logits."""
+    """One causal attention layer over input rows, a tanh layer, and class logits.
+
+    Query and key only meet as their product, as do value and ``seen``: both are applied to the queries' side, so that keys
+    and values are the input rows themselves. All weights lie in one array, ``weights``, of which the named ones are parts.
+    """
 
     NAMES = ("embed", "query", "key", "value", "near", "own", "seen", "bias", "out", "shift", "inner", "inner_shift")
 
@@ -210,171 +240,214 @@ class Attention:
         def normal(*shape, scale):
             return rng.normal(0, scale, shape).astype(np.float32)
 
-        self.embed = normal(classes.rows, WIDTH, scale=0.3)
-        self.query, self.key, self.value = (normal(WIDTH, WIDTH, scale=WIDTH**-0.5) for _ in range(3))
-        self.near = np.zeros(OVERLAP + STRIDE, np.float32)
-        self.own, self.seen = (normal(WIDTH, HIDDEN, scale=WIDTH**-0.5) for _ in range(2))
-        self.bias = np.zeros(HIDDEN, np.float32)
-        self.out, self.shift = normal(HIDDEN, GROUPS, scale=0.1), np.zeros(GROUPS, np.float32)
-        self.inner, self.inner_shift = normal(GROUPS, HIDDEN, GROUPS, scale=0.1), np.zeros((GROUPS, GROUPS), np.float32)
+        first = {"embed": normal(classes.rows, WIDTH, scale=0.3)}
+        first |= {n: normal(WIDTH, WIDTH, scale=WIDTH**-0.5) for n in ("query", "key", "value")}
+        first["near"] = np.zeros(OVERLAP + STRIDE, np.float32)
+        first |= {n: normal(WIDTH, HIDDEN, scale=WIDTH**-0.5) for n in ("own", "seen")}
+        first["bias"] = np.zeros(HIDDEN, np.float32)
+        first |= {"out": normal(HIDDEN, GROUPS, scale=0.1), "shift": np.zeros(GROUPS, np.float32)}
+        first |= {"inner": normal(GROUPS, HIDDEN, GROUPS, scale=0.1), "inner_shift": np.zeros((GROUPS, GROUPS), np.float32)}
+        self.shapes = {n: first[n].shape for n in self.NAMES}
+        self.weights = np.concatenate([first[n].ravel() for n in self.NAMES])
+        for n, p in self._parts(self.weights).items():
+            setattr(self, n, p)
         at = np.arange(OVERLAP, OVERLAP + STRIDE)[:, None] - np.arange(OVERLAP + STRIDE)
         self.distance, self.ahead = np.maximum(at, 0), at < 0
-        self.tables: tuple | None = None
         self.windows_learnt = 0
+        self.space: dict[str, np.ndarray] = {}
+
+    def _parts(self, whole: np.ndarray) -> dict[str, np.ndarray]:
+        ends = np.cumsum([int(np.prod(self.shapes[n])) for n in self.NAMES])
+        return {n: part.reshape(self.shapes[n]) for n, part in zip(self.NAMES, np.split(whole, ends[:-1]), strict=True)}
+
+    def __getstate__(self) -> tuple:
+        return self.classes, self.weights, self.windows_learnt
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(state[0])
+        self.load(state[1])
+        self.windows_learnt = state[2]
+
+    def _room(self, name: str, n: int, *shape: int) -> np.ndarray:
+        """Memory that stays from step to step, for n rows of a shape."""
+        if len(self.space.get(name, ())) < n:
+            self.space[name] = np.zeros((n, *shape), np.float32)
+        return self.space[name][:n]
 
     def windows(self, stream: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(input rows, ids to score or -1, text) of every window. ``end`` opens each text; the last row pads."""
         sizes = np.diff(starts)
         counts = -(-sizes // STRIDE)
         text = np.repeat(np.arange(len(sizes)), counts)
+        goals = np.full(int(counts.sum()) * STRIDE, -1, np.int32)
+        goals[common.ragged((np.cumsum(counts) - counts) * STRIDE, sizes)] = stream
+        # a line of all texts, each behind OVERLAP pads and an end: windows are stretches of it
+        room = counts * STRIDE + OVERLAP
+        first = np.cumsum(room) - room
+        line = np.full(int(room.sum()) + 1, self.classes.rows - 1, np.int16)
+        line[common.ragged(first + OVERLAP + 1, sizes)] = self.classes.row.astype(np.int16)[stream]
+        line[first + OVERLAP] = self.classes.row[end]
+        line[first] = self.classes.rows - 1  # where a text before may have put its last id, which no window needs
         number = common.ragged(np.zeros(len(sizes), np.int64), counts)
-        goal = number[:, None] * STRIDE + np.arange(STRIDE)
-        inside = goal < sizes[text][:, None]
-        goals = np.where(inside, stream[np.minimum(starts[text][:, None] + goal, len(stream) - 1)], -1)
-        source = number[:, None] * STRIDE + np.arange(-OVERLAP, STRIDE) - 1
-        ids = np.where(source < 0, end, stream[np.clip(starts[text][:, None] + source, 0, len(stream) - 1)])
-        rows = np.where((source < -1) | (source >= sizes[text][:, None]), self.classes.rows - 1, self.classes.row[ids])
+        rows = np.lib.stride_tricks.sliding_window_view(line, OVERLAP + STRIDE)[first[text] + number * STRIDE] if len(text) else np.zeros((0, OVERLAP + STRIDE), np.int16)
+        goals = goals.reshape(-1, STRIDE)
         return rows, goals, text
 
     def state(self) -> np.ndarray:
         """All weights in a row."""
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+        return self.weights.copy()
 
     def load(self, state: np.ndarray) -> Attention:
-        at = 0
-        for n in self.NAMES:
-            p = getattr(self, n)
-            p[...] = state[at : at + p.size].reshape(p.shape)
-            at += p.size
-        self.tables = None
+        self.weights[...] = state
         return self
 
     def fit(self, rows: np.ndarray, goals: np.ndarray, rate: float, moments: dict, rng: np.random.Generator) -> None:
         """One pass over the windows in mixed order; ``moments`` carry over from pass to pass."""
         order = rng.permutation(len(rows))
+        m, v = (moments.setdefault(n, np.zeros_like(self.weights)) for n in ("first", "second"))
         for at in range(0, len(order), STEP):
             some = order[at : at + STEP]
-            _, grads = self.gradients(rows[some], goals[some])
+            slope = np.concatenate([g.ravel() for g in self.gradients(rows[some], goals[some])[1].values()])
             moments["step"] = step = moments.get("step", 0) + 1
             pace = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            for n in self.NAMES:
-                m, v = moments.setdefault(n, (np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))))
-                m += 0.1 * (grads[n] - m)
-                v += 0.01 * (grads[n] ** 2 - v)
-                getattr(self, n)[...] -= pace * m / (np.sqrt(v) + 1e-7)
-        self.tables = None
-
-    def gradients(self, rows: np.ndarray, goals: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy of the goals' classes, and its gradients."""
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * slope
+            v *= np.float32(0.99)
+            slope *= slope
+            slope *= np.float32(0.01)
+            v += slope
+            np.sqrt(v, out=slope)
+            slope += np.float32(1e-7)
+            np.divide(m, slope, out=slope)
+            slope *= np.float32(pace)
+            self.weights -= slope
+
+    def _hidden(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(hidden values and a one, inputs and a one, what each sees, all input rows, queries, weights, 1 / the weights' sums)."""
         n, places = rows.shape
-        x = self.embed[rows.ravel()]
-        mine = np.ascontiguousarray(x.reshape(n, places, WIDTH)[:, OVERLAP:]).reshape(-1, WIDTH)
-        q = (mine @ self.query * WIDTH**-0.5).reshape(n, -1, WIDTH)
-        k, v = (x @ self.key).reshape(n, places, WIDTH), (x @ self.value).reshape(n, places, WIDTH)
-        a = q @ k.transpose(0, 2, 1)
+        x, mine = self._room("x", n, places, WIDTH), self._room("mine", n, STRIDE, WIDTH + 1)
+        self.embed.take(rows.ravel(), 0, x.reshape(-1, WIDTH), "clip")
+        mine[:, :, :WIDTH] = x[:, OVERLAP:]
+        mine[:, :, WIDTH] = 1
+        q, a, seen = self._room("q", n, STRIDE, WIDTH), self._room("a", n, STRIDE, places), self._room("seen", n, STRIDE, WIDTH)
+        np.matmul(mine.reshape(-1, WIDTH + 1)[:, :WIDTH], self.query @ self.key.T * np.float32(WIDTH**-0.5), out=q.reshape(-1, WIDTH))
+        np.matmul(q, x.transpose(0, 2, 1), out=a)
+        safe = max(a.max(), -a.min()) + np.abs(self.near).max() < 40  # no exponential leaves float32's range
         a += np.where(self.ahead, np.float32(-1e9), self.near[self.distance])
-        pads = np.flatnonzero((rows == self.classes.rows - 1).any(1))
-        a[pads] += np.where(rows[pads] == self.classes.rows - 1, np.float32(-1e9), np.float32(0))[:, None, :]
-        a -= a.max(2, keepdims=True)
+        padded = rows == self.classes.rows - 1
+        some = np.flatnonzero(padded.any(1))
+        a[some] += np.where(padded[some], np.float32(-1e9), np.float32(0))[:, None, :]
+        if not safe:
+            a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        a /= (a.reshape(-1, places) @ np.ones(places, np.float32)).reshape(n, -1, 1)
-        o = (a @ v).reshape(-1, WIDTH)
-        h = np.tanh(mine @ self.own + o @ self.seen + self.bias)
+        # a product with ones gives each sum as often as it is needed
+        shares = np.matmul(a.reshape(-1, places), np.ones((places, WIDTH), np.float32), out=self._room("shares", n * STRIDE, WIDTH)).reshape(seen.shape)
+        np.reciprocal(shares, out=shares)
+        np.matmul(a, x, out=seen)
+        seen *= shares
+        h, more = self._room("h", n * STRIDE, HIDDEN + 1), self._room("more", n * STRIDE, HIDDEN + 1)
+        own, value = self._inward()
+        np.matmul(mine.reshape(-1, WIDTH + 1), own, out=h)
+        h += np.matmul(seen.reshape(-1, WIDTH), value, out=more)
+        np.tanh(h, out=h)
+        return h, mine, seen, x, q, a, shares
+
+    def _inward(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights from inputs and from what is seen to the hidden values, and a last column that tanh makes one."""
+        own, value = np.zeros((WIDTH + 1, HIDDEN + 1), np.float32), np.zeros((WIDTH, HIDDEN + 1), np.float32)
+        own[:WIDTH, :HIDDEN], own[WIDTH, :HIDDEN], own[WIDTH, HIDDEN] = self.own, self.bias, 20
+        value[:, :HIDDEN] = self.value @ self.seen
+        return own, value
+
+    def _told(self, h: np.ndarray, goals: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For goals in order of their groups: (their places, hidden values, exponentials in the group's and the class's softmax, where the chosen are, logs, cuts, weights)."""
         real = np.flatnonzero(goals.ravel() >= 0)
         wanted = self.classes.of[goals.ravel()[real]]
         order = np.argsort((wanted // GROUPS).astype(np.int8), kind="stable")
         real, wanted = real[order], wanted[order].astype(np.int64)
-        told, dtold = h[real], np.zeros((len(real), HIDDEN), np.float32)
-        g = {n: np.zeros_like(getattr(self, n)) for n in ("out", "shift", "inner", "inner_shift")}
-        cuts = np.searchsorted(wanted // GROUPS, np.arange(GROUPS + 1)).tolist()
-        parts = [(slice(0, len(real)), wanted // GROUPS, self.out, self.shift, g["out"], g["shift"])]
-        for group, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            parts.append((slice(lo, hi), wanted[lo:hi] % GROUPS, self.inner[group], self.inner_shift[group], g["inner"][group], g["inner_shift"][group]))
-        loss, ones = 0.0, np.ones(GROUPS, np.float32)
-        for at, choice, weights, shift, d_weights, d_shift in parts:
-            if not len(choice):
-                continue
-            p = told[at] @ weights
-            p += shift
-            if max(p.max(), -p.min()) > 40:
-                p -= p.max(1, keepdims=True)
-            np.exp(p, out=p)
-            p /= (p @ ones)[:, None]
-            chosen = np.arange(len(choice)) * GROUPS + choice
-            loss -= float(np.log(p.ravel()[chosen] + 1e-12).sum())
-            p.ravel()[chosen] -= 1
-            d_weights += told[at].T @ p
-            d_shift += np.ones(len(p), np.float32) @ p
-            dtold[at] += p @ weights.T
+        group = wanted // GROUPS
+        cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        weights = np.empty((GROUPS, HIDDEN + 1, 2 * GROUPS), np.float32)
+        weights[:, :HIDDEN, :GROUPS], weights[:, HIDDEN, :GROUPS] = self.out, self.shift
+        weights[:, :HIDDEN, GROUPS:], weights[:, HIDDEN, GROUPS:] = self.inner, self.inner_shift
+        told, p = self._room("told", len(real), HIDDEN + 1), self._room("p", len(real), 2 * GROUPS)
+        h.take(real, 0, told, "clip")
+        for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if lo < hi:
+                np.matmul(told[lo:hi], weights[k], out=p[lo:hi])
+        z = p.reshape(-1, GROUPS)
+        if len(z) and max(z.max(), -z.min()) > 40:
+            z -= z.max(1, keepdims=True)
+        chosen = np.arange(len(z)) * GROUPS
+        chosen[::2] += group
+        chosen[1::2] += wanted % GROUPS
+        logs = z.ravel()[chosen]
+        np.exp(z, out=z)
+        sums = z @ np.ones(GROUPS, np.float32)
+        logs -= np.log(sums)
+        return real, told, p, sums, chosen, logs.reshape(-1, 2).sum(1), cuts, weights
+
+    def gradients(self, rows: np.ndarray, goals: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy of the goals' classes, and its gradients, in the order of NAMES."""
+        n, places = rows.shape
+        h, mine, seen, x, q, a, shares = self._hidden(rows)
+        real, told, p, sums, chosen, logs, cuts, weights = self._told(h, goals)
         scale = np.float32(1 / max(1, len(real)))
-        loss *= float(scale)
-        dtold *= scale
-        for total in g.values():
-            total *= scale
-        dh = np.zeros_like(h)
-        dh[real] = dtold * (1 - told * told)
-        g |= {"own": mine.T @ dh, "seen": o.T @ dh, "bias": dh.sum(0)}
-        do, dmine = dh @ self.seen.T, dh @ self.own.T
-        mean = np.einsum("ij,ij->i", do, o).reshape(n, -1, 1)
-        do = do.reshape(n, -1, WIDTH)
-        dv = (a.transpose(0, 2, 1) @ do).reshape(-1, WIDTH)
-        ds = do @ v.transpose(0, 2, 1)
+        z = p.reshape(-1, GROUPS)
+        z *= (scale / sums)[:, None]
+        z.ravel()[chosen] -= scale
+        d_weights, d_told = np.zeros_like(weights), self._room("d_told", len(real), HIDDEN + 1)
+        for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if lo < hi:
+                np.matmul(told[lo:hi].T, p[lo:hi], out=d_weights[k])
+                np.matmul(p[lo:hi], weights[k].T, out=d_told[lo:hi])
+        told *= told
+        np.subtract(1, told, out=told)
+        d_told *= told
+        dh = self._room("dh", len(h), HIDDEN + 1)
+        dh[...] = 0
+        dh[real] = d_told
+        own, value = self._inward()
+        d_own, d_value = mine.reshape(-1, WIDTH + 1).T @ dh, seen.reshape(-1, WIDTH).T @ dh
+        d_seen, product, ds, mean = (self._room(k, n, STRIDE, w) for k, w in (("d_seen", WIDTH), ("product", WIDTH), ("ds", places), ("mean", places)))
+        np.matmul(dh, value.T, out=d_seen.reshape(-1, WIDTH))
+        d_seen *= shares
+        np.multiply(d_seen, seen, out=product)
+        np.matmul(product.reshape(-1, WIDTH), np.ones((WIDTH, places), np.float32), out=mean.reshape(-1, places))
+        np.matmul(d_seen, x.transpose(0, 2, 1), out=ds)
         ds -= mean
         ds *= a
-        g["near"] = np.bincount(self.distance.ravel(), ds.sum(0).ravel(), OVERLAP + STRIDE)
-        dq = (ds @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
-        dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-        g |= {"query": mine.T @ dq, "key": x.T @ dk, "value": x.T @ dv}
-        dx = dk @ self.key.T + dv @ self.value.T
-        dx.reshape(n, places, WIDTH)[:, OVERLAP:] += (dmine + dq @ self.query.T).reshape(n, -1, WIDTH)
-        order = np.argsort(rows.ravel().astype(np.int16), kind="stable")
+        dq, d_mine, dx, more = product, seen, self._room("dx", n, places, WIDTH), self._room("more dx", n, places, WIDTH)
+        np.matmul(ds, x, out=dq)
+        pull = mine.reshape(-1, WIDTH + 1)[:, :WIDTH].T @ dq.reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
+        np.matmul(a.transpose(0, 2, 1), d_seen, out=dx)
+        dx += np.matmul(ds.transpose(0, 2, 1), q, out=more)
+        np.matmul(dq.reshape(-1, WIDTH), self.key @ self.query.T * np.float32(WIDTH**-0.5), out=d_mine.reshape(-1, WIDTH))
+        d_mine += np.matmul(dh, own[:WIDTH].T, out=q.reshape(-1, WIDTH)).reshape(q.shape)
+        dx[:, OVERLAP:] += d_mine
+        order = np.argsort(rows.ravel().astype(np.int16, copy=False), kind="stable")
         met = rows.ravel()[order]
         heads = np.flatnonzero(np.append(True, np.diff(met) != 0))
-        g["embed"] = np.zeros_like(self.embed)
-        g["embed"][met[heads]] = np.add.reduceat(dx[order], heads, axis=0)
-        return float(loss), g
+        embed = np.zeros_like(self.embed)
+        embed[met[heads]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, 0), heads, axis=0)
+        return float(-logs.sum(dtype=np.float64) * scale), {
+            "embed": embed,
+            "query": pull @ self.key,
+            "key": pull.T @ self.query,
+            "value": d_value[:, :HIDDEN] @ self.seen.T,
+            "near": np.bincount(self.distance.ravel(), ds.sum(0).ravel(), places).astype(np.float32),
+            "own": d_own[:WIDTH, :HIDDEN],
+            "seen": self.value.T @ d_value[:, :HIDDEN],
+            "bias": d_own[WIDTH, :HIDDEN],
+            "out": d_weights[:, :HIDDEN, :GROUPS].sum(0),
+            "shift": d_weights[:, HIDDEN, :GROUPS].sum(0),
+            "inner": d_weights[:, :HIDDEN, GROUPS:],
+            "inner_shift": d_weights[:, HIDDEN, GROUPS:],
+        }
 
     def class_logs(self, rows: np.ndarray, goals: np.ndarray) -> np.ndarray:
         """log10 probability of each goal's class (0 where there is no goal)."""
-        if self.tables is None:
-            # the pad row's keys get a weight of nothing through a large negative extra component; sums come from a column of ones
-            extra = np.zeros((self.classes.rows, 1), np.float32)
-            extra[-1] = -1e4
-            ones = np.ones((self.classes.rows, 1), np.float32)
-            query, key = self.embed @ self.query * WIDTH**-0.5, self.embed @ self.key
-            near = np.where(self.ahead, np.float32(-1e4), self.near[self.distance]).astype(np.float32)
-            most = np.linalg.norm(query, axis=1).max() * np.linalg.norm(key, axis=1).max() + np.abs(self.near).max()
-            safe = most < 40  # no exponential leaves float32's range, so the maximum needn't be taken off
-            self.tables = (
-                np.concatenate([query, ones], 1),
-                np.concatenate([key, extra], 1),
-                np.concatenate([self.embed @ self.value @ self.seen, ones], 1),
-                self.embed @ self.own + self.bias,
-                near,
-                safe,
-            )
-        query, key, value, own, near, safe = self.tables
-        mine = rows[:, OVERLAP:]
-        a = query[mine] @ key[rows].transpose(0, 2, 1)
-        a += near
-        if not safe:
-            a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        o = a @ value[rows]
-        h = o[:, :, :HIDDEN] / o[:, :, HIDDEN:]
-        h += own[mine]
-        np.tanh(h, out=h)
-        h = h.reshape(-1, HIDDEN)
-        real = np.flatnonzero(goals.ravel() >= 0)
-        wanted = self.classes.of[goals.ravel()[real]]
-        order = np.argsort((wanted // GROUPS).astype(np.int8), kind="stable")
-        real, wanted = real[order], wanted[order].astype(np.int64)
-        told = h[real]
-        group = wanted // GROUPS
-        logs = _log_share(told @ self.out + self.shift, group)
-        cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            logs[a:b] += _log_share(told[a:b] @ self.inner[k] + self.inner_shift[k], wanted[a:b] % GROUPS)
+        real, *_, logs, _, _ = self._told(self._hidden(rows)[0], goals)
         out = np.zeros(goals.size, np.float32)
         out[real] = logs
         return (out / np.log(10)).reshape(goals.shape)
@@ -391,13 +464,6 @@ class Attention:
         return out
 
 
-def _log_share(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
-    if len(z) and max(z.max(), -z.min()) > 40:
-        z -= z.max(1, keepdims=True)
-    chosen = z.ravel()[np.arange(len(z)) * z.shape[1] + choice]
-    return chosen - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in common.slices(batch):
@@ -438,7 +504,12 @@ def head_words(counts: DataFrame, size: int | None = None) -> DataFrame:
 
 
 def _streams(batches: Iterator[pa.RecordBatch], coder: Subwords) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of rows of texts, or of rows whose ids are made already."""
     for batch in batches:
+        if "ids" in batch.schema.names:
+            for some in common.slices(batch, "ids", TRAIN_BYTES):
+                yield unpacked(some.column("ids"), coder.end)
+            continue
         for some in common.slices(batch, limit=TRAIN_BYTES):
             offsets, codes, distinct, _ = common.word_codes(some.column("text"), lower=True)
             yield sequences(offsets, codes, *coder.of(distinct.to_pylist()), coder.end)
@@ -484,7 +555,7 @@ def _round(path: str, classes: Classes, state: np.ndarray, passes: int, rate: fl
         for stream, starts in _streams(batches, coder):
             rows, goals, _ = model.windows(stream, starts, coder.end)
             for lo in range(0, len(rows), MIXED):
-                held.append((rows[lo : lo + MIXED].astype(np.int16), goals[lo : lo + MIXED].astype(np.int32)))
+                held.append((rows[lo : lo + MIXED].copy(), goals[lo : lo + MIXED].copy()))
                 count += len(held[-1][0])
                 if count >= MIXED:
                     learn()
@@ -509,10 +580,11 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(plain: DataFrame, counts: DataFrame, documents: int, path: str) -> Attention | None:
-    """The model from all training texts. Driver: one number per id, neighbours' counts, and weights of at most 16 groups of tasks.
+    """The model from all training texts, given as ``text`` or ``ids``. Driver: one number per id, neighbours' counts, and weights of at most 16 groups of tasks.
 
     Its ``windows_learnt`` counts the windows of all rounds.
     """
+    given = "ids" if "ids" in plain.columns else "text"
     if not documents:
         return None
     coder = subwords_of(path)
@@ -526,17 +598,17 @@ def train(plain: DataFrame, counts: DataFrame, documents: int, path: str) -> Att
     known, _, _, width = _placed(totals)
     beside = np.zeros(len(known) * width, np.float32)
     if len(known) >= ALONE + CLUSTERS:
-        met = plain.select("text").mapInArrow(_neighbours(path, totals), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        met = plain.select(given).mapInArrow(_neighbours(path, totals), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         beside[met["cell"].to_numpy()] = met["n"].to_numpy()
     classes = classed(None, totals, spaced, beside=beside.reshape(len(known), width))
     model = Attention(classes)
     # shares of a large table make one pass in all; a small one is gone over until it has given LEAST_WINDOWS
     windows = totals.sum() / STRIDE
     epochs = int(max(1, -(-LEAST_WINDOWS // windows)))
-    some = plain.select("text").coalesce(int(max(1, windows // LEAST_OF_TASK)))
+    some = plain.select(given).coalesce(int(max(1, windows // LEAST_OF_TASK)))
     for number in range(ROUNDS):
         shares = {(number * min(epochs, ROUNDS) + i) % ROUNDS for i in range(min(epochs, ROUNDS))}
-        told = some.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(ROUNDS)).isin(*sorted(shares)))
+        told = some.filter(F.pmod(F.xxhash64(given, F.lit(1)), F.lit(ROUNDS)).isin(*sorted(shares)))
         learnt = told.mapInArrow(_round(path, classes, model.state(), -(-epochs // ROUNDS), RATE * (1 - number / ROUNDS)), LEARNT)
         merged = learnt.repartition(16, "slot").sortWithinPartitions("slot").mapInArrow(_merged, LEARNT).toPandas()
         if len(merged):
@@ -546,10 +618,10 @@ def train(plain: DataFrame, counts: DataFrame, documents: int, path: str) -> Att
     return model
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, word string, tf long"
+ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, ids binary, word string, tf long"
 
 
-def _scored(path: str, head: pa.Array, head_counts: np.ndarray, ends: int, model: Attention | None):
+def _encoded(path: str, head: pa.Array, head_counts: np.ndarray, ends: int):
     """A row per document (word null), and one per document and word outside the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -566,19 +638,18 @@ def _scored(path: str, head: pa.Array, head_counts: np.ndarray, ends: int, model
         known = np.bincount(document, seen[codes] > 0, len(rows)) + (ends > 0)
         logs = np.bincount(document, np.log10(seen + 1.0)[codes], len(rows)) + np.log10(ends + 1.0)
         stream, starts = sequences(offsets, codes, *coder.of(distinct.to_pylist()), coder.end)
-        scores = model.score(stream, starts, coder.end) if model else -np.log10(coder.end + 1.0) * np.diff(starts)
         n = len(rows)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(rows), some.column("doc_id"), some.column("held_out"), pa.array(np.diff(offsets) + 1), pa.array(known.astype(np.int64)),
-                pa.array(logs), pa.array(scores), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()),
+                pa.array(logs), packed(stream, starts, coder.end), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()),
             ],
             NAMES,
         )
         rare = place[codes] < 0
         pair, times = np.unique(document[rare] * len(distinct) + codes[rare], return_counts=True)
         n = len(pair)
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
         words = distinct.take(pa.array(pair % len(distinct))) if n else pa.array([], pa.string())
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows[pair // len(distinct)] if n else rows[:0]), *(pa.nulls(n, k) for k in kinds), words.cast(pa.string()), pa.array(times)], NAMES
@@ -587,7 +658,23 @@ def _scored(path: str, head: pa.Array, head_counts: np.ndarray, ends: int, model
     return run
 
 
-NAMES = [x.split()[0] for x in SCORED.split(", ")]
+NAMES = [x.split()[0] for x in ENCODED.split(", ")]
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double"
+
+
+def _scored(path: str, model: Attention | None):
+    """The documents' rows with their scores in place of their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = subwords_of(path).end
+        for batch in batches:
+            for some in common.slices(batch, "ids", TRAIN_BYTES):
+                stream, starts = unpacked(some.column("ids"), end)
+                scores = model.score(stream, starts, end) if model else -np.log10(end + 1.0) * np.diff(starts)
+                others = some.drop_columns("ids")
+                yield pa.RecordBatch.from_arrays([*others.columns, pa.array(scores)], [*others.schema.names, "score"])
+
+    return run
 
 
 def score(docs: DataFrame, ranks: str | None = None, id_column: str = "doc_id", text_column: str = "text", held_column: str = "held_out") -> DataFrame:
@@ -609,12 +696,14 @@ def score(docs: DataFrame, ranks: str | None = None, id_column: str = "doc_id",
     words, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total, kinds = (words or 0) + documents, distinct + (documents > 0)
     top = head_words(counts).toPandas()
-    model = train(training, counts, documents, path)
-    run = _scored(path, pa.array(top["word"], pa.string()), top["c"].to_numpy(np.int64), documents, model)
-    scored = common.written(plain.mapInArrow(run, SCORED), "scored")
-    rare = scored.filter("word IS NOT NULL").select("row", "word", "tf").join(counts, "word")
+    run = _encoded(path, pa.array(top["word"], pa.string()), top["c"].to_numpy(np.int64), documents)
+    encoded = common.written(plain.mapInArrow(run, ENCODED), "encoded")
+    texts = encoded.filter("word IS NULL").drop("word", "tf")
+    model = train(texts.filter("NOT held_out").select("ids"), counts, documents, path)
+    scored = common.written(texts.mapInArrow(_scored(path, model), SCORED), "scored")
+    rare = encoded.filter("word IS NOT NULL").select("row", "word", "tf").join(counts, "word")
     rare = rare.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
-    rows = scored.filter("word IS NULL").drop("word", "tf").join(rare, "row", "left")
+    rows = scored.join(rare, "row", "left")
     return rows.select(
         "doc_id",
         "held_out",
