@@ -54,6 +54,8 @@ ROUNDS = 4
 #: Windows of one step, and those held and mixed at once.
 STEP = 256
 MIXED = 1 << 15
+#: Weights stepped at once, few enough for a core's cache.
+BLOCK = 1 << 13
 #: Tables with fewer windows are gone over several times; a task has a share of windows that makes it worth its own weights.
 LEAST_WINDOWS = 1200 * 128
 LEAST_OF_TASK = 50_000
@@ -62,6 +64,9 @@ CACHED = 600_000
 #: New words encoded at once.
 JOINED = 4096
 TRAIN_BYTES = 2 << 20
+#: Bytes of text whose distinct words are counted, and looked up, together.
+COUNTED_BYTES = 16 << 20
+ENCODED_BYTES = 8 << 20
 SOME_WINDOWS = 512
 
 
@@ -224,6 +229,21 @@ def classed(stream: np.ndarray | None, totals: np.ndarray, spaced: np.ndarray, s
     return Classes(of.astype(np.int16), within.astype(np.float32), row.astype(np.int64), size, ROWS + size + 1)
 
 
+def _step(weights: np.ndarray, slope: np.ndarray, m: np.ndarray, v: np.ndarray, pace: np.float32) -> None:
+    """Adam's step, in place; ``slope`` is used up."""
+    m *= np.float32(0.9)
+    m += np.float32(0.1) * slope
+    v *= np.float32(0.99)
+    slope *= slope
+    slope *= np.float32(0.01)
+    v += slope
+    np.sqrt(v, out=slope)
+    slope += np.float32(1e-7)
+    np.divide(m, slope, out=slope)
+    slope *= pace
+    weights -= slope
+
+
 class Attention:
     """One causal attention layer over input rows, a tanh layer, and class logits.
 
@@ -305,32 +325,24 @@ class Attention:
         """One pass over the windows in mixed order; ``moments`` carry over from pass to pass."""
         order = rng.permutation(len(rows))
         m, v = (moments.setdefault(n, np.zeros_like(self.weights)) for n in ("first", "second"))
+        slope = np.empty_like(self.weights)
         for at in range(0, len(order), STEP):
             some = order[at : at + STEP]
-            slope = np.concatenate([g.ravel() for g in self.gradients(rows[some], goals[some])[1].values()])
+            np.concatenate([g.ravel() for g in self.gradients(rows[some], goals[some])[1].values()], out=slope)
             moments["step"] = step = moments.get("step", 0) + 1
-            pace = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * slope
-            v *= np.float32(0.99)
-            slope *= slope
-            slope *= np.float32(0.01)
-            v += slope
-            np.sqrt(v, out=slope)
-            slope += np.float32(1e-7)
-            np.divide(m, slope, out=slope)
-            slope *= np.float32(pace)
-            self.weights -= slope
+            pace = np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+            for lo in range(0, len(slope), BLOCK):
+                _step(*(x[lo : lo + BLOCK] for x in (self.weights, slope, m, v)), pace)
 
     def _hidden(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(hidden values and a one, inputs and a one, what each sees, all input rows, queries, weights, 1 / the weights' sums)."""
+        """(hidden values and a one; inputs, what each sees and a one; all input rows; queries; weights; 1 / the weights' sums)."""
         n, places = rows.shape
-        x, mine = self._room("x", n, places, WIDTH), self._room("mine", n, STRIDE, WIDTH + 1)
+        x, both = self._room("x", n, places, WIDTH), self._room("both", n, STRIDE, 2 * WIDTH + 1)
         self.embed.take(rows.ravel(), 0, x.reshape(-1, WIDTH), "clip")
-        mine[:, :, :WIDTH] = x[:, OVERLAP:]
-        mine[:, :, WIDTH] = 1
+        both[:, :, :WIDTH] = x[:, OVERLAP:]
+        both[:, :, 2 * WIDTH] = 1
         q, a, seen = self._room("q", n, STRIDE, WIDTH), self._room("a", n, STRIDE, places), self._room("seen", n, STRIDE, WIDTH)
-        np.matmul(mine.reshape(-1, WIDTH + 1)[:, :WIDTH], self.query @ self.key.T * np.float32(WIDTH**-0.5), out=q.reshape(-1, WIDTH))
+        np.matmul(both.reshape(-1, 2 * WIDTH + 1)[:, :WIDTH], self.query @ self.key.T * np.float32(WIDTH**-0.5), out=q.reshape(-1, WIDTH))
         np.matmul(q, x.transpose(0, 2, 1), out=a)
         safe = max(a.max(), -a.min()) + np.abs(self.near).max() < 40  # no exponential leaves float32's range
         a += np.where(self.ahead, np.float32(-1e9), self.near[self.distance])
@@ -340,24 +352,17 @@ class Attention:
         if not safe:
             a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        # a product with ones gives each sum as often as it is needed
-        shares = np.matmul(a.reshape(-1, places), np.ones((places, WIDTH), np.float32), out=self._room("shares", n * STRIDE, WIDTH)).reshape(seen.shape)
-        np.reciprocal(shares, out=shares)
-        np.matmul(a, x, out=seen)
-        seen *= shares
-        h, more = self._room("h", n * STRIDE, HIDDEN + 1), self._room("more", n * STRIDE, HIDDEN + 1)
-        own, value = self._inward()
-        np.matmul(mine.reshape(-1, WIDTH + 1), own, out=h)
-        h += np.matmul(seen.reshape(-1, WIDTH), value, out=more)
+        shares = np.reciprocal(a.reshape(-1, places) @ np.ones(places, np.float32)).reshape(n, STRIDE, 1)
+        np.multiply(np.matmul(a, x, out=seen), shares, out=both[:, :, WIDTH : 2 * WIDTH])
+        h = np.matmul(both.reshape(-1, 2 * WIDTH + 1), self._inward(), out=self._room("h", n * STRIDE, HIDDEN + 1))
         np.tanh(h, out=h)
-        return h, mine, seen, x, q, a, shares
+        return h, both, x, q, a, shares
 
-    def _inward(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights from inputs and from what is seen to the hidden values, and a last column that tanh makes one."""
-        own, value = np.zeros((WIDTH + 1, HIDDEN + 1), np.float32), np.zeros((WIDTH, HIDDEN + 1), np.float32)
-        own[:WIDTH, :HIDDEN], own[WIDTH, :HIDDEN], own[WIDTH, HIDDEN] = self.own, self.bias, 20
-        value[:, :HIDDEN] = self.value @ self.seen
-        return own, value
+    def _inward(self) -> np.ndarray:
+        """Weights from inputs, from what is seen and from a one to the hidden values, and a last column that tanh makes one."""
+        out = np.zeros((2 * WIDTH + 1, HIDDEN + 1), np.float32)
+        out[:WIDTH, :HIDDEN], out[WIDTH:-1, :HIDDEN], out[-1, :HIDDEN], out[-1, -1] = self.own, self.value @ self.seen, self.bias, 20
+        return out
 
     def _told(self, h: np.ndarray, goals: np.ndarray) -> tuple[np.ndarray, ...]:
         """For goals in order of their groups: (their places, hidden values, exponentials in the group's and the class's softmax, where the chosen are, logs, cuts, weights)."""
@@ -390,7 +395,7 @@ class Attention:
     def gradients(self, rows: np.ndarray, goals: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy of the goals' classes, and its gradients, in the order of NAMES."""
         n, places = rows.shape
-        h, mine, seen, x, q, a, shares = self._hidden(rows)
+        h, both, x, q, a, shares = self._hidden(rows)
         real, told, p, sums, chosen, logs, cuts, weights = self._told(h, goals)
         scale = np.float32(1 / max(1, len(real)))
         z = p.reshape(-1, GROUPS)
@@ -407,23 +412,23 @@ class Attention:
         dh = self._room("dh", len(h), HIDDEN + 1)
         dh[...] = 0
         dh[real] = d_told
-        own, value = self._inward()
-        d_own, d_value = mine.reshape(-1, WIDTH + 1).T @ dh, seen.reshape(-1, WIDTH).T @ dh
-        d_seen, product, ds, mean = (self._room(k, n, STRIDE, w) for k, w in (("d_seen", WIDTH), ("product", WIDTH), ("ds", places), ("mean", places)))
-        np.matmul(dh, value.T, out=d_seen.reshape(-1, WIDTH))
+        inputs, inward = both.reshape(-1, 2 * WIDTH + 1), self._inward()
+        d_inward = inputs.T @ dh
+        d_seen, product, d_mine, ds = (self._room(k, n, STRIDE, w) for k, w in (("d_seen", WIDTH), ("product", WIDTH), ("d_mine", WIDTH), ("ds", places)))
+        np.matmul(dh, inward[WIDTH:-1].T, out=d_seen.reshape(-1, WIDTH))
         d_seen *= shares
-        np.multiply(d_seen, seen, out=product)
-        np.matmul(product.reshape(-1, WIDTH), np.ones((WIDTH, places), np.float32), out=mean.reshape(-1, places))
+        np.multiply(d_seen, both[:, :, WIDTH : 2 * WIDTH], out=product)
+        mean = (product.reshape(-1, WIDTH) @ np.ones(WIDTH, np.float32)).reshape(n, STRIDE, 1)
         np.matmul(d_seen, x.transpose(0, 2, 1), out=ds)
         ds -= mean
         ds *= a
-        dq, d_mine, dx, more = product, seen, self._room("dx", n, places, WIDTH), self._room("more dx", n, places, WIDTH)
+        dq, dx, more = product, self._room("dx", n, places, WIDTH), self._room("more", n, places, WIDTH)
         np.matmul(ds, x, out=dq)
-        pull = mine.reshape(-1, WIDTH + 1)[:, :WIDTH].T @ dq.reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
+        pull = inputs[:, :WIDTH].T @ dq.reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
         np.matmul(a.transpose(0, 2, 1), d_seen, out=dx)
         dx += np.matmul(ds.transpose(0, 2, 1), q, out=more)
         np.matmul(dq.reshape(-1, WIDTH), self.key @ self.query.T * np.float32(WIDTH**-0.5), out=d_mine.reshape(-1, WIDTH))
-        d_mine += np.matmul(dh, own[:WIDTH].T, out=q.reshape(-1, WIDTH)).reshape(q.shape)
+        d_mine += np.matmul(dh, inward[:WIDTH].T, out=q.reshape(-1, WIDTH)).reshape(q.shape)
         dx[:, OVERLAP:] += d_mine
         order = np.argsort(rows.ravel().astype(np.int16, copy=False), kind="stable")
         met = rows.ravel()[order]
@@ -434,11 +439,11 @@ class Attention:
             "embed": embed,
             "query": pull @ self.key,
             "key": pull.T @ self.query,
-            "value": d_value[:, :HIDDEN] @ self.seen.T,
+            "value": d_inward[WIDTH:-1, :HIDDEN] @ self.seen.T,
             "near": np.bincount(self.distance.ravel(), ds.sum(0).ravel(), places).astype(np.float32),
-            "own": d_own[:WIDTH, :HIDDEN],
-            "seen": self.value.T @ d_value[:, :HIDDEN],
-            "bias": d_own[WIDTH, :HIDDEN],
+            "own": d_inward[:WIDTH, :HIDDEN],
+            "seen": self.value.T @ d_inward[WIDTH:-1, :HIDDEN],
+            "bias": d_inward[-1, :HIDDEN],
             "out": d_weights[:, :HIDDEN, :GROUPS].sum(0),
             "shift": d_weights[:, HIDDEN, :GROUPS].sum(0),
             "inner": d_weights[:, :HIDDEN, GROUPS:],
@@ -466,7 +471,7 @@ class Attention:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for some in common.slices(batch):
+        for some in common.slices(batch, limit=COUNTED_BYTES):
             _, codes, distinct, _ = common.word_codes(some.column("text"), lower=True)
             yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(distinct)))], ["word", "n"])
 
@@ -486,6 +491,20 @@ def _id_counts(path: str):
     return run
 
 
+def _id_totals(path: str):
+    """A task's counts of ids, from rows whose ids are made already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = subwords_of(path)
+        totals = np.zeros(coder.end + 1)
+        for stream, _ in _streams(batches, coder):
+            totals += np.bincount(stream, minlength=coder.end + 1)
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], ["id", "n"])
+
+    return run
+
+
 def head_words(counts: DataFrame, size: int | None = None) -> DataFrame:
     """At most ``size`` of the most frequent words (HEAD by default): all whose count reaches a threshold.
 
@@ -588,7 +607,8 @@ def train(plain: DataFrame, counts: DataFrame, documents: int, path: str) -> Att
     if not documents:
         return None
     coder = subwords_of(path)
-    rows = counts.mapInArrow(_id_counts(path), "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    met = plain.select(given).mapInArrow(_id_totals(path), "id long, n double") if given == "ids" else counts.mapInArrow(_id_counts(path), "id long, n double")
+    rows = met.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     totals = np.zeros(coder.end + 1)
     totals[rows["id"].to_numpy()] = rows["n"].to_numpy()
     totals[coder.end] = documents
@@ -627,7 +647,7 @@ def _encoded(path: str, head: pa.Array, head_counts: np.ndarray, ends: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, counter = subwords_of(path), [0]
         for batch in batches:
-            for some in common.slices(batch, limit=common.BATCH_BYTES):
+            for some in common.slices(batch, limit=ENCODED_BYTES):
                 yield from _slice(some, coder, common.row_ids(some.num_rows, counter))
 
     def _slice(some: pa.RecordBatch, coder: Subwords, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
